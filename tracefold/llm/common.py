@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    workers_find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers also look for this package where the driver has it (no harm where that folder is missing)."""
+    home = str(Path(__file__).resolve().parents[2])
+    held = spark.sparkContext.environment
+    if home not in held.get("PYTHONPATH", "").split(os.pathsep):
+        held["PYTHONPATH"] = os.pathsep.join(x for x in (home, held.get("PYTHONPATH")) if x)
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the whole text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAPS), "")
@@ -47,6 +58,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # lets the context cleaner delete the shuffle files that only this write read
     out = spark.read.schema(df.schema).parquet(path)
     out._tracefold_path = path
     return out

@@ -87,4 +87,23 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM c GROUP BY conv_id
 """
 
-ORACLES = {"op1_ngram_join": OP1, "op4_quality_rules": op4(), "op8_source_mixing": OP8, "op9_chat_formatting": OP9}
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS head FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN head <> page_id THEN head END AS refers_to FROM m
+"""
+
+OP10 = f"""
+WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM w WHERE len(w) >= 13),
+h AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS head FROM g) WHERE head < doc_id),
+c AS (SELECT DISTINCT doc_id, i + j AS pos FROM h, range(13) AS r(j)),
+k AS (SELECT doc_id, count(*)::BIGINT AS n, list(pos) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN k.n IS NULL THEN w.w ELSE list_filter(w.w, lambda x, i: NOT list_contains(k.gone, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+ORACLES = {"op1_ngram_join": OP1, "op4_quality_rules": op4(), "op8_source_mixing": OP8, "op9_chat_formatting": OP9, "op7_warc": OP7, "op10_substring_dedup": OP10}
