@@ -1,21 +1,56 @@
-"""The corpus pipeline: quality rules, line dedup, n-gram join, source mixing, SentencePiece."""
+"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing to target weights, SentencePiece.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that the stage before it kept.  Null and empty texts
+fail the quality rules; an empty table passes through all stages as an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import mixing, ngram_join, quality
+from tracefold.llm import line_dedup, mixing, ngram_join, quality, sentencepiece_nbest
+from tracefold.llm.common import table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.keep_good(docs)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that come again, or nearly, leave the texts; documents stay, also where no line is left."""
+    return line_dedup.clean_lines(docs)
+
+
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return ngram_join.keep_one_per_group(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix reads it."""
+    return mixing.mix(docs)
+
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the best segmentations, one row for each document read."""
+    return sentencepiece_nbest.digests(docs)
+
 
 STAGES = [
-    ("quality rules", lambda spark, docs, sf_dir: quality.keep_good(docs)),
-    ("n-gram join", lambda spark, docs, sf_dir: ngram_join.keep_one_per_group(docs)),
-    ("mixing", lambda spark, docs, sf_dir: mixing.mix(docs)),
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup_stage),
+    ("n-gram Jaccard join", ngram_join_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("SentencePiece encoding and decoding", sentencepiece_stage),
 ]
+
+#: MinHash bands and the piece lattice are not expressible in SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
