@@ -37,70 +37,76 @@ class Lattice:
     """Pieces of a vocabulary with their scores, and the searches over them."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], byte_score: float):
-        self.table: dict[str, tuple[int, float] | None] = {}
-        for piece in pieces:
-            for i in range(1, len(piece)):
-                self.table.setdefault(piece[:i], None)
-        self.table.update(pieces)
+        self.trie: dict = {}
+        for piece, value in pieces.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = value
         self.byte_ids, self.byte_score = byte_ids, byte_score
 
-    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end the pieces that reach it: ``(start, score, ids)``; spaces of ``word`` are marks."""
-        into: list[list] = [[] for _ in range(len(word) + 1)]
-        get = self.table.get
+    def edges(self, word: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
+        """The pieces of the lattice, ``(start, end, score, ids)`` by start; spaces of ``word`` are marks."""
+        out = []
+        trie = self.trie
         lattice = word.replace(MARK, "\0").replace(" ", MARK)
         n = len(lattice)
         for a in range(n):
-            single = False
-            for b in range(a + 1, n + 1):
-                found = get(lattice[a:b], 0)
-                if found is None:
-                    continue
-                if found == 0:
+            node, b, single = trie, a, False
+            while b < n:
+                node = node.get(lattice[b])
+                if node is None:
                     break
-                single |= b == a + 1
-                into[b].append((a, found[1], (found[0],)))
+                b += 1
+                value = node.get("")
+                if value is not None:
+                    out.append((a, b, value[1], value[0]))
+                    single |= b == a + 1
             if not single:
                 raw = word[a].encode("utf-8", "surrogatepass")
-                into[a + 1].append((a, self.byte_score * len(raw), tuple(self.byte_ids[x] for x in raw)))
-        return into
+                out.append((a, a + 1, self.byte_score * len(raw), tuple(self.byte_ids[x] for x in raw)))
+        return out
 
     def best_and_gap(self, word: str) -> tuple[float, float, tuple[int, ...]]:
         """The best score, how far below it the next segmentation is, and the ids of one of the best.
 
         Any other segmentation has a piece that the best lacks: the next one is the best of the paths through these."""
-        into = self.edges(word)
-        n = len(into) - 1
-        best, via = [0.0] * (n + 1), [None] * (n + 1)
-        for b in range(1, n + 1):
-            top = -math.inf
-            for edge in into[b]:
-                score = best[edge[0]] + edge[1]
-                if score > top:
-                    top, via[b] = score, edge
-            best[b] = top
+        edges, n = self.edges(word), len(word)
+        best, via = [-math.inf] * (n + 1), [None] * (n + 1)
+        best[0] = 0.0
+        for edge in edges:
+            score = best[edge[0]] + edge[2]
+            if score > best[edge[1]]:
+                best[edge[1]], via[edge[1]] = score, edge
+        chosen, at = [], n
+        while at:
+            chosen.append(via[at])
+            at = via[at][0]
         rest = [-math.inf] * n + [0.0]
-        second = -math.inf
-        on, ids = n, ()
-        for b in range(n, 0, -1):
-            ahead, chosen = rest[b], via[b] if b == on else None
-            for edge in into[b]:
-                a = edge[0]
-                tail = edge[1] + ahead
-                if tail > rest[a]:
-                    rest[a] = tail
-                if edge is chosen:
-                    ids, on = edge[2] + ids, a
-                elif best[a] + tail > second:
-                    second = best[a] + tail
-        return best[n], max(0.0, best[n] - second), ids
+        second, i = -math.inf, 0
+        for edge in reversed(edges):
+            a, tail = edge[0], edge[2] + rest[edge[1]]
+            if tail > rest[a]:
+                rest[a] = tail
+            if i < len(chosen) and edge is chosen[i]:
+                i += 1
+            elif best[a] + tail > second:
+                second = best[a] + tail
+        ids: list[int] = []
+        for edge in reversed(chosen):
+            if type(edge[3]) is int:
+                ids.append(edge[3])
+            else:
+                ids += edge[3]
+        return best[n], max(0.0, best[n] - second), tuple(ids)
 
     def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations, best first; ties go by ids."""
-        into = self.edges(word)
-        best = [0.0] * len(into)
-        for b in range(1, len(into)):
-            best[b] = max(best[a] + score for a, score, _ in into[b])
+        into: list[list] = [[] for _ in range(len(word) + 1)]
+        best = [0.0] + [-math.inf] * len(word)
+        for a, b, score, own in self.edges(word):
+            into[b].append((a, score, (own,) if type(own) is int else own))
+            best[b] = max(best[b], best[a] + score)
         # Backward search: a state is a suffix; its bound is the best prefix score plus the score of the suffix.
         heap = [(-best[-1], (), len(word), 0.0)]
         out: list[tuple[float, tuple[int, ...]]] = []
