@@ -238,7 +238,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         yield from split_tokens(raw, [b""] * len(raw), [0] * len(raw), sets, bits)
 
     lists = materialize(repeated_windows(arrow(base, split, SPLIT), bits, shards), "repeated")
-    full = rows.withColumn("h", word_hashes(F.col("text"))).join(lists, "doc_id")
+    full = rows.join(lists, "doc_id").select("doc_id", "text", word_hashes(F.col("text")).alias("h"), "lists")
 
     def send(batch):
         out = [r for doc, text, h, x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), rows_of(batch, "h"), batch.column("lists").to_pylist()) for r in runs(doc, text or "", h, x, bits, window)]
@@ -246,7 +246,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             yield list(zip(*out))
 
     schema = "shard int, question boolean, doc_id bigint, start int, text string"
-    spans = materialize(arrow(full.select("doc_id", "text", "h", "lists"), send, schema), "runs")
+    spans = materialize(arrow(full, send, schema), "runs")
     discard(lists)
     asked = spans.where("question").groupBy("shard").agg(F.ceil(F.sum(F.size(F.split("text", " "))) / F.lit(TASK_WORDS)).cast("int").alias("salts"))
     asked = materialize(asked, "asked")
