@@ -33,7 +33,7 @@ MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB8665
 LIST_TOKENS = 1 << 22
 #: Bits of a shingle hash kept besides those that number its partition.
 TOKEN_BITS = 48
-#: Documents of one exact search block; longer lists are split into pairs of blocks.
+#: Classes of one exact search block; larger neighbourhoods are split into pairs of blocks.
 BLOCK = 256
 BANDS, ROWS = 12, 3
 #: Weight of a binary probe against a merge step in the choice of long lists.
@@ -185,7 +185,7 @@ def bands_of(tokens: np.ndarray) -> list[int]:
 
 
 def stars(banded: DataFrame) -> DataFrame:
-    """``(node, centre)``: for each node one smaller node of a band it is in.
+    """``(node, centre)``: for each band of a node the smallest node in it.
 
     A band is salted, so that a hot one has 32 centres of its own, which meet in a second, small window."""
     from pyspark.sql import Window as W
@@ -193,7 +193,7 @@ def stars(banded: DataFrame) -> DataFrame:
     each = banded.select("node", F.explode("bands").alias("band")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(32)))
     near = each.withColumn("centre", F.min("node").over(W.partitionBy("band", "salt")))
     top = near.select("band", F.col("centre").alias("node")).distinct().withColumn("centre", F.min("node").over(W.partitionBy("band")))
-    return near.select("node", "centre").union(top.select("node", "centre")).where("node <> centre").groupBy("node").agg(F.min("centre").alias("centre"))
+    return near.select("node", "centre").union(top.select("node", "centre")).where("node <> centre").distinct()
 
 
 def overlap_links(pairs: DataFrame, percent: int) -> DataFrame:
@@ -278,7 +278,10 @@ def search_block(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
 
 
 def exact_rest(rest: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` between components, of rows ``(node, comp, n, cnt, lists)``, by blocks of a rare shared shingle."""
+    """Links ``(a, b)`` between components, of rows ``(node, comp, n, cnt, lists)``.
+
+    Two classes that link share one of the ``cnt - need + 1`` rarest of the shingles they share with others.  Classes
+    that meet in such a shingle, along any chain, form a neighbourhood; each is searched in blocks of bounded size."""
     need = F.ceil(F.col("n") * percent / F.lit(100))
     rest = rest.select("node", "comp", "n", (F.col("cnt") - need + 1).cast("int").alias("prefix"), "lists")
 
@@ -289,18 +292,18 @@ def exact_rest(rest: DataFrame, percent: int) -> DataFrame:
 
     made = materialize(arrow(rest, fn, "node bigint, comp bigint, n int, toks binary, keys array<bigint>"), "rest")
     lists = made.select("node", F.explode("keys").alias("tok"))
-    blocks = F.ceil(F.count("*") / F.lit(BLOCK)).cast("int")
-    sizes = materialize(lists.groupBy("tok").agg(blocks.alias("m"), F.count("*").alias("k")).where("k > 1").drop("k"), "sizes")
-    mine = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
-    dealt = lists.join(sizes, "tok").withColumn("x", mine).withColumn("y", F.explode(F.expr("sequence(0, m - 1)")))
-    dealt = dealt.select("node", "tok", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    full = dealt.join(made.drop("keys"), "node")
+    heads = materialize(lists.groupBy("tok").agg(F.min("node").alias("head"), F.count("*").alias("k")).where("k > 1").drop("k"), "heads")
+    near = components(lists.join(heads, "tok").where("node <> head"), "node", "head")
+    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("m"))
+    dealt = near.join(materialize(sizes, "sizes"), "component").withColumn("x", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0, m - 1)"))).select("node", "component", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    full = dealt.join(made.drop("keys"), "node").select("component", "x", "y", "node", "comp", "n", "toks")
 
     def block(_, group):
         links = search_block(list(zip(*(group.column(c).to_pylist() for c in ("node", "comp", "n", "toks")))), percent)
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-    return full.select("tok", "x", "y", "node", "comp", "n", "toks").groupBy("tok", "x", "y").applyInArrow(block, "a bigint, b bigint").distinct()
+    return full.groupBy("component", "x", "y").applyInArrow(block, "a bigint, b bigint").distinct()
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
