@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -58,7 +59,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()  # lets the context cleaner delete the shuffle files that only this write read
+    for _ in range(2):  # lets the context cleaner delete the shuffle files that only this write has read
+        gc.collect()
+        spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._tracefold_path = path
     return out
