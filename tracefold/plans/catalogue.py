@@ -2,5 +2,621 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracefold.functions import normalize as N
+from tracefold.operators import canonical, correlate, evaluate, features, flat, fusion, grid, identity, ml, reduction
+from tracefold.sources import adapters
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+WIDE = 21_600
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# --- the canonical tables, here and in SQL -------------------------------------------------------------------------
+
+
+def bank(s, d):
+    return canonical.valid(canonical.bank(adapters.bank_raw(s, d)))
+
+
+def cdr(s, d):
+    return canonical.valid(canonical.cdr(adapters.cdr_raw(s, d)))
+
+
+def ipdr(s, d):
+    return canonical.valid(canonical.ipdr(adapters.ipdr_raw(s, d)))
+
+
+E = "FROM events WHERE event_type"
+SEC = "epoch_us(date_trunc('second', ts))"
+BASE = f"""
+b AS (SELECT 'T' || event_id AS id, {SEC} AS us, value AS amount, 'C' || user_id AS sc, 'C' || ((user_id * 7 + event_id) % 10) AS rc,
+  (9000000000 + user_id)::VARCHAR AS sp, (9000000000 + (user_id * 7 + event_id) % 10)::VARCHAR AS rp, 'A' || user_id AS acc {E} = 'purchase'),
+c AS (SELECT 'D' || event_id AS id, {SEC} AS us, (9000000000 + user_id)::VARCHAR AS a, (9000000000 + (user_id * 7 + event_id) % 10)::VARCHAR AS b, floor(value)::BIGINT AS dur,
+  (404000000000000 + user_id)::VARCHAR AS imsi, (350000000000000 + user_id * 10 + event_id % 3)::VARCHAR AS imei, 'K' || (event_id % 20) AS cell, 'R' || (event_id % 4) AS roam {E} IN ('click', 'view')),
+i AS (SELECT 'I' || event_id AS id, {SEC} AS us, (9000000000 + user_id)::VARCHAR AS ms, (404000000000000 + user_id)::VARCHAR AS imsi, (350000000000000 + user_id * 10 + event_id % 4)::VARCHAR AS imei,
+  '10.0.' || (user_id % 256) || '.' || (event_id % 256) AS sip, '172.16.' || (event_id % 16) || '.' || ((event_id * 7) % 256) AS dip, (1024 + event_id % 5)::INT AS port, 'K' || (event_id % 20) AS cell, floor(value)::BIGINT AS dur {E} IN ('error', 'signup'))
+"""
+bl = "bl AS (SELECT id, us, sp AS p, 'BANK_SENDER' AS role FROM b UNION ALL SELECT id, us, rp, 'BANK_RECEIVER' FROM b)"
+cl = "cl AS (SELECT id, us, a AS p, 'A_PARTY' AS role FROM c UNION ALL SELECT id, us, b, 'B_PARTY' FROM c)"
+EV = "ev AS (SELECT bl.id AS t, cl.id AS d, bl.us AS tu, cl.us AS du, bl.role AS r1, cl.role AS r2, bl.p AS p FROM bl JOIN cl ON bl.p = cl.p AND abs(cl.us - bl.us) <= {w}::BIGINT * 1000000)"
+
+
+def j1(w: int = 1800) -> str:
+    return f"WITH {BASE}, {bl}, {cl}, {EV.format(w=w)}, k1 AS (SELECT t, d, tu, du, count(*) AS n FROM ev GROUP BY ALL)"
+
+
+J2 = """
+k AS (SELECT c.id AS d, i.id AS s, c.us AS du, i.us AS su, (c.a = i.ms)::INT + (c.b = i.ms)::INT + (c.imsi = i.imsi)::INT + (c.imei = i.imei)::INT AS strong, (c.cell = i.cell)::INT AS cell,
+  (c.imsi <> i.imsi)::INT + (c.imei <> i.imei)::INT + (c.a <> i.ms AND c.b <> i.ms)::INT AS clash, (c.cell <> i.cell)::INT AS cellclash, (c.imei <> i.imei)::INT AS imeiclash
+  FROM (SELECT * FROM (SELECT c.id AS d, i.id AS s FROM c JOIN i ON c.a = i.ms AND abs(c.us - i.us) <= {w}::BIGINT * 1000000
+    UNION SELECT c.id, i.id FROM c JOIN i ON c.b = i.ms AND abs(c.us - i.us) <= {w}::BIGINT * 1000000 UNION SELECT c.id, i.id FROM c JOIN i ON c.imsi = i.imsi AND abs(c.us - i.us) <= {w}::BIGINT * 1000000
+    UNION SELECT c.id, i.id FROM c JOIN i ON c.imei = i.imei AND abs(c.us - i.us) <= {w}::BIGINT * 1000000)) AS q JOIN c ON c.id = q.d JOIN i ON i.id = q.s)
+"""
+
+
+def j12(w: int = 1800) -> str:
+    return j1(w) + ", " + J2.format(w=w)
+
+
+# --- normalisers ---------------------------------------------------------------------------------------------------
+PHONES = ["+91 98765-43210", "nan", "<NA>", "   ", "abc", "9876543210", "00 91 98"]
+
+
+def _values(s, rows):
+    return s.createDataFrame([(i, v) for i, v in enumerate(rows)], "k int, v string")
+
+
+def _sql_values(rows) -> str:
+    return "(VALUES " + ", ".join(f"({i}, " + ("NULL" if v is None else "'" + v.replace("'", "''") + "'") + ")" for i, v in enumerate(rows)) + ") AS t(k, v)"
+
+
+@query(f"SELECT k, CASE WHEN lower(trim(v)) IN ('', 'nan') OR v = '<NA>' THEN NULL ELSE nullif(regexp_replace(v, '[^0-9]', '', 'g'), '') END AS phone FROM {_sql_values(PHONES)}")
+def norm_phone(s, d):
+    return _values(s, PHONES).select("k", N.phone(F.col("v")).alias("phone"))
+
+
+@query("SELECT event_id, regexp_replace(' 40 4' || user_id || ' ', '\\s+', '', 'g') AS imsi, trim('  K' || event_id || ' ') AS cell FROM events")
+def norm_identifiers(s, d):
+    e = adapters.load(s, d, "events")
+    return e.select("event_id", N.compact(F.concat(F.lit(" 40 4"), "user_id", F.lit(" "))).alias("imsi"), N.trimmed(F.concat(F.lit("  K"), "event_id", F.lit(" "))).alias("cell"))
+
+
+@query(f"SELECT event_id, {SEC} AS us FROM events")
+def parse_datetime(s, d):
+    e = adapters.load(s, d, "events")
+    return e.select("event_id", N.micros(N.timestamp(F.date_format("ts", "yyyy-M-d"), F.date_format("ts", "H:m:s"))).alias("us"))
+
+
+IPS = ["10.0.0.1", "300.1.1.1", "::1", "fe80::1", "1.2.3", "01.2.3.4", "", "2001:db8:0:0:0:0:0:1", "12345::", "::ffff"]
+
+
+@query("SELECT k, ok FROM (VALUES (0, true), (1, false), (2, true), (3, true), (4, false), (5, false), (6, false), (7, true), (8, false), (9, true)) AS t(k, ok)")
+def validate_ip(s, d):
+    return _values(s, IPS).select("k", N.ip_valid(F.col("v")).alias("ok"))
+
+
+AMOUNTS = ["(1,234.56)", "1234.56-", "Rs. 5,000 DR", "1,23,456.78", "-1,234.56", "5000 CR", "", "INR 10,500.25", "INR 999", "50.00", "(500)", None, "abc"]
+AMOUNT_VALUES = [-1234.56, -1234.56, -5000.0, 123456.78, -1234.56, 5000.0, None, 10500.25, 999.0, 50.0, -500.0, None, None]
+
+
+@query("SELECT k, amount FROM (VALUES " + ", ".join(f"({i}, {'NULL' if v is None else v}::DOUBLE)" for i, v in enumerate(AMOUNT_VALUES)) + ") AS t(k, amount)")
+def parse_amount(s, d):
+    return _values(s, AMOUNTS).select("k", N.amount(F.col("v")).alias("amount"))
+
+
+# --- canonical records ---------------------------------------------------------------------------------------------
+@query(f"WITH {BASE} SELECT id AS transaction_id, us, amount, sp AS sender_phone, rp AS receiver_phone, sc AS sender_customer FROM b")
+def canon_bank_valid(s, d):
+    return bank(s, d).select("transaction_id", N.micros(F.col("transaction_timestamp")).alias("us"), F.col("amount").cast("double").alias("amount"), F.col("sender.phone").alias("sender_phone"), F.col("receiver.phone").alias("receiver_phone"), F.col("sender.customer_id").alias("sender_customer"))
+
+
+def _spoilt(raw, key, **columns):
+    n = F.regexp_extract(key, r"(\d+)$", 1).cast("bigint")
+    for i, (c, bad) in enumerate(columns.items()):
+        raw = raw.withColumn(c, F.when(n % 50 == i, F.lit(bad)).otherwise(F.col(c)))
+    return raw
+
+
+@query("""SELECT error, count(*) AS n FROM (SELECT CASE event_id % 50 WHEN 0 THEN 'Missing CORE_REQUIRED field: transaction_id' WHEN 1 THEN 'Missing or invalid CORE_REQUIRED field: transaction_timestamp - Missing date for timestamp'
+  WHEN 2 THEN 'Missing or invalid CORE_REQUIRED field: amount - abc' END AS error FROM events WHERE event_type = 'purchase') WHERE error IS NOT NULL GROUP BY 1""")
+def canon_bank_rejects(s, d):
+    raw = adapters.bank_raw(s, d).withColumn("k", F.col("Transaction_ID"))
+    return canonical.rejects(canonical.bank(_spoilt(raw, "k", Transaction_ID=" ", Date="nan", Transaction_Amount="abc").drop("k"))).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT error, count(*) AS n FROM (SELECT CASE event_id % 50 WHEN 0 THEN 'Missing CORE_REQUIRED field: cdr_id' WHEN 1 THEN 'Missing CORE_REQUIRED field: a_party_phone'
+  WHEN 2 THEN 'Invalid Call_Duration_Seconds: 12.5' END AS error FROM events WHERE event_type IN ('click', 'view')) WHERE error IS NOT NULL GROUP BY 1""")
+def canon_cdr_rejects(s, d):
+    raw = adapters.cdr_raw(s, d).withColumn("k", F.col("CDR_ID"))
+    return canonical.rejects(canonical.cdr(_spoilt(raw, "k", CDR_ID="", A_Party_Number="x", Call_Duration_Seconds="12.5").drop("k"))).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT error, count(*) AS n FROM (SELECT CASE event_id % 50 WHEN 0 THEN 'Missing CORE_REQUIRED field: ipdr_id' WHEN 1 THEN 'Invalid Destination_Port: 70000'
+  WHEN 2 THEN 'Invalid Source_IP_Address: 300.1.1.1' END AS error FROM events WHERE event_type IN ('error', 'signup')) WHERE error IS NOT NULL GROUP BY 1""")
+def canon_ipdr_rejects(s, d):
+    raw = adapters.ipdr_raw(s, d).withColumn("k", F.col("IPDR_ID"))
+    return canonical.rejects(canonical.ipdr(_spoilt(raw, "k", IPDR_ID="<NA>", Destination_Port="70000", Source_IP_Address="300.1.1.1").drop("k"))).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query("SELECT (2 * count(*) FILTER (event_id % 3 = 0))::BIGINT AS warnings FROM events WHERE event_type IN ('click', 'view')")
+def warning_counts(s, d):
+    third = F.regexp_extract("CDR_ID", r"(\d+)$", 1).cast("bigint") % 3 == 0
+    raw = adapters.cdr_raw(s, d)
+    return canonical.warning_count(canonical.cdr(raw.withColumns({c: F.when(~third, F.col(c)) for c in ("IMSI", "IMEI")})))
+
+
+# --- identities ----------------------------------------------------------------------------------------------------
+def index(s, d):
+    return identity.register(identity.observations(bank(s, d), "BANK", "transaction_id", identity.BANK), identity.observations(cdr(s, d), "CDR", "cdr_id", identity.CDR), identity.observations(ipdr(s, d), "IPDR", "ipdr_id", identity.IPDR))
+
+
+OBS = f"""WITH {BASE}, o AS (
+  SELECT 'BANK' AS source_type, id, unnest(['PHONE', 'BANK_ACCOUNT', 'CUSTOMER_ID', 'PHONE', 'CUSTOMER_ID']) AS t, unnest([sp, acc, sc, rp, rc]) AS v, unnest(['SENDER', 'SENDER', 'SENDER', 'RECEIVER', 'RECEIVER']) AS role FROM b
+  UNION ALL SELECT 'CDR', id, unnest(['PHONE', 'PHONE', 'IMSI', 'IMEI', 'CELL_ID']), unnest([a, b, imsi, imei, cell]), unnest(['A_PARTY', 'B_PARTY', 'SUBSCRIBER', 'DEVICE', 'CELL']) FROM c
+  UNION ALL SELECT 'IPDR', id, unnest(['PHONE', 'IMSI', 'IMEI', 'CELL_ID', 'IP_ADDRESS', 'IP_ADDRESS']), unnest([ms, imsi, imei, cell, sip, dip]), unnest(['SUBSCRIBER', 'SUBSCRIBER', 'DEVICE', 'CELL', 'SOURCE_IP', 'DESTINATION_IP']) FROM i)"""
+
+
+@query(OBS + " SELECT source_type, t AS identity_type, role, count(*) AS n FROM o GROUP BY ALL")
+def identity_observations(s, d):
+    return index(s, d).groupBy("source_type", "identity_type", "role").agg(F.count("*").alias("n"))
+
+
+@query(OBS + " SELECT count(*) AS n FROM o")
+def identity_dedup(s, d):
+    one = identity.observations(cdr(s, d), "CDR", "cdr_id", identity.CDR)
+    return identity.register(identity.observations(bank(s, d), "BANK", "transaction_id", identity.BANK), one, one, identity.observations(ipdr(s, d), "IPDR", "ipdr_id", identity.IPDR)).agg(F.count("*").alias("n"))
+
+
+@query(OBS + " SELECT t AS identity_type, v AS normalized_value, count(DISTINCT source_type) AS n_sources, count(*) AS n_observations FROM o GROUP BY ALL HAVING count(DISTINCT source_type) > 1")
+def identity_cross_source(s, d):
+    return identity.cross_source(index(s, d)).select("identity_type", "normalized_value", F.size("sources").cast("bigint").alias("n_sources"), "n_observations")
+
+
+@query(OBS + " SELECT t AS identity_type, count(DISTINCT v) AS n_values, count(*) AS n_observations FROM o GROUP BY ALL")
+def identity_unique_counts(s, d):
+    return identity.unique_counts(index(s, d))
+
+
+# --- correlation ---------------------------------------------------------------------------------------------------
+PAIR_SQL = " SELECT 'BANK_TO_CDR_' || t || '_' || d AS correlation_id, t AS source_id, d AS target_id, ((du - tu) // 1000000)::BIGINT AS time_difference_seconds, n AS n_evidence FROM k1"
+
+
+def _pairs(df):
+    return df.select("correlation_id", "source_id", "target_id", "time_difference_seconds", F.size("evidence").cast("bigint").alias("n_evidence"))
+
+
+@query(j1() + PAIR_SQL)
+def corr_bank_cdr(s, d):
+    return _pairs(correlate.bank_cdr(bank(s, d), cdr(s, d)))
+
+
+@query(j1(WIDE) + PAIR_SQL)
+def corr_bank_cdr_wide(s, d):
+    return _pairs(correlate.bank_cdr(bank(s, d), cdr(s, d), WIDE))
+
+
+@query(j1() + " SELECT r1 AS source_role, r2 AS target_role, count(*) AS n FROM ev GROUP BY ALL")
+def corr_evidence_counts(s, d):
+    e = correlate.bank_cdr(bank(s, d), cdr(s, d)).select(F.explode("evidence").alias("e"))
+    return e.groupBy(F.col("e.source_role"), F.col("e.target_role")).agg(F.count("*").alias("n"))
+
+
+@query(j12() + " SELECT d AS source_id, s AS target_id, ((su - du) // 1000000)::BIGINT AS time_difference_seconds, strong + cell AS n_evidence FROM k")
+def corr_cdr_ipdr(s, d):
+    return correlate.cdr_ipdr(cdr(s, d), ipdr(s, d)).select("source_id", "target_id", "time_difference_seconds", F.size("evidence").alias("n_evidence"))
+
+
+@query(j12() + " SELECT d AS source_id, s AS target_id, clash + cellclash AS n_conflicts FROM k")
+def corr_conflicts(s, d):
+    return correlate.cdr_ipdr(cdr(s, d), ipdr(s, d)).select("source_id", "target_id", F.size("conflicts").alias("n_conflicts"))
+
+
+@query(j12() + " SELECT CASE WHEN strong >= 2 OR clash = 0 THEN 'STRONG' ELSE 'MODERATE' END AS strength, count(*) AS n FROM k GROUP BY 1")
+def corr_strength(s, d):
+    return correlate.cdr_ipdr(cdr(s, d), ipdr(s, d)).groupBy("strength").agg(F.count("*").alias("n"))
+
+
+TRUTH = " , tr AS (SELECT t, d FROM k1 WHERE right(d, 1) <> '3' UNION SELECT 'T0', id FROM c WHERE id LIKE '%77')"
+CMP = TRUTH + " , o AS (SELECT coalesce(k1.t, tr.t) AS source_id, coalesce(k1.d, tr.d) AS target_id, CASE WHEN k1.t IS NULL THEN 'FN' WHEN tr.t IS NULL THEN 'FP' ELSE 'TP' END AS outcome FROM k1 FULL JOIN tr ON k1.t = tr.t AND k1.d = tr.d)"
+
+
+def _compared(s, d):
+    found = correlate.bank_cdr(bank(s, d), cdr(s, d))
+    truth = found.where(F.substring("target_id", -1, 1) != "3").select("source_id", "target_id").union(cdr(s, d).where("cdr_id like '%77'").select(F.lit("T0"), "cdr_id"))
+    return correlate.compare(found, truth)
+
+
+@query(j1() + CMP + """ , n AS (SELECT count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FP') AS fp, count(*) FILTER (outcome = 'FN') AS fn FROM o)
+  SELECT tp, fp, fn, round(tp / (tp + fp), 9) AS "precision", round(tp / (tp + fn), 9) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 9) AS f1 FROM n""")
+def corr_eval_prf(s, d):
+    return correlate.scores(_compared(s, d)).select("tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(j1() + CMP + " (SELECT * FROM o WHERE outcome = 'FP' ORDER BY 1, 2 LIMIT 5) UNION ALL (SELECT * FROM o WHERE outcome = 'FN' ORDER BY 1, 2 LIMIT 5)")
+def corr_fp_fn_samples(s, d):
+    return correlate.error_samples(_compared(s, d))
+
+
+# --- fusion --------------------------------------------------------------------------------------------------------
+def _linked(s, d, w=1800):
+    b, c, i = bank(s, d), cdr(s, d), ipdr(s, d)
+    return b, c, i, correlate.bank_cdr(b, c, w), correlate.cdr_ipdr(c, i, w)
+
+
+TWO = ", two AS (SELECT DISTINCT k1.t, k1.tu, k.s, k.su, k.d, k.du, k.imeiclash, k.cell, k.cellclash, k.strong, (k.strong > 0) AS st FROM k1 JOIN k ON k.d = k1.d)"
+
+
+@query(j12() + TWO + """ SELECT b.id AS transaction_id, count(DISTINCT k1.d) AS n_calls, (SELECT count(DISTINCT s) FROM two WHERE two.t = b.id) AS n_sessions FROM b LEFT JOIN k1 ON k1.t = b.id GROUP BY b.id""")
+def fusion_counts(s, d):
+    line = fusion.contexts(*_linked(s, d), check=False).select("transaction_id", "timeline")
+    n = lambda k: F.size(F.filter("timeline", lambda e: e["event_type"] == k)).cast("bigint")
+    return line.select("transaction_id", n("CDR").alias("n_calls"), n("IPDR").alias("n_sessions"))
+
+
+@query(j12() + TWO + """ , l AS (SELECT id AS t, us, 'TRANSACTION' AS k, id AS e FROM b UNION SELECT t, du, 'CDR', d FROM k1 UNION SELECT t, su, 'IPDR', s FROM two)
+  SELECT t AS transaction_id, row_number() OVER (PARTITION BY t ORDER BY us, k, e) - 1 AS position, us, k AS event_type, e AS event_id FROM l""")
+def fusion_timeline(s, d):
+    return fusion.contexts(*_linked(s, d), check=False).select("transaction_id", F.posexplode("timeline").alias("position", "e")).select("transaction_id", F.col("position").cast("bigint").alias("position"), "e.us", "e.event_type", "e.event_id")
+
+
+@query(j1() + " SELECT count(*) FILTER (id NOT IN (SELECT t FROM k1)) AS without_calls, count(*) AS n FROM b")
+def fusion_missing_context(s, d):
+    return fusion.contexts(*_linked(s, d), check=False).agg(F.count(F.when(F.size("timeline") == 1, 1)).alias("without_calls"), F.count("*").alias("n"))
+
+
+# --- point-in-time features ----------------------------------------------------------------------------------------
+ORDERS = """WITH o AS (SELECT o_orderkey AS id, o_custkey AS who, epoch_us(o_orderdate) AS us, o_totalprice AS amount, o_orderpriority AS receiver FROM orders),
+h AS (SELECT p.id, p.us, p.amount, p.receiver, q.us AS hus, q.amount AS hamount, q.receiver AS hreceiver FROM o p LEFT JOIN o q ON q.who = p.who AND q.us < p.us)"""
+
+
+def _history(s, d):
+    return features.bank_history(adapters.order_history(s, d).withColumns({"is_history": F.lit(True), "is_probe": F.lit(True)}))
+
+
+def _feature(*columns):
+    return lambda s, d: _history(s, d).select(F.col("transaction_id").alias("id"), *(F.round(c, 6).alias(c) if c in ROUNDED else F.col(c) for c in columns))
+
+
+ROUNDED = {"amount_vs_customer_median", "amount_robust_zscore", "amount_percentile", "receiver_frequency", "hour_rarity", "amount_velocity_30m", "amount_velocity_1h"}
+
+
+def _named(name, fn, sql=None):
+    fn.__name__ = name
+    query(sql)(fn)
+
+
+_named("feat_history_count", _feature("customer_history_count"), ORDERS + " SELECT id, count(hus) AS customer_history_count FROM h GROUP BY id")
+_named("feat_median_ratio", _feature("amount_vs_customer_median"), ORDERS + " SELECT id, round(any_value(amount) / nullif(median(hamount), 0), 6) AS amount_vs_customer_median FROM h GROUP BY id")
+_named("feat_robust_z", _feature("amount_robust_zscore"), ORDERS + """, m AS (SELECT id, median(hamount) AS m FROM h GROUP BY id), a AS (SELECT h.id, any_value(amount) AS amount, any_value(m) AS m, median(abs(hamount - m)) AS mad FROM h JOIN m ON m.id = h.id GROUP BY h.id)
+  SELECT id, CASE WHEN mad > 0 THEN round(0.6745::DOUBLE * (amount - m) / mad, 6) END AS amount_robust_zscore FROM a""")
+_named("feat_percentile", _feature("amount_percentile"), ORDERS + " SELECT id, CASE WHEN count(hus) > 0 THEN round(count(*) FILTER (hamount < amount) / count(hus), 6) END AS amount_percentile FROM h GROUP BY id")
+_named("feat_recency", _feature("time_since_previous_transaction"), ORDERS + " SELECT id, (any_value(us) - max(hus)) / 1000000 AS time_since_previous_transaction FROM h GROUP BY id")
+_named("feat_hour_rarity", _feature("hour_rarity"), ORDERS + " SELECT id, CASE WHEN count(hus) > 0 THEN round(1 - count(*) FILTER ((hus // 3600000000) % 24 = (us // 3600000000) % 24) / count(hus), 6) END AS hour_rarity FROM h GROUP BY id")
+_named("feat_receiver", _feature("receiver_historical_count", "receiver_seen_before", "receiver_frequency"), ORDERS + """ , r AS (SELECT id, count(*) FILTER (hreceiver = receiver) AS k, count(hus) AS n FROM h GROUP BY id)
+  SELECT id, k AS receiver_historical_count, (k > 0)::INT AS receiver_seen_before, CASE WHEN n > 0 THEN round(k / n, 6) ELSE 0 END AS receiver_frequency FROM r""")
+
+BANKH = f"WITH {BASE}, h AS (SELECT p.id, p.us, q.us AS hus, q.amount AS ha FROM b p LEFT JOIN b q ON q.sc = p.sc AND q.us < p.us)"
+
+
+@query(BANKH + """ SELECT id, count(*) FILTER (hus >= us - 600000000) AS txn_count_previous_10m, count(*) FILTER (hus >= us - 1800000000) AS txn_count_previous_30m, count(*) FILTER (hus >= us - 3600000000) AS txn_count_previous_1h,
+  round(coalesce(sum(ha) FILTER (hus >= us - 1800000000), 0), 4) AS amount_velocity_30m, round(coalesce(sum(ha) FILTER (hus >= us - 3600000000), 0), 4) AS amount_velocity_1h FROM h GROUP BY id""")
+def feat_velocity(s, d):
+    f = features.bank_history(features.bank_rows(bank(s, d)))
+    return f.select(F.col("transaction_id").alias("id"), *(F.col(f"txn_count_previous_{x}") for x in ("10m", "30m", "1h")), *(F.round(f"amount_velocity_{x}", 4).alias(f"amount_velocity_{x}") for x in ("30m", "1h")))
+
+
+@query(j1(WIDE) + """ , x AS (SELECT b.id, b.us AS t, c.us, c.dur FROM b LEFT JOIN k1 ON k1.t = b.id LEFT JOIN c ON c.id = k1.d)
+  SELECT id AS transaction_id, max((us IS NOT NULL)::INT) AS has_cdr_context, count(*) FILTER (us < t AND us >= t - 600000000) AS calls_previous_10m, count(*) FILTER (us < t AND us >= t - 1800000000) AS calls_previous_30m,
+  count(*) FILTER (us < t AND us >= t - 3600000000) AS calls_previous_1h, (any_value(t) - max(us) FILTER (us < t)) / 1000000 AS nearest_call_before_seconds,
+  coalesce(sum(dur) FILTER (us < t AND us >= t - 1800000000), 0)::BIGINT AS total_call_duration_30m, max(dur) FILTER (us < t AND us >= t - 1800000000) AS max_call_duration_30m FROM x GROUP BY id""")
+def feat_calls(s, d):
+    b, c = bank(s, d), cdr(s, d)
+    return features.call_context(b, features.context_calls(b, c, correlate.bank_cdr(b, c, WIDE))).drop("t")
+
+
+CTX = j1(WIDE) + """ , x AS (SELECT b.id, b.us AS t, b.sp AS who, c.* EXCLUDE (id) FROM b LEFT JOIN k1 ON k1.t = b.id LEFT JOIN c ON c.id = k1.d AND c.us < b.us),
+hc AS (SELECT a AS who, us, b AS other, imei, cell, roam FROM c UNION ALL SELECT b, us, a, imei, cell, roam FROM c WHERE a <> b)"""
+
+
+@query(CTX + """ , o AS (SELECT DISTINCT id, t, who, CASE WHEN a = who THEN b WHEN b = who THEN a END AS other FROM x),
+n AS (SELECT o.id, o.other, count(hc.us) FILTER (hc.other = o.other) AS k, count(hc.us) AS n FROM o LEFT JOIN hc ON hc.who = o.who AND hc.us < o.t WHERE o.other IS NOT NULL GROUP BY o.id, o.other)
+SELECT b.id AS transaction_id, max((k = 0)::INT) AS caller_novelty, round(min(k / n.n), 6) AS caller_historical_frequency FROM b LEFT JOIN n ON n.id = b.id GROUP BY b.id""")
+def feat_caller_novelty(s, d):
+    b, c = bank(s, d), cdr(s, d)
+    f = features.caller_features(features.context_calls(b, c, correlate.bank_cdr(b, c, WIDE)), features.call_history(c))
+    return f.select("transaction_id", "caller_novelty", F.round("caller_historical_frequency", 6).alias("caller_historical_frequency"))
+
+
+@query(CTX + " , v AS (SELECT DISTINCT id, t, who, imei, cell, roam FROM x WHERE us IS NOT NULL), z AS (SELECT id, " + ", ".join(f"max((NOT EXISTS (SELECT 1 FROM hc WHERE hc.who = v.who AND hc.us < v.t AND hc.{c} = v.{c}))::INT) AS {n}" for c, n in (("imei", "imei_novelty"), ("cell", "cell_novelty"), ("roam", "roaming_change"))) + " FROM v GROUP BY id) SELECT b.id AS transaction_id, imei_novelty, cell_novelty, roaming_change FROM b LEFT JOIN z ON z.id = b.id")
+def feat_device_cell_roam_novelty(s, d):
+    b, c = bank(s, d), cdr(s, d)
+    return features.caller_features(features.context_calls(b, c, correlate.bank_cdr(b, c, WIDE)), features.call_history(c)).select("transaction_id", "imei_novelty", "cell_novelty", "roaming_change")
+
+
+def _sessions(s, d):
+    b, c, i, one, two = _linked(s, d, WIDE)
+    return b, i, features.context_sessions(b, i, fusion.link_tables(one, two)[1]), fusion.link_tables(one, two)[0], two
+
+
+SX = j12(WIDE) + TWO + " , x AS (SELECT DISTINCT b.id, b.us AS t, two.s, i.* EXCLUDE (id) FROM b LEFT JOIN two ON two.t = b.id LEFT JOIN i ON i.id = two.s)"
+
+
+@query(SX + """ SELECT id AS transaction_id, max((us IS NOT NULL)::INT) AS has_ipdr_context, count(*) FILTER (us < t AND us >= t - 600000000) AS sessions_previous_10m, count(*) FILTER (us < t AND us >= t - 1800000000) AS sessions_previous_30m,
+  (any_value(t) - max(us) FILTER (us < t)) / 1000000 AS nearest_session_before_seconds FROM x GROUP BY id""")
+def feat_sessions(s, d):
+    return features.session_counts(_sessions(s, d)[2]).drop("t")
+
+
+SN = SX + " , g AS (SELECT id, t, min(imsi) AS who FROM x WHERE us < t GROUP BY id, t), v AS (SELECT x.*, g.who, x.imsi || '|' || x.imei AS pair FROM x JOIN g ON g.id = x.id WHERE x.us < x.t), hi AS (SELECT *, imsi || '|' || imei AS pair FROM i)"
+
+
+@query(SN + " SELECT id AS transaction_id, " + ", ".join(f"max((NOT EXISTS (SELECT 1 FROM hi WHERE hi.imsi = v.who AND hi.us < v.t AND hi.{c} = v.{c}))::INT) AS {n}" for c, n in (("sip", "source_ip_novelty"), ("dip", "destination_ip_novelty"), ("port", "destination_port_novelty"))) + " FROM v GROUP BY id")
+def feat_ip_port_novelty(s, d):
+    _, i, sessions, _, _ = _sessions(s, d)
+    return features.session_novelty(sessions, features.session_history(i)).select("transaction_id", "source_ip_novelty", "destination_ip_novelty", "destination_port_novelty")
+
+
+@query(SN + " SELECT id AS transaction_id, max((NOT EXISTS (SELECT 1 FROM hi WHERE hi.imsi = v.who AND hi.us < v.t AND hi.pair = v.pair))::INT) AS imsi_imei_pair_novelty FROM v GROUP BY id")
+def feat_pair_novelty(s, d):
+    _, i, sessions, _, _ = _sessions(s, d)
+    return features.session_novelty(sessions, features.session_history(i)).select("transaction_id", "imsi_imei_pair_novelty")
+
+
+@query(SN + """ , q AS (SELECT g.id, hi.dur FROM g JOIN hi ON hi.imsi = g.who AND hi.us < g.t), m AS (SELECT id, median(dur) AS m FROM q GROUP BY id), a AS (SELECT q.id, any_value(m) AS m, median(abs(dur - m)) AS mad FROM q JOIN m ON m.id = q.id GROUP BY q.id)
+  SELECT v.id AS transaction_id, round(max(CASE WHEN mad > 0 THEN abs(0.6745::DOUBLE * (v.dur - m) / mad) END), 6) AS session_duration_deviation FROM v LEFT JOIN a ON a.id = v.id GROUP BY v.id""")
+def feat_duration_dev(s, d):
+    _, i, sessions, _, _ = _sessions(s, d)
+    return features.session_novelty(sessions, features.session_history(i)).select("transaction_id", F.round("session_duration_deviation", 6).alias("session_duration_deviation"))
+
+
+@query(j12(WIDE) + TWO + """ SELECT t AS transaction_id, CASE WHEN max(imeiclash + (c.imsi <> i.imsi)::INT) > 0 THEN 0 WHEN max((c.imsi = i.imsi OR c.imei = i.imei)::INT) = 1 THEN 1 END AS device_consistency,
+  CASE WHEN max(cellclash) > 0 THEN 0 ELSE 1 END AS cell_consistency FROM two JOIN c ON c.id = two.d JOIN i ON i.id = two.s WHERE du < tu AND su < tu GROUP BY t""")
+def feat_consistency(s, d):
+    b, _, _, one, two = _sessions(s, d)
+    return features.consistency(b, one, two)
+
+
+def _set(k):
+    return lambda s, d: features.feature_sets(*_linked(s, d))[k]
+
+
+for _k, _n in enumerate("abc"):
+    _named(f"feature_set_{_n}", _set(_k))
+
+# --- flat family ---------------------------------------------------------------------------------------------------
+FLAT = "WITH t AS (SELECT o_orderkey AS id, o_custkey AS account, epoch_us(o_orderdate) AS us, o_totalprice AS amount, o_orderpriority AS beneficiary FROM orders)"
+
+
+def flat_rows(s, d):
+    return adapters.order_history(s, d).select("id", F.col("who").alias("account"), "us", "amount", F.col("receiver").alias("beneficiary"))
+
+
+def _win(h):
+    return f"OVER (PARTITION BY account ORDER BY us RANGE BETWEEN {h * 3_600_000_000} PRECEDING AND 1 PRECEDING)"
+
+
+@query(FLAT + f""" SELECT id, count(amount) {_win(24)} AS b_velocity_24h, round(coalesce(sum(amount) {_win(24)}, 0), 4) AS b_total_amount_24h, round(coalesce(avg(amount) {_win(168)}, 0), 4) AS b_mean_amount_7d,
+  coalesce(max(amount) {_win(24)}, 0) AS b_max_amount_24h, count(amount) {_win(1)} AS b_velocity_1h FROM t""")
+def flat_rolling(s, d):
+    r = flat.rolling(flat_rows(s, d))
+    return r.select("id", "b_velocity_24h", F.round("b_total_amount_24h", 4).alias("b_total_amount_24h"), F.round("b_mean_amount_7d", 4).alias("b_mean_amount_7d"), "b_max_amount_24h", "b_velocity_1h")
+
+
+@query(FLAT + " SELECT id, round((amount - avg(amount) OVER w) / (coalesce(stddev_samp(amount) OVER w, 0) + 1e-6), 4) AS b_amount_zscore, round(amount / (avg(amount) OVER w + 1e-6), 4) AS b_relative_amount_spike FROM t WINDOW w AS (PARTITION BY account)")
+def flat_zscore(s, d):
+    r = flat.whole_history_scores(flat_rows(s, d))
+    return r.select("id", F.round("b_amount_zscore", 4).alias("b_amount_zscore"), F.round("b_relative_amount_spike", 4).alias("b_relative_amount_spike"))
+
+
+@query(FLAT + " SELECT id, (row_number() OVER (PARTITION BY account, beneficiary ORDER BY us, id) = 1)::INT AS b_new_beneficiary FROM t")
+def flat_new_beneficiary(s, d):
+    return flat.new_beneficiary(flat_rows(s, d))
+
+
+EVT = "WITH e AS (SELECT event_id AS id, user_id AS account, epoch_us(ts) AS us, value, event_type AS k FROM events)"
+
+
+def _ev(s, d, kinds):
+    e = adapters.load(s, d, "events").where(F.col("event_type").isin(kinds))
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("account"), N.micros(F.col("ts")).alias("us"), "value")
+
+
+@query(EVT + """ , j AS (SELECT t.id, t.us AS t, c.us, c.value AS dur, c.id % 20 AS cell, c.id % 2 AS roam FROM e t LEFT JOIN e c ON c.account = t.account AND c.k IN ('click', 'view') AND c.us < t.us AND c.us >= t.us - 86400000000 WHERE t.k = 'purchase')
+  SELECT id, count(us) FILTER (us >= t - 3600000000) AS c_call_count_1h, round(coalesce(sum(dur) FILTER (us >= t - 3600000000), 0), 4) AS c_total_duration_1h, count(DISTINCT cell) FILTER (us >= t - 3600000000) AS c_unique_cell_ids_1h, count(us) AS c_call_count_24h,
+  count(*) FILTER (roam = 1) AS c_roaming_count_24h, (count(us) FILTER (us >= t - 1800000000) > 0)::INT AS c_has_call_30min_before, (count(us) FILTER (us >= t - 900000000) >= 3)::INT AS c_repeated_calls_15min FROM j GROUP BY id""")
+def flat_call_windows(s, d):
+    calls = _ev(s, d, ["click", "view"]).select("account", "us", F.col("value").alias("duration"), (F.col("id") % 20).alias("cell"), (F.col("id") % 2).alias("roaming"))
+    r = flat.call_windows(_ev(s, d, ["purchase"]), calls)
+    return r.select("id", "c_call_count_1h", F.round("c_total_duration_1h", 4).alias("c_total_duration_1h"), "c_unique_cell_ids_1h", "c_call_count_24h", "c_roaming_count_24h", "c_has_call_30min_before", "c_repeated_calls_15min")
+
+
+@query(EVT + """ , j AS (SELECT t.id, c.us, c.id AS s FROM e t LEFT JOIN e c ON c.account = t.account AND c.k IN ('error', 'signup') AND abs(c.us - t.us) <= 1800000000 WHERE t.k = 'purchase')
+  SELECT id, count(us) AS i_session_count_30min, coalesce(sum(s * 10), 0)::BIGINT AS i_total_bytes_sent_30min, count(DISTINCT s % 7) AS i_unique_domains_30min, count(DISTINCT s % 5) AS i_unique_ports_30min, count(*) FILTER (s % 3 = 1) AS i_vpn_count FROM j GROUP BY id""")
+def flat_ipdr_windows(s, d):
+    x = F.col("id")
+    sessions = _ev(s, d, ["error", "signup"]).select(F.col("account").alias("device"), "us", (x * 10).alias("sent"), (x % 7).alias("domain"), (x % 5).alias("port"), F.when(x % 3 == 1, 1).otherwise(0).alias("vpn"))
+    return flat.session_windows(_ev(s, d, ["purchase"]).withColumnRenamed("account", "device"), sessions)
+
+
+@query("SELECT device, arg_min(location, (-n, location)) AS usual_location FROM (SELECT user_id AS device, 'L' || (event_id % 3) AS location, count(*) AS n FROM events GROUP BY ALL) GROUP BY device")
+def flat_mode_location(s, d):
+    return flat.usual_location(adapters.load(s, d, "events").select(F.col("user_id").alias("device"), F.concat(F.lit("L"), F.col("event_id") % 3).alias("location")))
+
+
+@query(EVT + " , q AS (SELECT t.id, t.us AS t, c.us, c.id AS c FROM e t LEFT JOIN e c ON c.account = t.account AND c.k = 'click' AND c.us < t.us WHERE t.k = 'purchase') SELECT id, arg_max(c, (us, c)) AS event_id, (any_value(t) - max(us)) / 1000000 AS age_seconds FROM q GROUP BY id")
+def flat_latest_event(s, d):
+    return flat.latest_before(_ev(s, d, ["purchase"]).drop("value"), _ev(s, d, ["click"]).select("account", "us", F.col("id").alias("event_id")))
+
+
+@query(EVT + " , f AS (SELECT account, min(us) AS f FROM e WHERE k = 'error' GROUP BY 1) SELECT e.id, floor((us - f) / 86400000000)::BIGINT AS i_device_age_days FROM e LEFT JOIN f ON f.account = e.account WHERE k = 'purchase'")
+def flat_first_seen_age(s, d):
+    return flat.device_age(_ev(s, d, ["purchase"]).withColumnRenamed("account", "device"), _ev(s, d, ["error"]).withColumnRenamed("account", "device"))
+
+
+@query("SELECT event_id AS id, (hour(ts) < 6 OR hour(ts) >= 22)::INT AS b_odd_hour, (isodow(ts) >= 6)::INT AS b_is_weekend, hour(ts)::INT AS hour FROM events")
+def flat_calendar(s, d):
+    return flat.calendar(_ev(s, d, ["purchase", "click", "view", "error", "signup"]))
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------------
+R = "WITH r AS (SELECT event_id AS id, floor(value) AS score, (event_type = 'purchase')::BIGINT AS label, 'S' || (event_id % 4) AS scenario, epoch_us(ts) AS us FROM events)"
+
+
+def ranked(s, d):
+    e = adapters.load(s, d, "events")
+    return e.select(F.col("event_id").alias("id"), F.floor("value").cast("double").alias("score"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).cast("bigint").alias("label"), F.concat(F.lit("S"), F.col("event_id") % 4).alias("scenario"), N.micros(F.col("ts")).alias("us"))
+
+
+@query(R + """ , n AS (SELECT *, row_number() OVER (ORDER BY us, id) - 1 AS pos, count(*) OVER () AS n FROM r)
+  SELECT id, CASE WHEN pos < floor(n * 0.7) THEN 'train' WHEN pos < floor(n * 0.85) THEN 'validation' ELSE 'test' END AS part FROM n""")
+def temporal_split(s, d):
+    return evaluate.temporal_split(ranked(s, d))
+
+
+@query(R + " , q AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM r) SELECT k, sum(label)::BIGINT AS hits, sum(label) / k AS precision_at_k, sum(label) / (SELECT sum(label) FROM r) AS recall_at_k FROM q, (VALUES (50), (100), (250), (500)) AS v(k) WHERE rank <= k GROUP BY k")
+def topk_precision(s, d):
+    return evaluate.top_k(ranked(s, d), [50, 100, 250, 500])
+
+
+CUM = R + " , g AS (SELECT score, sum(label) AS p, count(*) AS n FROM r GROUP BY score), c AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS seen FROM g)"
+
+
+@query(CUM + " SELECT round(sum(p * tp / seen) / sum(p), 6) AS average_precision FROM c")
+def pr_auc(s, d):
+    return evaluate.average_precision(ranked(s, d)).select(F.round("average_precision", 6).alias("average_precision"))
+
+
+@query(CUM + " SELECT round(1 - sum(p * ((seen - n) - (tp - p) + (n - p) / 2)) / (sum(p) * sum(n - p)), 6) AS roc_auc FROM c")
+def roc_auc(s, d):
+    return evaluate.roc_auc(ranked(s, d)).select(F.round("roc_auc", 6).alias("roc_auc"))
+
+
+@query(R + " , c AS (SELECT quantile_cont(score, (SELECT 1 - avg(label) FROM r)) AS t FROM r) SELECT round(any_value(t), 6) AS threshold, count(*) FILTER (score >= t AND label = 1) AS tp, count(*) FILTER (score >= t AND label = 0) AS fp, count(*) FILTER (score < t AND label = 1) AS fn FROM r, c")
+def percentile_threshold(s, d):
+    return evaluate.threshold(ranked(s, d)).select(F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn")
+
+
+@query(R + " , q AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM r) SELECT scenario, count(*) AS n, count(*) FILTER (rank <= 500) AS hits, count(*) FILTER (rank <= 500) / count(*) AS recall_at_k FROM q WHERE label = 1 GROUP BY scenario")
+def scenario_recall(s, d):
+    return evaluate.scenario_recall(ranked(s, d), 500)
+
+
+# --- reduction -----------------------------------------------------------------------------------------------------
+EDGES = "e AS (SELECT l_orderkey || '-' || l_linenumber AS txn, 'C' || (o_custkey % 500) AS sender, 'C' || (l_suppkey % 500) AS receiver FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+LEVELS = f"WITH {EDGES}, p AS (SELECT sender AS customer FROM e UNION SELECT receiver FROM e), l AS (SELECT customer, ((row_number() OVER (ORDER BY md5(customer), customer) - 1) // 100 + 1)::BIGINT AS level FROM p)"
+CHOSEN = LEVELS + " , n AS (SELECT greatest(a.level, b.level) AS level, count(*) AS k FROM e JOIN l a ON a.customer = sender JOIN l b ON b.customer = receiver GROUP BY 1), t AS (SELECT level, sum(k) OVER (ORDER BY level) AS total FROM n), s AS (SELECT customer FROM l WHERE level <= coalesce((SELECT min(level) FROM t WHERE total >= 10000), 1000000))"
+
+
+@query(LEVELS + " SELECT * FROM l")
+def reduce_levels(s, d):
+    return reduction.levels(adapters.edges(s, d))
+
+
+@query(CHOSEN + " SELECT txn, sender, receiver FROM e WHERE sender IN (SELECT customer FROM s) AND receiver IN (SELECT customer FROM s)")
+def reduce_closed_universe(s, d):
+    e = adapters.edges(s, d)
+    return reduction.closed_universe(e, reduction.select_customers(e)).select("txn", "sender", "receiver")
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def reduce_orphans(s, d):
+    return reduction.orphans(adapters.load(s, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("k")), adapters.load(s, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k").agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT c, count(*) AS n FROM (SELECT o_custkey AS c FROM orders UNION ALL SELECT o_orderkey % 97 FROM orders) GROUP BY c), g AS (SELECT CASE WHEN n <= 5 THEN n WHEN n <= 10 THEN 6 WHEN n <= 20 THEN 7 WHEN n <= 50 THEN 8 ELSE 9 END AS position, count(*) AS k FROM a GROUP BY 1)
+  SELECT v.position, v.bin, coalesce(k, 0) AS n_customers FROM (VALUES (1, '1'), (2, '2'), (3, '3'), (4, '4'), (5, '5'), (6, '6-10'), (7, '11-20'), (8, '21-50'), (9, '>50')) AS v(position, bin) LEFT JOIN g ON g.position = v.position""")
+def activity_histogram(s, d):
+    return reduction.histogram(adapters.load(s, d, "orders").select(F.col("o_custkey").alias("sender"), (F.col("o_orderkey") % 97).alias("receiver")))
+
+
+# --- extracted tables ----------------------------------------------------------------------------------------------
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN -round(value, 2) ELSE round(value, 2) END AS amount FROM events")
+def merge_debit_credit(s, d):
+    e = adapters.load(s, d, "events")
+    text = F.concat(F.lit("Rs. "), F.round("value", 2).cast("string"))
+    return e.select("event_id", F.round(grid.merge_debit_credit(F.when(F.col("event_id") % 3 == 1, text), F.when(F.col("event_id") % 3 == 2, text)), 2).alias("amount"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 4 <> 0")
+def summary_rows(s, d):
+    k = F.col("event_id") % 4
+    e = adapters.load(s, d, "events").withColumn("says", F.when(k == 0, F.when(F.col("event_id") % 8 == 0, "Opening Balance").otherwise("  GRAND TOTAL 5")).otherwise("UPI/1/total of x"))
+    return grid.drop_summary(e, "says").select("event_id")
+
+
+@query("SELECT user_id AS doc, event_id AS row_idx FROM events e WHERE event_id < coalesce((SELECT min(event_id) FROM events c WHERE c.user_id = e.user_id AND c.event_id % 11 = 5), 1e18)")
+def secondary_table_cut(s, d):
+    e = adapters.load(s, d, "events")
+    cells = F.when(F.col("event_id") % 11 == 5, F.array(F.lit("Charge Type"), F.lit("Tax Amount"))).otherwise(F.array(F.lit("period"), F.lit("x")))
+    return grid.cut_secondary(e.select(F.col("user_id").alias("doc"), F.col("event_id").alias("row_idx"), cells.alias("cells"))).select("doc", "row_idx")
+
+
+@query("SELECT event_id, 'IMPS' AS mode, event_id::VARCHAR AS reference, 'payee ' || user_id AS beneficiary, NULL::VARCHAR AS bank FROM events")
+def narration_parse(s, d):
+    e = adapters.load(s, d, "events").withColumn("says", F.concat(F.lit("imps / "), "event_id", F.lit("/payee "), "user_id"))
+    return e.select("event_id", N.narration(F.col("says")).alias("n")).select("event_id", "n.*")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 3 <> 0")
+def junk_rows(s, d):
+    e = adapters.load(s, d, "events")
+    return grid.drop_junk(e.select("event_id", F.array(F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, F.lit("  ")).otherwise(F.lit("x"))).alias("cells"))).select("event_id")
+
+
+HEADERS = {"bank": ["Txn Date", "Description", "Ref No", "Debit", "Credit", "Balance"], "cdr": ["Call Date", "Calling Number", "Called Number", "Duration", "IMEI", "Cell ID"], "ipdr": ["Session Date", "Source IP", "Dest IP", "Dest Port", "MSISDN", "Duration"]}
+
+
+@query("SELECT 'bank' AS expected, 'bank' AS found UNION ALL SELECT 'cdr', 'cdr' UNION ALL SELECT 'ipdr', 'ipdr'")
+def dataset_detect(s, d):
+    return s.createDataFrame([(k, grid.detect_dataset(h)) for k, h in HEADERS.items()], "expected string, found string")
+
+
+@query("SELECT 'Txn Date' AS header, 'Date' AS canonical UNION ALL SELECT 'Calling Number', 'A_Party_Number' UNION ALL SELECT 'Src IP', 'Source_IP_Address'")
+def column_map(s, d):
+    return s.createDataFrame([(h, grid.best_column(h, k)) for h, k in (("Txn Date", "bank"), ("Calling Number", "cdr"), ("Src IP", "ipdr"))], "header string, canonical string")
+
+
+@query("SELECT 2 AS header_row")
+def header_detect(s, d):
+    return s.createDataFrame([(grid.header_row([["Statement", None], ["x", "1"], HEADERS["bank"], ["01/02/2024", "UPI/1", "7", "5", None, "9"]]),)], "header_row int")
+
+
+# --- models --------------------------------------------------------------------------------------------------------
+MODEL = ["hour", "log_value", "cell"]
+
+
+def _model_rows(s, d):
+    e = adapters.load(s, d, "events")
+    return e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("label"), F.hour("ts").alias("hour"), F.log1p("value").alias("log_value"), (F.col("event_id") % 20).alias("cell"))
+
+
+@query()
+def train_rf(s, d):
+    rows = _model_rows(s, d)
+    return ml.random_forest(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), MODEL, trees=20)
+
+
+@query()
+def train_gbt(s, d):
+    rows = _model_rows(s, d)
+    return ml.boosted_trees(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), MODEL, rounds=10)
+
+
+@query()
+def isolation_forest(s, d):
+    return ml.isolation_forest(_model_rows(s, d), MODEL, trees=25)
