@@ -45,12 +45,12 @@ def timestamp(date: Column, time: Column) -> Column:
     return F.when(~missing(date) & ~missing(time), read.cast("timestamp_ntz"))
 
 
-def timestamp_fault(date: Column, time: Column) -> Column:
+def timestamp_fault(date: Column, time: Column, read: Column) -> Column:
     joined = F.concat_ws(" ", strip(date), strip(time))
     return (
         F.when(missing(date), F.lit("Missing date for timestamp"))
         .when(missing(time), F.lit("Missing time for timestamp"))
-        .when(timestamp(date, time).isNull(), F.concat(F.lit("Failed to parse datetime: "), joined))
+        .when(read.isNull(), F.concat(F.lit("Failed to parse datetime: "), joined))
     )
 
 

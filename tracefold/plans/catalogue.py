@@ -506,7 +506,8 @@ def roc_auc(s, d):
     return evaluate.roc_auc(ranked(s, d)).select(F.round("roc_auc", 6).alias("roc_auc"))
 
 
-@query(R + " , c AS (SELECT quantile_cont(score, (SELECT 1 - avg(label) FROM r)) AS t FROM r) SELECT round(any_value(t), 6) AS threshold, count(*) FILTER (score >= t AND label = 1) AS tp, count(*) FILTER (score >= t AND label = 0) AS fp, count(*) FILTER (score < t AND label = 1) AS fn FROM r, c")
+@query(R + """ , s AS (SELECT list(score ORDER BY score) AS x, (1 - avg(label)) * (count(*) - 1) AS q FROM r),
+  c AS (SELECT x[floor(q)::BIGINT + 1] + (q - floor(q)) * (x[ceil(q)::BIGINT + 1] - x[floor(q)::BIGINT + 1]) AS t FROM s) SELECT round(any_value(t), 6) AS threshold, count(*) FILTER (score >= t AND label = 1) AS tp, count(*) FILTER (score >= t AND label = 0) AS fp, count(*) FILTER (score < t AND label = 1) AS fn FROM r, c""")
 def percentile_threshold(s, d):
     return evaluate.threshold(ranked(s, d)).select(F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn")
 
