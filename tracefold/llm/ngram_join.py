@@ -31,6 +31,8 @@ from tracefold.llm.common import ascii_lower, components, discard, materialize,
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 #: Shingles per inverted-list partition; the number of partitions follows the input.
 LIST_TOKENS = 1 << 22
+#: Shingles of a batch that are split at once.
+SPLIT_TOKENS = 1 << 20
 #: Bits of a shingle hash kept besides those that number its partition.
 TOKEN_BITS = 48
 #: Classes of one exact search block; larger neighbourhoods are split into pairs of blocks.
@@ -94,10 +96,20 @@ def classes_of(base: DataFrame, size: int) -> DataFrame:
 
 def split_tokens(ids: list[bytes], groups: list[bytes], ns: list[int], sets: list[np.ndarray], bits: int):
     """Rows ``(p, ids, groups, ns, counts, low, high)``: the shingles of a batch, by partition of the hash space."""
+    at, n = 0, len(sets)
+    while at < n:  # parts of bounded size: the arrays of a whole batch would take the memory of the executor
+        to, size = at, 0
+        while to < n and (to == at or size + len(sets[to]) <= SPLIT_TOKENS):
+            size += len(sets[to])
+            to += 1
+        if size:
+            yield _split_part(ids[at:to], groups[at:to], ns[at:to], sets[at:to], bits)
+        at = to
+
+
+def _split_part(ids: list[bytes], groups: list[bytes], ns: list[int], sets: list[np.ndarray], bits: int) -> list[list]:
     counts = np.array([len(s) for s in sets])
-    if not counts.sum():
-        return
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), counts)
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), counts)
     part = (tokens >> np.uint64(64 - bits)).astype(np.uint16)
     order = np.argsort(part, kind="stable")
     rest = (tokens[order] >> np.uint64(64 - bits - TOKEN_BITS)) & np.uint64((1 << TOKEN_BITS) - 1)
@@ -109,7 +121,7 @@ def split_tokens(ids: list[bytes], groups: list[bytes], ns: list[int], sets: lis
         own, cnt = np.unique(owner[a:b], return_counts=True)
         for col, value in zip(out, (int(part[a]), b"".join(ids[i] for i in own), b"".join(groups[i] for i in own), np.array([ns[i] for i in own], np.uint32).tobytes(), cnt.astype(np.uint32).tobytes(), low[a:b].tobytes(), high[a:b].tobytes())):
             col.append(value)
-    yield out
+    return out
 
 
 SPLIT = "p int, ids binary, groups binary, ns binary, counts binary, low binary, high binary"
@@ -119,23 +131,32 @@ def shared_in(rows: list[tuple], bits: int, width: int):
     """Of one partition of the hash space: for each id the shingles that other groups have too, and in how many groups."""
     p = rows[0][0]
     ids = np.concatenate([np.frombuffer(r[1], f"V{width}") for r in rows])
-    groups = np.concatenate([np.frombuffer(r[2], f"V{width}") for r in rows])
+    groups = np.concatenate([np.frombuffer(r[2], f"V{width}") for r in rows])  # none: each id is its own group
     ns = np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows])
     counts = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows]).astype(np.int64)
     tokens = np.concatenate([np.frombuffer(r[5], np.uint32).astype(np.uint64) | (np.frombuffer(r[6], np.uint16).astype(np.uint64) << np.uint64(32)) for r in rows])
+    rows.clear()
     kept = np.zeros(len(ids), bool)
     kept[np.unique(ids, return_index=True)[1]] = True  # copies have the same shingles
-    owner = np.repeat(np.arange(len(ids)), counts)
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
     use = kept[owner]
     owner, tokens = owner[use], tokens[use]
-    group = np.unique(groups, return_inverse=True)[1][owner]
-    order = np.lexsort((group, tokens))
-    t, g = tokens[order], group[order]
-    first = np.r_[True, t[1:] != t[:-1]]
-    df = np.add.reduceat(np.r_[True, (t[1:] != t[:-1]) | (g[1:] != g[:-1])].astype(np.int64), np.flatnonzero(first))
-    df = df[np.cumsum(first) - 1]
+    if not len(tokens):
+        return
+    if len(groups):
+        group = np.unique(groups, return_inverse=True)[1].astype(np.int32)[owner]
+        order = np.lexsort((group, tokens))
+        t, g = tokens[order], group[order]
+        new = np.r_[True, (t[1:] != t[:-1]) | (g[1:] != g[:-1])]
+    else:
+        order = np.argsort(tokens, kind="stable")
+        t = tokens[order]
+        new = np.ones(len(t), bool)
+    starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    df = np.repeat(np.add.reduceat(new.astype(np.int32), starts), np.diff(np.r_[starts, len(t)]))
     many = df > 1
-    own, t, df = owner[order][many], t[many] | np.uint64(p << TOKEN_BITS), df[many]
+    own, t, df = owner[order[many]], t[many] | np.uint64(p << TOKEN_BITS), df[many]
+    del tokens, owner, order, new
     order = np.argsort(own, kind="stable")
     own, t, df = own[order], t[order], np.minimum(df[order], 0xFFFFFFFF).astype(np.uint32)
     starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else []
@@ -327,7 +348,7 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col:
             if len(s):
                 sets.setdefault(digest(s), s)
         keys = list(sets)
-        yield from split_tokens(keys, keys, [len(s) for s in sets.values()], list(sets.values()), bits)
+        yield from split_tokens(keys, [b""] * len(keys), [len(s) for s in sets.values()], list(sets.values()), bits)
 
     near = shared_tokens(arrow(base, split, SPLIT), bits, 16, percent).withColumnRenamed("id", "key")
     near = near.join(reps.select("key", "node"), "key").where("node is not null").select("node", "n", "lists")
