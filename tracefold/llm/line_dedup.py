@@ -26,7 +26,7 @@ BANDS, ROWS = 14, 4
 PERCENT = 75
 SALTS = 32
 #: Characters whose signatures are made at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 GAP = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -43,24 +43,22 @@ def shingles(line: str) -> set[str]:
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
-    """Band keys of the signatures of some lines, one row for each line (none may be empty)."""
-    lengths = np.array([len(x) for x in lines])
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    padded = np.r_[codes, np.zeros(SHINGLE, np.uint64)]
+    """Band keys of the signatures of some lines, one row for each line; a short line is filled up to one shingle."""
+    filled = [x.ljust(SHINGLE, "\0") for x in lines]
+    lengths = np.fromiter(map(len, filled), np.int64, len(filled))
+    h = np.frombuffer("".join(filled).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends = np.cumsum(lengths)
-    starts = ends - lengths
-    place = np.arange(len(codes))
-    owner_end = np.repeat(ends, lengths)
+    whole = np.ones(len(h), bool)
+    for i in range(1, SHINGLE):
+        whole[ends - i] = False
     with np.errstate(over="ignore"):
-        h = np.zeros(len(codes), np.uint64)
-        for i in range(SHINGLE):
-            inside = place + i < owner_end
-            h = h * np.uint64(MIX[0]) + np.where(inside, padded[i : i + len(codes)] + np.uint64(1), np.uint64(0))
-        h = scramble(h)
-        use = (place + SHINGLE <= owner_end) | (place == np.repeat(starts, lengths))
-        h, counts = h[use], np.maximum(1, lengths - SHINGLE + 1)
-        at = np.r_[0, np.cumsum(counts)[:-1]]
-        seeds = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(MIX[2])) | np.uint64(1)
+        step = 1
+        while step < SHINGLE:  # hashes of 2, 4 and then 8 characters
+            h = h[:-step] * np.uint64(MIX[step % len(MIX)]) + h[step:]
+            step *= 2
+        h = (scramble(h[whole[: len(h)]]) >> np.uint64(32)).astype(np.uint32)
+        at = np.r_[0, np.cumsum(lengths - SHINGLE + 1)[:-1]]
+        seeds = ((np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(MIX[2])) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         out = np.empty((len(lines), BANDS), np.int64)
         for b in range(BANDS):
             acc = np.full(len(lines), b + 1, np.uint64)
@@ -98,13 +96,19 @@ def banded_lines(batch) -> list:
 
 def meetings(classes: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of classes and a smaller one they share a band with: all of a band meet at its smallest, in a
-    band of many through the smallest of each salt."""
-    each = classes.select(F.col("key").alias("node"), F.posexplode("bands").alias("slot", "band"))
-    each = each.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    near = each.withColumn("centre", F.min("node").over(W.partitionBy("slot", "band", "salt")))
-    top = near.where("node = centre").select("slot", "band", "node").withColumn("centre", F.min("node").over(W.partitionBy("slot", "band")))
+    band of many through the smallest of each salt.
+
+    Bands are counted first (one long for each, combined before the exchange), as most are met once and only the others
+    go on.  Spark broadcasts those only where their table is small, and sorts both sides where it isn't."""
+    each = classes.select(F.col("key").alias("node"), F.explode("bands").alias("band"))
+    shared = materialize(each.groupBy("band").count().where("count > 1").select("band"), "bands")
+    each = each.join(shared, "band").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    near = each.withColumn("centre", F.min("node").over(W.partitionBy("band", "salt")))
+    top = near.where("node = centre").select("band", "node").withColumn("centre", F.min("node").over(W.partitionBy("band")))
     pairs = near.select("node", "centre").union(top.select("node", "centre")).where("node <> centre")
-    return pairs.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    out = materialize(pairs.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
+    discard(shared)
+    return out
 
 
 def exact_links(pairs: DataFrame, percent: int) -> DataFrame:
@@ -129,7 +133,7 @@ def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines = materialize(arrow(rows, lambda batch: [banded_lines(batch)], "doc_id bigint, line_no int, key binary, bands array<bigint>"), "lines")
     head = F.min(F.struct("doc_id", "line_no"))
     classes = materialize(lines.groupBy("key").agg(head.alias("head"), F.count("*").alias("k"), F.first("bands", ignorenulls=True).alias("bands")), "classes")
-    pairs = materialize(meetings(classes), "pairs")
+    pairs = meetings(classes)
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes.select("key", "head"), "key")
     wanted = wanted.groupBy(F.col("head.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("head.line_no").alias("n"), "key")).alias("wanted"))
 
