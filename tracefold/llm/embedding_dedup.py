@@ -95,16 +95,14 @@ def first_lists(reps: DataFrame, bits: int, seed: int) -> DataFrame:
     """Neighbour lists from buckets of random hyperplanes; a full bucket is dealt into parts, which rounds rejoin."""
 
     def codes(batch):
-        out = [[], [], [], [], []]
         vec, dims = batch.column("vec"), np.diff(batch.column("vec").offsets.to_numpy())
         for dim in np.unique(dims):
-            at = np.flatnonzero(dims == dim)
-            m = matrix(vec.take(pa.array(at)))
+            at = pa.array(np.flatnonzero(dims == dim))
+            ids, labels, own = batch.column("id").take(at), batch.column("label").take(at), vec.take(at)
+            m = matrix(own)
             for t in range(TABLES):
                 code = ((m @ planes(int(dim), max(1, bits), seed * 1000 + t)) > 0) @ (1 << np.arange(max(1, bits), dtype=np.int64))
-                for col, x in zip(out, (batch.column("id").take(pa.array(at)).to_pylist(), batch.column("label").take(pa.array(at)).to_pylist(), vec.take(pa.array(at)).to_pylist(), [int(dim) * TABLES + t] * len(at), code.tolist())):
-                    col.extend(x)
-        yield out
+                yield [ids, labels, own, np.full(len(at), int(dim) * TABLES + t), code]
 
     dealt = arrow(reps.select("id", "label", "vec"), codes, "id bigint, label string, vec array<float>, slot int, code bigint")
     keys = ["label", "slot", "code"]
