@@ -28,6 +28,8 @@ from tracefold.llm.ngram_join import arrow
 MIN_REVISIT = 1000
 SLICES = 65_536
 SHARD_BYTES, ROLL_BYTES = 64 << 20, 16 << 20
+#: Compressed bytes that the reader unpacks at once.
+PIECE = 16 << 10
 #: Fixed value: records carry this date, so that files depend on the table alone.
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "shard int, file string, temporary string, bytes bigint, records bigint, sha256 string"
@@ -137,11 +139,17 @@ def write(pages: DataFrame, target: str) -> DataFrame:
 
 
 def members(data: bytes):
-    """Records of a file: ``(headers, block)``, each a gzip member."""
-    while data:
-        unpack = zlib.decompressobj(31)
-        raw = unpack.decompress(data)
-        data = unpack.unused_data
+    """Records of a file: ``(headers, block)``, each a gzip member.
+
+    The file is fed in pieces, so that what follows a member is never copied as a whole."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unpack, parts = zlib.decompressobj(31), []
+        while not unpack.eof and at < len(view):
+            piece = view[at : at + PIECE]
+            parts.append(unpack.decompress(piece))
+            at += len(piece) - len(unpack.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         yield headers, rest[: int(headers["Content-Length"])]
