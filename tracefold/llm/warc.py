@@ -30,6 +30,8 @@ SLICES = 65_536
 SHARD_BYTES, ROLL_BYTES = 64 << 20, 16 << 20
 #: Compressed bytes that the reader unpacks at once.
 PIECE = 16 << 10
+#: Tasks that write; beyond so many shards each task writes several, one after the other.
+MOST_TASKS = 20_000
 #: Fixed value: records carry this date, so that files depend on the table alone.
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "shard int, file string, temporary string, bytes bigint, records bigint, sha256 string"
@@ -62,13 +64,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
 
 
 def planned(pages: DataFrame) -> DataFrame:
-    """Pages with size, digest and the record they revisit, and the shard they go to."""
+    """Pages with size, digest and the record they revisit, and the shard they go to; partition ``i`` of the result has
+    the shards that are ``i`` modulo the number of partitions."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("bigint")).withColumn("digest", F.sha1("payload"))
     slim = materialize(rows.select("page_id", "size", "digest"), "pages")
     heads = slim.where(F.col("size") >= MIN_REVISIT).groupBy("digest", "size").agg(F.max("page_id").alias("head"), F.count("*").alias("k")).where("k > 1 and head is not null")
     heads = materialize(heads.drop("k"), "heads")
-    lo, hi = slim.agg(F.min("page_id"), F.max("page_id")).first()
+    lo, hi, total = slim.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("size") + 400)).first()
     width = ((hi or 0) - (lo or 0)) // SLICES + 1
     place = F.floor((F.coalesce("page_id", F.lit(lo or 0)) - F.lit(lo or 0)) / F.lit(width))
     # At most SLICES + 1 rows, whatever the input.
@@ -77,12 +80,15 @@ def planned(pages: DataFrame) -> DataFrame:
     sums = sums.withColumn("shard", shard.cast("int")).drop("s")
     rows = rows.withColumn("slice", place).join(F.broadcast(sums), "slice").drop("slice")
     rows = rows.join(heads, ["digest", "size"], "left")
-    return rows.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("head")), F.col("head"))).drop("head")
+    rows = rows.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("head")), F.col("head"))).drop("head")
+    # A shard for each task, not hashed: two shards never meet in a task while another has none.
+    parts = min((total or 0) // SHARD_BYTES + 1, MOST_TASKS)
+    return rows.repartitionById(parts, F.pmod("shard", F.lit(parts)))
 
 
 def write(pages: DataFrame, target: str) -> DataFrame:
     """Write ``pages`` as WARC files under ``target`` (a folder all executors share) and return the manifest."""
-    rows = planned(pages).repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    rows = planned(pages).sortWithinPartitions("shard", "page_id", "digest", "url")
     attempt = uuid.uuid4().hex
 
     def run(batches):
