@@ -75,6 +75,24 @@ def test_near_lines_go(spark):
     assert line_dedup.clean_lines(docs(spark, rows)).columns == docs(spark, []).columns
 
 
+def test_near_lines_of_a_loose_group_go(spark):
+    """Copies of one line that differ from each other more than from it: most are near to few others."""
+    from test_pipeline import lines_left
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(2000)]
+    rows = []
+    for g in range(3):
+        base = rng.choices(vocabulary, k=60)
+        for _ in range(60):
+            copy = list(base)
+            for _ in range(rng.randint(1, 4)):
+                copy[rng.randrange(60)] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy)))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == lines_left(dict(rows))
+
+
 def test_links_of_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((30, 16))

@@ -2,7 +2,8 @@
 
 Equal lines (runs of white space count as one space) form one class.  MinHash signatures are cut into bands; the classes
 of a band meet at a centre, hot bands at several salted ones, and each meeting is decided by the exact Jaccard similarity
-of the lines.  Union-find over the links gives components, and of all lines of a component the first stays.
+of the lines.  Bands that then still hold several components meet at further centres, until that links nothing more.
+Union-find over the links gives components, and of all lines of a component the first stays.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SHINGLE = 8
 BANDS, ROWS = 14, 4
 PERCENT = 75
 SALTS = 32
+#: Further centres of a band that holds several components, in each turn.
+CENTRES = 8
 #: Characters whose signatures are made at once.
 CHUNK = 1 << 16
 GAP = re.compile(r"[\x20\x09-\x0D]+")
@@ -94,20 +97,37 @@ def banded_lines(batch) -> list:
     return [ids, numbers, keys, bands]
 
 
-def meetings(classes: DataFrame) -> DataFrame:
+def meetings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs ``(a, b)`` of classes and a smaller one they share a band with: all of a band meet at its smallest, in a
-    band of many through the smallest of each salt.
+    band of many through the smallest of each salt.  Also ``(band, node)``, the members of the bands of several.
 
     Bands are counted first (one long for each, combined before the exchange), as most are met once and only the others
     go on.  Spark broadcasts those only where their table is small, and sorts both sides where it isn't."""
     each = classes.select(F.col("key").alias("node"), F.explode("bands").alias("band"))
     shared = materialize(each.groupBy("band").count().where("count > 1").select("band"), "bands")
-    each = each.join(shared, "band").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    members = materialize(each.join(shared, "band"), "members")
+    each = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     near = each.withColumn("centre", F.min("node").over(W.partitionBy("band", "salt")))
     top = near.where("node = centre").select("band", "node").withColumn("centre", F.min("node").over(W.partitionBy("band")))
     pairs = near.select("node", "centre").union(top.select("node", "centre")).where("node <> centre")
     out = materialize(pairs.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     discard(shared)
+    return out, members
+
+
+def further_meetings(members: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
+    """Pairs of the members of bands that hold several components, and up to ``CENTRES`` of the band, of another component.
+
+    A member near to no earlier centre may be near to one that is.  Each turn draws other centres by hash; its pairs grow
+    with the members of those bands, not with their square."""
+    rooted = members.join(comp, "node", "left").select("band", "node", F.coalesce("component", "node").alias("root"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    rest = materialize(rooted.join(several, "band"), "open")
+    drawn = [F.min_by(F.struct("node", "root"), F.xxhash64("node", "band", F.lit(turn * CENTRES + i))) for i in range(CENTRES)]
+    centres = rest.groupBy("band").agg(F.array_distinct(F.array(*drawn)).alias("centres"))
+    each = rest.join(centres, "band").select("node", "root", F.explode("centres").alias("c")).where("root <> c.root")
+    out = materialize(each.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct(), "pairs")
+    discard(rest)
     return out
 
 
@@ -133,7 +153,7 @@ def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines = materialize(arrow(rows, lambda batch: [banded_lines(batch)], "doc_id bigint, line_no int, key binary, bands array<bigint>"), "lines")
     head = F.min(F.struct("doc_id", "line_no"))
     classes = materialize(lines.groupBy("key").agg(head.alias("head"), F.count("*").alias("k"), F.first("bands", ignorenulls=True).alias("bands")), "classes")
-    pairs = meetings(classes)
+    pairs, members = meetings(classes)
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes.select("key", "head"), "key")
     wanted = wanted.groupBy(F.col("head.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("head.line_no").alias("n"), "key")).alias("wanted"))
 
@@ -149,15 +169,28 @@ def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         yield [keys, texts]
 
     texts = materialize(arrow(rows.join(wanted, "doc_id").select("text", "wanted"), fetch, "key binary, line string").dropDuplicates(["key"]), "texts")
-    full = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
-    links = materialize(exact_links(full, percent), "links")
+
+    def near(met):
+        full = met.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
+        return materialize(exact_links(full, percent), "links")
+
+    links, turn = near(pairs), 0
     comp = components(links)
+    while not (more := further_meetings(members, comp, turn)).isEmpty():
+        found = near(more)
+        discard(more)
+        if found.isEmpty():
+            break
+        both = materialize(links.union(found), "links")
+        discard(links, found, comp)
+        links, turn = both, turn + 1
+        comp = components(links)
     known = classes.select("key", "head", "k").join(comp, classes["key"] == comp["node"], "left").select("key", "head", "k", F.coalesce("component", "key").alias("root"))
     roots = known.groupBy("root").agg(F.min("head").alias("keep"), F.sum("k").alias("n")).where("n > 1").drop("n")
     dup = materialize(known.join(roots, "root").select("key", "keep"), "dups")
     gone = lines.select("doc_id", "line_no", "key").join(dup, "key").where(F.struct("doc_id", "line_no") != F.col("keep"))
     out = materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("line_no").alias("n"), "key")).alias("gone")), "gone")
-    discard(pairs, texts, classes, dup, lines)
+    discard(pairs, members, texts, links, classes, dup, lines)
     return out
 
 
