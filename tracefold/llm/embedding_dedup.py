@@ -28,6 +28,8 @@ THRESHOLD = 0.98
 #: First length of a neighbour list, and rounds; a saturated list doubles in each.
 NEIGHBOURS, ROUNDS = 8, 3
 TABLES, BUCKET = 8, 256
+#: Members of a bucket of several parts that all of its parts meet.
+PIVOTS = 4
 #: Nodes in the audit (a sample of fixed size), the recall it asks for, and how often the search may start again.
 AUDIT, RECALL, STARTS = 512, 0.98, 3
 BLOCK = 512
@@ -91,8 +93,11 @@ def nearest(ids: np.ndarray, sims: np.ndarray, k: int):
     return np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(sims, best, 1).ravel()
 
 
-def first_lists(reps: DataFrame, bits: int, seed: int) -> DataFrame:
-    """Neighbour lists from buckets of random hyperplanes; a full bucket is dealt into parts, which rounds rejoin."""
+def first_lists(reps: DataFrame, bits: int, seed: int, threshold: float) -> DataFrame:
+    """Neighbour lists from buckets of random hyperplanes.
+
+    A full bucket is dealt into parts, by other hashes in each table; every part also meets the pivots of its bucket, so
+    that the parts of a tight group hold together through links with these."""
 
     def codes(batch):
         vec, dims = batch.column("vec"), np.diff(batch.column("vec").offsets.to_numpy())
@@ -107,14 +112,21 @@ def first_lists(reps: DataFrame, bits: int, seed: int) -> DataFrame:
     dealt = arrow(reps.select("id", "label", "vec"), codes, "id bigint, label string, vec array<float>, slot int, code bigint")
     keys = ["label", "slot", "code"]
     sizes = dealt.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(BUCKET)).cast("int").alias("parts"))
-    dealt = dealt.join(materialize(sizes, "sizes"), keys).withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")).cast("int"))
+    dealt = dealt.join(materialize(sizes, "sizes"), keys).withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed), "slot"), F.col("parts")).cast("int"))
+    drawn = [F.min_by(F.struct("id", "vec", "part"), F.xxhash64("id", F.lit(seed), "slot", F.lit(i))) for i in range(PIVOTS)]
+    pivots = dealt.where("parts > 1").groupBy(*keys, "parts").agg(F.array_distinct(F.array(*drawn)).alias("drawn"))
+    pivots = pivots.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(*keys, "part", F.explode("drawn").alias("p")).where("p.part <> part")
+    cells = dealt.select(*keys, "part", "id", "vec", F.lit(False).alias("pivot")).unionByName(pivots.select(*keys, "part", "p.id", "p.vec", F.lit(True).alias("pivot")))
 
     def local(table):
         if table.num_rows > 1:
-            m = matrix(table.column("vec"))
-            return nearest(table.column("id").to_numpy(), cosines(m, m), NEIGHBOURS)
+            m, ids, pivot = matrix(table.column("vec")), table.column("id").to_numpy(), table.column("pivot").to_numpy()
+            sims = cosines(m, m)
+            u, v, sim = nearest(ids, sims, NEIGHBOURS)
+            a, b = np.nonzero(sims[:, pivot] >= threshold)
+            return np.r_[u, ids[a]], np.r_[v, ids[pivot][b]], np.r_[sim, sims[:, pivot][a, b]]
 
-    return grouped(dealt, [*keys, "part"], "u bigint, v bigint, sim double", local)
+    return grouped(cells, [*keys, "part"], "u bigint, v bigint, sim double", local)
 
 
 def best(edges: DataFrame, sizes: DataFrame | None) -> DataFrame:
@@ -148,7 +160,10 @@ def descend(reps: DataFrame, graph: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def search(reps: DataFrame, bits: int, seed: int, threshold: float) -> DataFrame:
     """Edges ``(a, b)`` at or above the threshold that one start of the search finds."""
-    graph = materialize(best(first_lists(reps, bits, seed), None), "graph")
+    first = materialize(first_lists(reps, bits, seed, threshold), "first")
+    near = materialize(first.where(F.col("sim") >= threshold).select("u", "v").distinct(), "near")
+    graph = materialize(best(first, None), "graph")
+    discard(first)
     sizes = reps.select(F.col("id").alias("u"), F.lit(NEIGHBOURS).alias("k"))
     for _ in range(ROUNDS):
         full = graph.groupBy("u").agg(F.min("sim").alias("least"), F.count("*").alias("n"))
@@ -161,7 +176,7 @@ def search(reps: DataFrame, bits: int, seed: int, threshold: float) -> DataFrame
         graph = merged
         if moved:
             break
-    return graph.where(F.col("sim") >= threshold).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+    return graph.where(F.col("sim") >= threshold).select("u", "v").union(near).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
 
 
 def audit(reps: DataFrame, threshold: float, seed: int) -> DataFrame:
