@@ -12,3 +12,36 @@ def test_parts_of_a_tight_group_hold_together(spark):
     reps = spark.createDataFrame(rows, "id long, label string, vec array<float>")
     comp = components(embedding_dedup.search(reps, 4, 0, embedding_dedup.THRESHOLD))
     assert comp.count() == 1000 and comp.select("component").distinct().count() == 1
+
+
+def test_rows_are_compared_when_recall_stays_short(spark, monkeypatch):
+    """Searches that find nothing: the audits see it and all rows of a label are compared, in several blocks."""
+    rng = np.random.default_rng(8)
+    base = np.repeat(rng.standard_normal((60, 16)), 2, axis=0)
+    rows = [(i, [float(x) for x in v + rng.standard_normal(16) * 0.01], "x") for i, v in enumerate(base)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(embedding_dedup, "search", lambda *_: none)
+    monkeypatch.setattr(embedding_dedup, "AUDIT", 4)
+    monkeypatch.setattr(embedding_dedup, "AUDITS", 2, raising=False)
+    monkeypatch.setattr(embedding_dedup, "WHOLE", 50, raising=False)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(120)}
+
+
+def test_isolated_pairs_in_a_strong_common_direction(spark):
+    """Background at cosine 0.94, pairs at 0.99: every pair is found."""
+    rng = np.random.default_rng(9)
+    common = rng.standard_normal(64)
+    common /= np.linalg.norm(common)
+    own = rng.standard_normal((1500, 64))
+    own -= np.outer(own @ common, common)
+    own /= np.linalg.norm(own, axis=1)[:, None]
+    base = np.sqrt(0.94) * common + np.sqrt(0.06) * own
+    pairs = np.concatenate([base, base[:100] + rng.standard_normal((100, 64)) * 0.01])
+    rows = [(i, [float(x) for x in v], "x") for i, v in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    m = np.array([r.embedding for r in df.orderBy("vec_id").collect()], float)
+    near = embedding_dedup.cosines(m, m) >= embedding_dedup.THRESHOLD
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {i: int(near[i].sum()) - 1 for i in range(len(m))}

@@ -3,8 +3,9 @@
 Equal vectors of a label form one class.  Random hyperplanes deal the classes into buckets, which give the first
 neighbour lists; each round then joins the neighbours of every node's neighbours (forward and reverse) and keeps the
 nearest.  Lists of which every entry is a near duplicate are saturated and grow twofold in the next round.  An audit
-compares a sample of nodes with all rows and, while recall is short, starts another round from new hyperplanes.  The
-edges above the threshold span components; inside a component all members are compared in blocks, which makes the
+compares a sample of nodes with all rows and, while recall is short, starts again from new hyperplanes with longer lists,
+larger buckets and more rounds.  Where the last start is short too, or the audit meets too few nodes with links to tell,
+all rows of a label are compared in blocks.  The edges above the threshold span components; inside a component all members are compared in blocks, which makes the
 link counts exact there and takes care of lists that are saturated still.
 """
 
@@ -30,9 +31,13 @@ NEIGHBOURS, ROUNDS = 8, 3
 TABLES, BUCKET = 8, 256
 #: Members of a bucket of several parts that all of its parts meet.
 PIVOTS = 4
-#: Nodes in the audit (a sample of fixed size), the recall it asks for, and how often the search may start again.
+#: Nodes in one audit, the recall it asks for, and how often the search starts before all rows are compared.
 AUDIT, RECALL, STARTS = 512, 0.98, 3
+#: Nodes with links that the audits of a start have to meet, and how many audits may look for them.
+LINKED, AUDITS = 64, 8
 BLOCK = 512
+#: Rows of a block where all rows are compared.
+WHOLE = 2048
 
 
 def grouped(df: DataFrame, keys: list[str], schema: str, fn: Callable) -> DataFrame:
@@ -93,7 +98,7 @@ def nearest(ids: np.ndarray, sims: np.ndarray, k: int):
     return np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(sims, best, 1).ravel()
 
 
-def first_lists(reps: DataFrame, bits: int, seed: int, threshold: float) -> DataFrame:
+def first_lists(reps: DataFrame, bits: int, seed: int, threshold: float, scale: int) -> DataFrame:
     """Neighbour lists from buckets of random hyperplanes.
 
     A full bucket is dealt into parts, by other hashes in each table; every part also meets the pivots of its bucket, so
@@ -111,7 +116,7 @@ def first_lists(reps: DataFrame, bits: int, seed: int, threshold: float) -> Data
 
     dealt = arrow(reps.select("id", "label", "vec"), codes, "id bigint, label string, vec array<float>, slot int, code bigint")
     keys = ["label", "slot", "code"]
-    sizes = dealt.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(BUCKET)).cast("int").alias("parts"))
+    sizes = dealt.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(BUCKET * scale)).cast("int").alias("parts"))
     dealt = dealt.join(materialize(sizes, "sizes"), keys).withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed), "slot"), F.col("parts")).cast("int"))
     drawn = [F.min_by(F.struct("id", "vec", "part"), F.xxhash64("id", F.lit(seed), "slot", F.lit(i))) for i in range(PIVOTS)]
     pivots = dealt.where("parts > 1").groupBy(*keys, "parts").agg(F.array_distinct(F.array(*drawn)).alias("drawn"))
@@ -122,27 +127,25 @@ def first_lists(reps: DataFrame, bits: int, seed: int, threshold: float) -> Data
         if table.num_rows > 1:
             m, ids, pivot = matrix(table.column("vec")), table.column("id").to_numpy(), table.column("pivot").to_numpy()
             sims = cosines(m, m)
-            u, v, sim = nearest(ids, sims, NEIGHBOURS)
+            u, v, sim = nearest(ids, sims, NEIGHBOURS * scale)
             a, b = np.nonzero(sims[:, pivot] >= threshold)
             return np.r_[u, ids[a]], np.r_[v, ids[pivot][b]], np.r_[sim, sims[:, pivot][a, b]]
 
     return grouped(cells, [*keys, "part"], "u bigint, v bigint, sim double", local)
 
 
-def best(edges: DataFrame, sizes: DataFrame | None) -> DataFrame:
+def best(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """The nearest entries of each list, as many as its node's size."""
     ranked = edges.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(W.partitionBy("u").orderBy(F.desc("sim"), "v")))
-    if sizes is None:
-        return ranked.where(F.col("rank") <= NEIGHBOURS).drop("rank")
     return ranked.join(sizes, "u").where("rank <= k").drop("rank", "k")
 
 
-def descend(reps: DataFrame, graph: DataFrame, sizes: DataFrame) -> DataFrame:
+def descend(reps: DataFrame, graph: DataFrame, sizes: DataFrame, scale: int) -> DataFrame:
     """One local join: the members of each neighbourhood are compared, and pairs nearer than a list's last go on."""
     worst = graph.groupBy("u").agg(F.min("sim").alias("worst"), F.count("*").alias("n")).join(sizes, "u")
     worst = worst.select(F.col("u").alias("member"), F.when(F.col("n") < F.col("k"), F.lit(-2.0)).otherwise(F.col("worst")).alias("worst"), "k")
     back = graph.select(F.col("v").alias("c"), F.col("u").alias("member"))
-    back = back.withColumn("r", F.row_number().over(W.partitionBy("c").orderBy(F.xxhash64("member")))).where(F.col("r") <= 2 * NEIGHBOURS).drop("r")
+    back = back.withColumn("r", F.row_number().over(W.partitionBy("c").orderBy(F.xxhash64("member")))).where(F.col("r") <= 2 * NEIGHBOURS * scale).drop("r")
     members = graph.select(F.col("u").alias("c"), F.col("v").alias("member")).union(back).union(sizes.select("u", "u")).distinct()
     members = members.join(worst, "member").join(reps.select(F.col("id").alias("member"), "vec"), "member")
 
@@ -158,18 +161,20 @@ def descend(reps: DataFrame, graph: DataFrame, sizes: DataFrame) -> DataFrame:
     return grouped(members, ["c"], "u bigint, v bigint, sim double", local)
 
 
-def search(reps: DataFrame, bits: int, seed: int, threshold: float) -> DataFrame:
-    """Edges ``(a, b)`` at or above the threshold that one start of the search finds."""
-    first = materialize(first_lists(reps, bits, seed, threshold), "first")
+def search(reps: DataFrame, bits: int, seed: int, threshold: float, scale: int = 1) -> DataFrame:
+    """Edges ``(a, b)`` at or above the threshold that one start of the search finds; lists, buckets and rounds grow with
+    ``scale``, a power of two."""
+    bits = max(0, bits - scale.bit_length() + 1)
+    first = materialize(first_lists(reps, bits, seed, threshold, scale), "first")
     near = materialize(first.where(F.col("sim") >= threshold).select("u", "v").distinct(), "near")
-    graph = materialize(best(first, None), "graph")
+    sizes = reps.select(F.col("id").alias("u"), F.lit(NEIGHBOURS * scale).alias("k"))
+    graph = materialize(best(first, sizes), "graph")
     discard(first)
-    sizes = reps.select(F.col("id").alias("u"), F.lit(NEIGHBOURS).alias("k"))
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS + scale.bit_length() - 1):
         full = graph.groupBy("u").agg(F.min("sim").alias("least"), F.count("*").alias("n"))
         k = F.when((F.col("n") >= F.col("k")) & (F.col("least") >= threshold), F.col("k") * 2).otherwise(F.col("k"))
         sizes = materialize(sizes.join(full, "u", "left").select("u", F.coalesce(k, "k").cast("int").alias("k")), "sizes")
-        fresh = materialize(descend(reps, graph, sizes), "fresh")
+        fresh = materialize(descend(reps, graph, sizes, scale), "fresh")
         merged = materialize(best(graph.unionByName(fresh), sizes), "graph")
         moved = merged.join(graph.select("u", "v"), ["u", "v"], "left_anti").where(F.col("sim") >= threshold - 0.05).isEmpty()
         discard(graph, fresh)
@@ -179,9 +184,30 @@ def search(reps: DataFrame, bits: int, seed: int, threshold: float) -> DataFrame
     return graph.where(F.col("sim") >= threshold).select("u", "v").union(near).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
 
 
-def audit(reps: DataFrame, threshold: float, seed: int) -> DataFrame:
+def whole(reps: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
+    """Links ``(a, b)`` between components, by comparison of all rows of a label in blocks; two components are linked once
+    a block."""
+    rows = reps.join(comp.withColumnRenamed("node", "id"), "id", "left").select("label", F.size("vec").alias("dim"), "id", F.coalesce("component", "id").alias("comp"), "vec")
+    sizes = rows.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(WHOLE)).cast("int").alias("blocks"))
+    dealt = rows.join(materialize(sizes, "sizes"), ["label", "dim"]).withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("y", F.explode(F.expr("sequence(0, blocks - 1)"))).select("label", "dim", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "x", "id", "comp", "vec")
+
+    def local(table):
+        side, ids, comps = (table.column(c).to_numpy() for c in ("x", "id", "comp"))
+        v = matrix(table.column("vec"))
+        a, b = (np.flatnonzero(side == table.column(c)[0].as_py()) for c in ("p", "q"))
+        i, j = np.nonzero((cosines(v[a], v[b]) >= threshold) & (comps[a][:, None] != comps[b][None, :]))
+        x, y = comps[a][i], comps[b][j]
+        _, once = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1, return_index=True)
+        u, w = ids[a][i[once]], ids[b][j[once]]
+        return np.maximum(u, w), np.minimum(u, w)
+
+    return grouped(pairs, ["label", "dim", "p", "q"], "a bigint, b bigint", local).distinct()
+
+
+def audit(reps: DataFrame, threshold: float, seed: int, turn: int = 0) -> DataFrame:
     """All links ``(a, b)`` of a sample of fixed size, by comparison with every row; the sample is sent to all tasks."""
-    sample = reps.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(AUDIT).select("id", "label", "vec").toPandas()
+    sample = reps.orderBy(F.xxhash64("id", F.lit(seed)), "id").offset(AUDIT * turn).limit(AUDIT).select("id", "label", "vec").toPandas()
     by = {}
     for i, label, vec in sample.itertuples(index=False):
         by.setdefault((label, len(vec)), []).append((i, np.asarray(vec, np.float64)))
@@ -212,19 +238,28 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
     reps = materialize(reps, "vectors")
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, largest / 64))))
-    links = None
+    total, links, known = reps.count(), None, False
     for start in range(STARTS):
-        found = search(reps, bits, start, threshold)
+        found = search(reps, bits, start, threshold, 1 << start)
         links = materialize(found if links is None else links.union(found).distinct(), "links")
         comp = components(links)
-        true = materialize(audit(reps, threshold, start), "audit")
-        seen = true.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        n, hit = seen.agg(F.count("*"), F.count(F.when(F.col("ca") == F.col("cb"), 1))).first()
-        if hit < n:
+        true, n, hit, linked, turn = None, 0, 0, 0, 0
+        while turn < AUDITS and turn * AUDIT < total and linked < LINKED:
+            more = materialize(audit(reps, threshold, start, turn), "audit")
+            seen = more.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            n, hit = (x + y for x, y in zip((n, hit), seen.agg(F.count("*"), F.count(F.when(F.col("ca") == F.col("cb"), 1))).first()))
+            linked += more.select(F.explode(F.array("a", "b")).alias("id")).distinct().count()
+            true, turn = more if true is None else true.union(more), turn + 1
+        if true is not None and hit < n:
             links = materialize(links.union(true).distinct(), "links")
             comp = components(links)
-        if hit >= RECALL * n:
+        known = turn * AUDIT >= total or (linked >= LINKED and hit >= RECALL * n)
+        if known or linked < LINKED:
             break
+    if not known:
+        missed = materialize(whole(reps, comp, threshold), "missed")
+        if not missed.isEmpty():
+            comp = components(links.union(missed))
     inside = reps.join(comp, reps["id"] == comp["node"]).select("id", "m", "vec", "component")
     blocks = comp.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     inside = materialize(inside.join(blocks, "component").withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "inside")
