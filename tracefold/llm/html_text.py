@@ -3,7 +3,8 @@
 The page is read into a tree once.  Elements that are never main text (menus, headers, footers, asides, forms, scripts,
 adverts, notices, comments) are left out; of the others each gets a density: characters for each tag, lowered where
 much of the text is in links.  The subtree whose children's densities sum highest is the core; the smallest density on
-the path from the core up to the body is the threshold, and the outermost ancestor that reaches it is the main text.
+the path from the core's parent up to the body is the threshold.  Of every element that reaches it the subtree of the
+highest sum is main text, the core first; an article or main element around the core is kept whole.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def walk(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         out.append(node)
-        todo += [x for x in node.items if isinstance(x, Node) and not x.junk]
+        todo += [x for x in reversed(node.items) if isinstance(x, Node) and not x.junk]
     return out
 
 
@@ -146,18 +147,30 @@ def measure(nodes: list[Node]) -> None:
         node.parent.total += node.density
 
 
-def main_node(root: Node) -> Node:
+def main_nodes(root: Node) -> list[Node]:
+    """The subtrees that are main text, outermost ones only, in page order."""
     nodes = walk(root)
     measure(nodes)
     core = max(nodes, key=lambda x: x.total) if any(x.total for x in nodes) else root
     path = [core]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    least = min(x.density for x in path)
+    if len(path) == 1:
+        return [root]
     for node in reversed(path[:-1]):  # from below the body down to the core
-        if node.density >= least or node.tag in ("article", "main"):
-            return node
-    return root
+        if node.tag in ("article", "main"):
+            return [node]
+    least = min(x.density for x in path[1:])
+    top = {x: x for x in nodes}
+    for node in reversed(nodes[1:]):  # children before parents
+        if node.tag not in INLINE and top[node].total >= top[node.parent].total and top[node].total > 0:
+            top[node.parent] = top[node]
+    chosen = {top[x] for x in nodes if x.tag not in INLINE and x.density > 0 and x.density >= least} | {core}
+    held: set[Node] = set()
+    for node in nodes:  # parents before children
+        if node.parent in held or node.parent in chosen:
+            held.add(node)
+    return [x for x in nodes if x in chosen and x not in held]
 
 
 def blocks(node: Node) -> list[str]:
@@ -195,7 +208,7 @@ def blocks(node: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    return "\n".join(blocks(main_node(parse(page))))
+    return "\n".join(x for node in main_nodes(parse(page)) for x in blocks(node))
 
 
 def extract(pages: DataFrame) -> DataFrame:
