@@ -3,7 +3,8 @@
 A text becomes the piece lattice of its characters (a space is the mark U+2581, and one is put in front).  No piece
 crosses the start of a word, so the lattice falls into short ones, each solved once and kept: a forward pass gives the
 best score of every position, and a backward A-star search from the end, with those scores as exact heuristic, yields
-segmentations in descending order.  The N best of the text are then the N best sums over its words.
+segmentations in descending order.  The N best of the text are then the N best sums over its words, each with the ids of
+the paths that it sums.
 
 The vocabulary file ranks its pieces by merge order and holds no probabilities: a piece scores minus the logarithm of
 its rank (Zipf's law).  Characters that are no piece, and a literal U+2581, are spelled in byte pieces.
@@ -139,11 +140,12 @@ def lattice(model: str) -> Lattice:
     return Lattice(pieces, bytes_, -2 * math.log(n + 2.0))
 
 
-def sums(lists: list[list[float]], n: int) -> list[float]:
-    """The ``n`` largest sums of one entry from each list; entries descend."""
-    top = [0.0]
+def sums(lists: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The ``n`` largest sums of one entry from each list, less the sum of the first ones, with the places of the entries;
+    entries descend.  Of equal sums that of the earlier entries comes first."""
+    top: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
     for each in lists:
-        top = heapq.nlargest(n, (x + (y - each[0]) for x in top for y in each))
+        top = heapq.nlargest(n, ((x + (y - each[0]), (*at, j)) for x, at in top for j, y in enumerate(each)), key=lambda z: z[0])
     return top
 
 
@@ -157,7 +159,7 @@ class Coder:
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.ids: list[bytes] = []
-        self.scores: list[str | list[float]] = []
+        self.paths: list[str | tuple[list[float], list[bytes]]] = []
         self.first: list[float] = []
         self.gap: list[float] = []
 
@@ -168,29 +170,59 @@ class Coder:
             ids = self.lattice.nbest(word, 1)[0][1]
         self.index[word] = at = len(self.ids)
         self.ids.append(struct.pack(f"<{len(ids)}i", *ids))
-        self.scores.append(word)
+        self.paths.append(word)
         self.first.append(first)
         self.gap.append(gap)
         return at
 
-    def scores_of(self, at: int) -> list[float]:
-        if isinstance(self.scores[at], str):
-            self.scores[at] = [s for s, _ in self.lattice.nbest(self.scores[at], self.n)]
-        return self.scores[at]
-
-    def encode(self, text: str) -> tuple[bytes, list[float]]:
-        """Ids of the best segmentation, and the scores of the N best, best first."""
+    def paths_of(self, at: int) -> tuple[list[float], list[bytes]]:
+        """Scores and ids of the N best segmentations of a word; the one that was kept comes first, also where others equal it."""
+        if isinstance(self.paths[at], str):
+            found = self.lattice.nbest(self.paths[at], self.n)
+            ids = [struct.pack(f"<{len(i)}i", *i) for _, i in found]
+            self.paths[at] = [s for s, _ in found], [self.ids[at], *(i for i in ids if i != self.ids[at])][: len(ids)]
+        return self.paths[at]
+
+    def encode_all(self, text: str) -> tuple[list[list[bytes]], list[float]]:
+        """The N best segmentations, best first, and their scores.  The ids of each come in runs, which its parts with the
+        others in common share."""
         if not text:
-            return b"", [0.0]
+            return [[b""]], [0.0]
         if len(self.index) > KEPT_WORDS:
             self.forget()
         get, place = self.index.get, self.place
         at = [i if (i := get(w)) is not None else place(w) for w in CHUNKS.findall(" " + text)]
         total = math.fsum(map(self.first.__getitem__, at))
         # Only the n - 1 words with the smallest gaps can differ in one of the n best.
-        near = heapq.nsmallest(self.n - 1, at, key=self.gap.__getitem__)
-        rest = sums([self.scores_of(i) for i in near], self.n)
-        return b"".join(map(self.ids.__getitem__, at)), [total + x for x in rest]
+        gaps = list(map(self.gap.__getitem__, at))
+        near = sorted(heapq.nsmallest(self.n - 1, range(len(at)), key=gaps.__getitem__))
+        paths = [self.paths_of(at[i]) for i in near]
+        runs = [b"".join(map(self.ids.__getitem__, at[a:b])) for a, b in zip([0, *(i + 1 for i in near)], [*near, len(at)])]
+        out, scores = [], []
+        for more, places in sums([x for x, _ in paths], self.n):
+            whole = [runs[0]]
+            for j, (_, ids), run in zip(places, paths, runs[1:]):
+                whole += ids[j], run
+            out.append(whole)
+            scores.append(total + more)
+        return out, scores
+
+    def encode(self, text: str) -> tuple[bytes, list[float]]:
+        """Ids of the best segmentation, and the scores of the N best, best first."""
+        found, scores = self.encode_all(text)
+        return b"".join(found[0]), scores
+
+
+def run_digests(found: list[list[bytes]]) -> list[str]:
+    """SHA-256 of each segmentation; the run that all begin with is read once."""
+    start = hashlib.sha256(found[0][0])
+    out = []
+    for runs in found:
+        own = start.copy()
+        for run in runs[1:]:
+            own.update(run)
+        out.append(own.hexdigest())
+    return out
 
 
 class Decoder:
@@ -214,28 +246,35 @@ def coder(model: str, n_best: int) -> tuple[Coder, Decoder]:
 
 
 def encode_docs(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) -> DataFrame:
-    """``(doc_id, ids, scores, decoded)``: the best segmentation of each whole text, the scores of the ``n_best`` best in
-    descending order (fewer where the lattice has fewer), and the text decoded from the ids.
+    """``(doc_id, ids, scores, decoded, nbest_ids)``: the best segmentation of each whole text, the scores of the
+    ``n_best`` best in descending order (fewer where the lattice has fewer), the text decoded from the ids, and the ids of
+    each of the ``n_best``, in the order of the scores.
 
     One row for each row of ``docs``; ids may be null or repeat.  Null and empty texts have no ids, one score of 0 and
     decode to an empty text.  Other columns are not read; an empty table gives no rows."""
 
     def fn(batch):
         code, back = coder(model, n_best)
-        got = [code.encode(t or "") for t in batch.column("text").to_pylist()]
-        yield [batch.column("doc_id"), [np.frombuffer(i, "<i4") for i, _ in got], [s for _, s in got], [back.decode(i) for i, _ in got]]
+        got = [code.encode_all(t or "") for t in batch.column("text").to_pylist()]
+        every = [[b"".join(runs) for runs in found] for found, _ in got]
+        yield [batch.column("doc_id"), [np.frombuffer(x[0], "<i4") for x in every], [s for _, s in got], [back.decode(x[0]) for x in every], [[np.frombuffer(i, "<i4") for i in x] for x in every]]
 
-    return arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), fn, "doc_id bigint, ids array<int>, scores array<double>, decoded string")
+    return arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), fn, "doc_id bigint, ids array<int>, scores array<double>, decoded string, nbest_ids array<array<int>>")
 
 
 def digests(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) -> DataFrame:
-    """``(doc_id, n_pieces, scores, ids_sha256, round_trip)``: what ``encode_docs`` makes, without the ids; the digest is
-    over the ids as little-endian 32-bit numbers."""
+    """``(doc_id, n_pieces, scores, ids_sha256, round_trip, nbest_pieces, nbest_sha256)``: what ``encode_docs`` makes,
+    without the ids; digests are over the ids as little-endian 32-bit numbers, of the best and of each of the N best."""
 
     def fn(batch):
         code, back = coder(model, n_best)
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        got = [code.encode(t) for t in texts]
-        yield [batch.column("doc_id"), [len(i) // 4 for i, _ in got], [s for _, s in got], [hashlib.sha256(i).hexdigest() for i, _ in got], [back.decode(i) == t for (i, _), t in zip(got, texts)]]
-
-    return arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), fn, "doc_id bigint, n_pieces bigint, scores array<double>, ids_sha256 string, round_trip boolean")
+        columns: list[list] = [[] for _ in range(6)]
+        for text in texts:
+            found, scores = code.encode_all(text)
+            sizes, shas = [sum(map(len, runs)) // 4 for runs in found], run_digests(found)
+            for column, value in zip(columns, (sizes[0], scores, shas[0], back.decode(b"".join(found[0])) == text, sizes, shas)):
+                column.append(value)
+        yield [batch.column("doc_id"), *columns]
+
+    return arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), fn, "doc_id bigint, n_pieces bigint, scores array<double>, ids_sha256 string, round_trip boolean, nbest_pieces array<bigint>, nbest_sha256 array<string>")
