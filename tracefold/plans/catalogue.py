@@ -536,7 +536,7 @@ def reduce_closed_universe(s, d):
 
 @query("SELECT count(*) AS n FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def reduce_orphans(s, d):
-    return reduction.orphans(adapters.load(s, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("k")), adapters.load(s, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k").agg(F.count("*").alias("n"))
+    return reduction.orphans(adapters.load(s, d, "orders").select(F.col("o_orderkey").alias("k")), adapters.load(s, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k").agg(F.count("*").alias("n"))
 
 
 @query("""WITH a AS (SELECT c, count(*) AS n FROM (SELECT o_custkey AS c FROM orders UNION ALL SELECT o_orderkey % 97 FROM orders) GROUP BY c), g AS (SELECT CASE WHEN n <= 5 THEN n WHEN n <= 10 THEN 6 WHEN n <= 20 THEN 7 WHEN n <= 50 THEN 8 ELSE 9 END AS position, count(*) AS k FROM a GROUP BY 1)
