@@ -609,15 +609,15 @@ def _model_rows(s, d):
 @query()
 def train_rf(s, d):
     rows = _model_rows(s, d)
-    return ml.random_forest(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), MODEL, trees=20)
+    return ml.random_forest(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), MODEL)
 
 
 @query()
 def train_gbt(s, d):
     rows = _model_rows(s, d)
-    return ml.boosted_trees(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), MODEL, rounds=10)
+    return ml.boosted_trees(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), MODEL)
 
 
 @query()
 def isolation_forest(s, d):
-    return ml.isolation_forest(_model_rows(s, d), MODEL, trees=25)
+    return ml.isolation_forest(_model_rows(s, d), MODEL)
