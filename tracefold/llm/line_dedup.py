@@ -2,7 +2,8 @@
 
 Equal lines (runs of white space count as one space) form one class.  MinHash signatures are cut into bands; the classes
 of a band meet at a centre, hot bands at several salted ones, and each meeting is decided by the exact Jaccard similarity
-of the lines.  Bands that then still hold several components meet at further centres, until that links nothing more.
+of the lines.  Bands that then still hold several components meet at further centres while that links more; at last all
+pairs of such a band that lie in different components are decided, in blocks of bounded size.
 Union-find over the links gives components, and of all lines of a component the first stays.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import components, discard, materialize
+from tracefold.llm.embedding_dedup import grouped
 from tracefold.llm.ngram_join import MIX, arrow, scramble
 
 #: Characters of a shingle; a shorter line is one shingle.
@@ -28,6 +31,8 @@ PERCENT = 75
 SALTS = 32
 #: Further centres of a band that holds several components, in each turn.
 CENTRES = 8
+#: Lines of a block where all pairs of a band are compared.
+BLOCK = 512
 #: Characters whose signatures are made at once.
 CHUNK = 1 << 16
 GAP = re.compile(r"[\x20\x09-\x0D]+")
@@ -131,6 +136,54 @@ def further_meetings(members: DataFrame, comp: DataFrame, turn: int) -> DataFram
     return out
 
 
+def block_links(rows: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links of one block: rows ``(node, root, line)``; two components are linked once.
+
+    Two lines that link share one of the rarest ``n - need + 1`` shingles of each, by one order of all shingles, and
+    their sets are not too different in size; such pairs are decided exactly."""
+    rows = sorted({r[0]: r for r in rows}.values())
+    sets = [shingles(r[2]) for r in rows]
+    df = Counter(x for s in sets for x in s)
+    up: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while x in up:
+            x = up[x]
+        return x
+
+    links, index = [], {}
+    for i, own in enumerate(sets):
+        n = len(own)
+        prefix = sorted(own, key=lambda x: (df[x], x))[: n - -(-n * percent // 100) + 1]
+        for j in sorted({j for x in prefix for j in index.get(x, ())}):
+            m = len(sets[j])
+            if 100 * min(n, m) >= percent * max(n, m):
+                x, y = find(rows[i][1]), find(rows[j][1])
+                if x != y:
+                    same = len(own & sets[j])
+                    if 100 * same >= percent * (n + m - same):
+                        links.append((rows[i][0], rows[j][0]))
+                        up[max(x, y)] = min(x, y)
+        for x in prefix:
+            index.setdefault(x, []).append(i)
+    return links
+
+
+def rest_links(members: DataFrame, comp: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` of all pairs that share a band and lie in different components."""
+    rooted = members.join(comp, "node", "left").select("band", "node", F.coalesce("component", "node").alias("root"))
+    sizes = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("m")).where("lo <> hi").select("band", "m")
+    dealt = rooted.join(materialize(sizes, "sizes"), "band").withColumn("x", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0, m - 1)"))).select("band", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "node", "root")
+    full = dealt.join(texts.select(F.col("key").alias("node"), "line"), "node")
+
+    def local(table):
+        links = block_links(list(zip(*(table.column(c).to_pylist() for c in ("node", "root", "line")))), percent)
+        return [a for a, _ in links], [b for _, b in links]
+
+    return grouped(full, ["band", "p", "q"], "a binary, b binary", local).distinct()
+
+
 def exact_links(pairs: DataFrame, percent: int) -> DataFrame:
     def fn(batch):
         a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
@@ -185,12 +238,15 @@ def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         discard(links, found, comp)
         links, turn = both, turn + 1
         comp = components(links)
+    missed = materialize(rest_links(members, comp, texts, percent), "missed")
+    if not missed.isEmpty():
+        comp = components(links.union(missed))
     known = classes.select("key", "head", "k").join(comp, classes["key"] == comp["node"], "left").select("key", "head", "k", F.coalesce("component", "key").alias("root"))
     roots = known.groupBy("root").agg(F.min("head").alias("keep"), F.sum("k").alias("n")).where("n > 1").drop("n")
     dup = materialize(known.join(roots, "root").select("key", "keep"), "dups")
     gone = lines.select("doc_id", "line_no", "key").join(dup, "key").where(F.struct("doc_id", "line_no") != F.col("keep"))
     out = materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("line_no").alias("n"), "key")).alias("gone")), "gone")
-    discard(pairs, members, texts, links, classes, dup, lines)
+    discard(pairs, members, texts, links, missed, classes, dup, lines)
     return out
 
 
