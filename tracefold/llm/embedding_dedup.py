@@ -40,8 +40,8 @@ BLOCK = 512
 WHOLE = 2048
 
 
-def grouped(df: DataFrame, keys: list[str], schema: str, fn: Callable) -> DataFrame:
-    """``fn(table) -> columns or None`` for each group, streamed from sorted partitions."""
+def grouped(df: DataFrame, keys: list[str], schema: str, fn: Callable, parts: int | None = None) -> DataFrame:
+    """``fn(table) -> columns or None`` for each group, streamed from sorted partitions (``parts`` of them, where given)."""
     to = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
@@ -65,7 +65,8 @@ def grouped(df: DataFrame, keys: list[str], schema: str, fn: Callable) -> DataFr
         if held:
             yield from send(held)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    dealt = df.repartition(parts, *keys) if parts else df.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def matrix(col) -> np.ndarray:

@@ -1,25 +1,24 @@
 """Fuzzy line dedup by MinHash over character shingles.
 
-Equal lines (runs of white space count as one space) form one class.  MinHash signatures are cut into bands; the classes
-of a band meet at a centre, hot bands at several salted ones, and each meeting is decided by the exact Jaccard similarity
-of the lines.  Bands that then still hold several components meet at further centres while that links more; at last all
-pairs of such a band that lie in different components are decided, in blocks of bounded size.
-Union-find over the links gives components, and of all lines of a component the first stays.
+Equal lines (runs of white space count as one space) form one class.  MinHash signatures are cut into bands.  Band keys
+are dealt over the hash space, packed, and those that several classes hold are kept, once for each set of members.  The
+members of a band meet its smallest one first, and the exact Jaccard similarity of the lines decides.  Bands that then
+still hold several components are decided whole, in blocks of bounded size, so that no two near lines that share a band
+stay apart.  Union-find over the links gives components, and of all lines of a component the first stays.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import components, discard, materialize
+from tracefold.llm.common import components, discard, freed, materialize
 from tracefold.llm.embedding_dedup import grouped
 from tracefold.llm.ngram_join import MIX, arrow, scramble
 
@@ -28,24 +27,35 @@ SHINGLE = 8
 #: At a similarity of 0.75 a pair shares a band with probability 0.995, at 0.1 with 0.0014.
 BANDS, ROWS = 14, 4
 PERCENT = 75
-SALTS = 32
-#: Further centres of a band that holds several components, in each turn.
-CENTRES = 8
-#: Lines of a block where all pairs of a band are compared.
-BLOCK = 512
+#: Band keys of one part of the hash space, on average; a part of more than HEAVY is looked through for hot keys.
+PART_KEYS, HEAVY = 1 << 20, 1 << 22
+#: Lines of a block where all pairs of a band are compared, and columns of a step of its comparison.
+BLOCK, COLUMNS = 512, 8192
 #: Characters whose signatures are made at once.
 CHUNK = 1 << 16
 GAP = re.compile(r"[\x20\x09-\x0D]+")
+ODD = re.compile(r"  |[\t\x0B-\r]")
 
 
 def normal(line: str) -> str:
     return GAP.sub(" ", line).strip(" ")
 
 
+def normal_lines(text: str | None) -> list[str]:
+    """The lines of a text, each with its runs of white space as one space and none at its ends."""
+    lines = (text or "").split("\n")
+    return [x.strip(" ") for x in lines] if not ODD.search(text or "") else [normal(x) for x in lines]
+
+
 def line_key(line: str) -> bytes:
     return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def key_pair(line: str) -> tuple[int, int]:
+    key = line_key(line)
+    return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
+
+
 def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
@@ -67,186 +77,265 @@ def band_keys(lines: list[str]) -> np.ndarray:
         h = (scramble(h[whole[: len(h)]]) >> np.uint64(32)).astype(np.uint32)
         at = np.r_[0, np.cumsum(lengths - SHINGLE + 1)[:-1]]
         seeds = ((np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(MIX[2])) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        out = np.empty((len(lines), BANDS), np.int64)
+        out = np.empty((len(lines), BANDS), np.uint64)
+        mixed = np.empty_like(h)
         for b in range(BANDS):
             acc = np.full(len(lines), b + 1, np.uint64)
             for r in range(ROWS):
-                acc = scramble(acc * np.uint64(MIX[1]) + np.minimum.reduceat(h * seeds[b * ROWS + r], at))
-            out[:, b] = acc.view(np.int64)
-    return out
+                np.multiply(h, seeds[b * ROWS + r], out=mixed)
+                acc = scramble(acc * np.uint64(MIX[1]) + np.minimum.reduceat(mixed, at))
+            out[:, b] = acc
+    return out.view(np.int64)
 
 
 def banded_lines(batch) -> list:
-    """Rows ``(doc_id, line_no, key, bands)`` of a batch; bands only where a line comes first in it."""
-    ids, numbers, keys, fresh = [], [], [], {}
-    bands: list = []
+    """Columns ``(doc_id, line_no, k1, k2, bands)`` of a batch; bands only where a line comes first in it."""
+    ids, numbers, first, fresh = [], [], [], {}
     for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-        for i, line in enumerate((text or "").split("\n")):
-            line = normal(line)
+        for i, line in enumerate(normal_lines(text)):
             if line:
-                key = line_key(line)
                 ids.append(doc)
                 numbers.append(i)
-                keys.append(key)
-                fresh.setdefault(key, (len(bands), line))
-                bands.append(None)
-    todo = list(fresh.values())
-    while todo:
-        n, size = 0, 0
-        while n < len(todo) and (not n or size + len(todo[n][1]) <= CHUNK):
-            size += len(todo[n][1])
-            n += 1
-        for (at, _), row in zip(todo[:n], band_keys([x for _, x in todo[:n]])):
-            bands[at] = row
-        todo = todo[n:]
-    return [ids, numbers, keys, bands]
-
-
-def meetings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(a, b)`` of classes and a smaller one they share a band with: all of a band meet at its smallest, in a
-    band of many through the smallest of each salt.  Also ``(band, node)``, the members of the bands of several.
-
-    Bands are counted first (one long for each, combined before the exchange), as most are met once and only the others
-    go on.  Spark broadcasts those only where their table is small, and sorts both sides where it isn't."""
-    each = classes.select(F.col("key").alias("node"), F.explode("bands").alias("band"))
-    shared = materialize(each.groupBy("band").count().where("count > 1").select("band"), "bands")
-    members = materialize(each.join(shared, "band"), "members")
-    each = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    near = each.withColumn("centre", F.min("node").over(W.partitionBy("band", "salt")))
-    top = near.where("node = centre").select("band", "node").withColumn("centre", F.min("node").over(W.partitionBy("band")))
-    pairs = near.select("node", "centre").union(top.select("node", "centre")).where("node <> centre")
-    out = materialize(pairs.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
-    discard(shared)
-    return out, members
-
-
-def further_meetings(members: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
-    """Pairs of the members of bands that hold several components, and up to ``CENTRES`` of the band, of another component.
-
-    A member near to no earlier centre may be near to one that is.  Each turn draws other centres by hash; its pairs grow
-    with the members of those bands, not with their square."""
-    rooted = members.join(comp, "node", "left").select("band", "node", F.coalesce("component", "node").alias("root"))
-    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    rest = materialize(rooted.join(several, "band"), "open")
-    drawn = [F.min_by(F.struct("node", "root"), F.xxhash64("node", "band", F.lit(turn * CENTRES + i))) for i in range(CENTRES)]
-    centres = rest.groupBy("band").agg(F.array_distinct(F.array(*drawn)).alias("centres"))
-    each = rest.join(centres, "band").select("node", "root", F.explode("centres").alias("c")).where("root <> c.root")
-    out = materialize(each.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct(), "pairs")
-    discard(rest)
-    return out
+                first.append(fresh.setdefault(line, len(fresh)))
+    lines = list(fresh)
+    keys = np.frombuffer(b"".join(map(line_key, lines)), "<i8").reshape(-1, 2)
+    parts, at = [], 0
+    while at < len(lines):
+        to, size = at, 0
+        while to < len(lines) and (to == at or size + len(lines[to]) <= CHUNK):
+            size += len(lines[to])
+            to += 1
+        parts.append(band_keys(lines[at:to]))
+        at = to
+    first = np.array(first, np.int64)
+    new = np.zeros(len(first), bool)
+    new[np.unique(first, return_index=True)[1]] = True  # classes are numbered in the order of their first lines
+    flat = np.concatenate(parts).ravel() if parts else np.empty(0, np.int64)
+    bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(new, BANDS, 0))].astype(np.int32), mask=np.r_[~new, False]), pa.array(flat))
+    return [ids, numbers, keys[first, 0], keys[first, 1], bands]
+
+
+def part_of(bands: np.ndarray, bits: int) -> np.ndarray:
+    return (bands.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def hot_bands(banded: DataFrame, bits: int) -> list[int]:
+    """Band keys of more than half of ``HEAVY`` lines; only parts of more than ``HEAVY`` keys can hold them, and are counted.
+
+    There are at most ``2 / HEAVY`` of all band keys."""
+
+    def count(batch):
+        n = np.bincount(part_of(batch.column("bands").flatten().to_numpy(), bits))
+        some = np.flatnonzero(n)
+        yield [some, n[some]]
+
+    with freed(banded.sparkSession):
+        heavy = [r.p for r in arrow(banded.select("bands"), count, "p bigint, n bigint").groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY).collect()]
+    if not heavy:
+        return []
+
+    def inside(batch):
+        flat = batch.column("bands").flatten().to_numpy()
+        keys, n = np.unique(flat[np.isin(part_of(flat, bits), heavy)], return_counts=True)
+        yield [keys, n]
+
+    with freed(banded.sparkSession):
+        return [r.band for r in arrow(banded.select("bands"), inside, "band bigint, n bigint").groupBy("band").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY // 2).collect()]
+
+
+def members_of(lines: DataFrame) -> DataFrame:
+    """``(band, k1)``: the lines of the bands that several lines share; lines whose first 64 bits agree count as one here.
+
+    Packed band keys are dealt over parts of the hash space of about ``PART_KEYS``; the hot ones are known to be shared
+    and need not be dealt."""
+    banded = lines.where("bands is not null").select("k1", "bands")
+    total = banded.count() * BANDS
+    bits = min(22, max(6, math.ceil(math.log2(max(1, total / PART_KEYS)))))
+    hot = np.array(sorted(hot_bands(banded, bits)), np.int64)
+
+    def split(batch):
+        flat, nodes = batch.column("bands").flatten().to_numpy(), np.repeat(batch.column("k1").to_numpy(), BANDS)
+        if len(hot):
+            cold = ~np.isin(flat, hot)
+            flat, nodes = flat[cold], nodes[cold]
+        part = part_of(flat, bits)
+        order = np.argsort(part, kind="stable")
+        part, flat, nodes = part[order], flat[order], nodes[order]
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+        ends = np.r_[cuts[1:], len(part)] if len(part) else []
+        yield [part[cuts] if len(part) else [], [flat[a:b].tobytes() for a, b in zip(cuts, ends)], [nodes[a:b].tobytes() for a, b in zip(cuts, ends)]]
+
+    def shared(table):
+        band, node = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("bands", "nodes"))
+        order = np.argsort(band)
+        band, node = band[order], node[order]
+        same = band[1:] == band[:-1]
+        keep = np.r_[same, False] | np.r_[False, same]
+        band, node = band[keep], node[keep]
+        order = np.lexsort((node, band))
+        band, node = band[order], node[order]
+        new = np.r_[True, (band[1:] != band[:-1]) | (node[1:] != node[:-1])] if len(band) else np.empty(0, bool)
+        band, node = band[new], node[new]
+        same = band[1:] == band[:-1]
+        keep = np.r_[same, False] | np.r_[False, same] if len(band) else np.empty(0, bool)
+        return band[keep], node[keep]
+
+    out = grouped(arrow(banded, split, "p int, bands binary, nodes binary"), ["p"], "band bigint, k1 bigint", shared, 1 << bits)
+    if len(hot):
+
+        def known(batch):
+            flat, nodes = batch.column("bands").flatten().to_numpy(), np.repeat(batch.column("k1").to_numpy(), BANDS)
+            at = np.isin(flat, hot)
+            yield [flat[at], nodes[at]]
+
+        out = out.union(arrow(banded, known, "band bigint, k1 bigint").distinct())
+    return materialize(out, "members")
+
+
+def one_of_each_set(members: DataFrame) -> DataFrame:
+    """``(band, m, head, k1)``: of the bands with equal sets of members one stays, told by count, ends and sums of hashes."""
+    mark = F.struct(F.count("*").alias("m"), F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.sum(F.shiftright(F.xxhash64("k1"), 20)).alias("s"), F.bit_xor(F.xxhash64("k1", F.lit(1))).alias("x"))
+    sets = members.groupBy("band").agg(mark.alias("of")).groupBy("of").agg(F.min("band").alias("band"))
+    return materialize(members.join(sets.select("band", "of.m", F.col("of.lo").alias("head")), "band"), "sets")
+
+
+def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(id, k1, k2, line)`` of the lines that are to be compared; ``id`` is a number of its own for each."""
+    asked = classes.join(wanted.select("k1").distinct(), "k1").groupBy(F.col("head.doc_id").alias("doc_id"))
+    asked = asked.agg(F.collect_list(F.struct(F.col("head.line_no").alias("n"), "k1", "k2")).alias("wanted"))
+
+    def fetch(batch):
+        out: list[list] = [[], [], []]
+        for text, want in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+            lines = normal_lines(text)
+            for w in want:  # of rows of one id only one has the line there
+                if w["n"] < len(lines) and lines[w["n"]] and key_pair(lines[w["n"]]) == (w["k1"], w["k2"]):
+                    for column, value in zip(out, (w["k1"], w["k2"], lines[w["n"]])):
+                        column.append(value)
+        yield out
+
+    found = arrow(docs.join(asked, "doc_id").select("text", "wanted"), fetch, "k1 bigint, k2 bigint, line string")
+    return materialize(found.dropDuplicates(["k1", "k2"]).withColumn("id", F.monotonically_increasing_id()), "texts")
+
+
+def near(x: set[str], y: set[str], percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    same = len(x & y)
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
+def exact_links(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs ``(a, b, x, y)`` of lines ``x`` and ``y`` those that are near, as ``(a, b)``."""
+
+    def fn(batch):
+        a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
+        good, last, left = [], None, set()
+        for i in range(len(a)):
+            if y[i] != last:
+                last, left = y[i], shingles(y[i])
+            if near(shingles(x[i]), left, percent):
+                good.append(i)
+        yield [[a[i] for i in good], [b[i] for i in good]]
+
+    return arrow(pairs.select("a", "b", "x", "y"), fn, "a bigint, b bigint")
 
 
-def block_links(rows: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
-    """Links of one block: rows ``(node, root, line)``; two components are linked once.
+def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links of one block: rows ``(id, root, line)``; two components are linked once.
 
-    Two lines that link share one of the rarest ``n - need + 1`` shingles of each, by one order of all shingles, and
-    their sets are not too different in size; such pairs are decided exactly."""
+    Small blocks go pair by pair.  In others the shingles that several lines hold become columns of a 0/1 matrix, whose
+    product with itself counts what each two lines share, exactly."""
     rows = sorted({r[0]: r for r in rows}.values())
     sets = [shingles(r[2]) for r in rows]
-    df = Counter(x for s in sets for x in s)
-    up: dict[bytes, bytes] = {}
+    up: dict[int, int] = {}
 
-    def find(x: bytes) -> bytes:
+    def find(x: int) -> int:
         while x in up:
             x = up[x]
         return x
 
-    links, index = [], {}
-    for i, own in enumerate(sets):
-        n = len(own)
-        prefix = sorted(own, key=lambda x: (df[x], x))[: n - -(-n * percent // 100) + 1]
-        for j in sorted({j for x in prefix for j in index.get(x, ())}):
-            m = len(sets[j])
-            if 100 * min(n, m) >= percent * max(n, m):
-                x, y = find(rows[i][1]), find(rows[j][1])
-                if x != y:
-                    same = len(own & sets[j])
-                    if 100 * same >= percent * (n + m - same):
-                        links.append((rows[i][0], rows[j][0]))
-                        up[max(x, y)] = min(x, y)
-        for x in prefix:
-            index.setdefault(x, []).append(i)
+    links = []
+
+    def meet(i: int, j: int, sure: bool) -> None:
+        x, y = find(rows[i][1]), find(rows[j][1])
+        if x != y and (sure or near(sets[i], sets[j], percent)):
+            links.append((rows[i][0], rows[j][0]))
+            up[max(x, y)] = min(x, y)
+
+    if len(rows) <= 16:
+        for i in range(len(rows)):
+            for j in range(i):
+                meet(i, j, False)
+        return links
+    place: dict[str, int] = {}
+    flat = np.fromiter((place.setdefault(s, len(place)) for own in sets for s in own), np.int64)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    common = np.bincount(flat) > 1
+    owner, flat = owner[common[flat]], (np.cumsum(common) - 1)[flat[common[flat]]]
+    order = np.argsort(flat, kind="stable")
+    owner, flat = owner[order], flat[order]
+    same = np.zeros((len(rows), len(rows)), np.float32)
+    for at in range(0, int(common.sum()), COLUMNS):
+        a, b = np.searchsorted(flat, [at, at + COLUMNS])
+        held = np.zeros((len(rows), COLUMNS), np.float32)
+        held[owner[a:b], flat[a:b] - at] = 1
+        same += held @ held.T
+    roots = np.unique([r[1] for r in rows], return_inverse=True)[1]
+    good = (100 * same >= percent * (sizes[:, None] + sizes[None, :] - same)) & (roots[:, None] > roots[None, :])
+    for i, j in zip(*np.nonzero(good)):
+        meet(int(i), int(j), True)
     return links
 
 
-def rest_links(members: DataFrame, comp: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` of all pairs that share a band and lie in different components."""
-    rooted = members.join(comp, "node", "left").select("band", "node", F.coalesce("component", "node").alias("root"))
-    sizes = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("m")).where("lo <> hi").select("band", "m")
-    dealt = rooted.join(materialize(sizes, "sizes"), "band").withColumn("x", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0, m - 1)"))).select("band", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "node", "root")
-    full = dealt.join(texts.select(F.col("key").alias("node"), "line"), "node")
+def rest_links(sets: DataFrame, texts: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` of all pairs that share a band of three or more and lie in different components."""
+    held = sets.where("m > 2").select("band", "k1").join(texts.select("k1", "id", "line"), "k1")
+    rooted = materialize(held.join(comp, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("root"), "line"), "rooted")
+    sizes = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts")).where("lo <> hi").select("band", "parts")
+    dealt = rooted.join(sizes, "band").withColumn("x", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0, parts - 1)"))).select("band", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "id", "root", "line")
 
     def local(table):
-        links = block_links(list(zip(*(table.column(c).to_pylist() for c in ("node", "root", "line")))), percent)
+        links = block_links(list(zip(*(table.column(c).to_pylist() for c in ("id", "root", "line")))), percent)
         return [a for a, _ in links], [b for _, b in links]
 
-    return grouped(full, ["band", "p", "q"], "a binary, b binary", local).distinct()
-
+    out = materialize(grouped(dealt, ["band", "p", "q"], "a bigint, b bigint", local).distinct(), "missed")
+    discard(rooted)
+    return out
 
-def exact_links(pairs: DataFrame, percent: int) -> DataFrame:
-    def fn(batch):
-        a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
-        good, last, left = [], None, set()
-        for i in range(len(a)):
-            if y[i] != last:
-                last, left = y[i], shingles(y[i])
-            own = shingles(x[i])
-            same = len(own & left)
-            if 100 * same >= percent * (len(own) + len(left) - same):
-                good.append(i)
-        yield [[a[i] for i in good], [b[i] for i in good]]
 
-    return arrow(pairs.select("a", "b", "x", "y"), fn, "a binary, b binary")
+def same_key(a: DataFrame, b: DataFrame) -> Column:
+    return (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
 
 
 def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, gone)``: numbers and keys of the lines that go, for documents that lose any."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).where("doc_id is not null")
-    lines = materialize(arrow(rows, lambda batch: [banded_lines(batch)], "doc_id bigint, line_no int, key binary, bands array<bigint>"), "lines")
-    head = F.min(F.struct("doc_id", "line_no"))
-    classes = materialize(lines.groupBy("key").agg(head.alias("head"), F.count("*").alias("k"), F.first("bands", ignorenulls=True).alias("bands")), "classes")
-    pairs, members = meetings(classes)
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes.select("key", "head"), "key")
-    wanted = wanted.groupBy(F.col("head.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("head.line_no").alias("n"), "key")).alias("wanted"))
-
-    def fetch(batch):
-        keys, texts = [], []
-        for text, want in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-            parts = (text or "").split("\n")
-            for w in want:
-                line = normal(parts[w["n"]]) if w["n"] < len(parts) else ""
-                if line and line_key(line) == w["key"]:
-                    keys.append(w["key"])
-                    texts.append(line)
-        yield [keys, texts]
-
-    texts = materialize(arrow(rows.join(wanted, "doc_id").select("text", "wanted"), fetch, "key binary, line string").dropDuplicates(["key"]), "texts")
-
-    def near(met):
-        full = met.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
-        return materialize(exact_links(full, percent), "links")
-
-    links, turn = near(pairs), 0
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    lines = materialize(arrow(rows, lambda batch: [banded_lines(batch)], "doc_id bigint, line_no int, k1 bigint, k2 bigint, bands array<bigint>"), "lines")
+    members = members_of(lines)
+    places = lines.select("doc_id", "line_no", "k1", "k2")
+    classes = materialize(places.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("head"), F.count("*").alias("n")), "classes")
+    sets = one_of_each_set(members)
+    discard(members)
+    texts = texts_of(rows, classes, sets)
+    pairs = sets.where("k1 <> head").select("k1", "head").distinct()
+    full = pairs.join(texts.select("k1", F.col("id").alias("a"), F.col("line").alias("x")), "k1")
+    full = full.join(texts.select(F.col("k1").alias("head"), F.col("id").alias("b"), F.col("line").alias("y")), "head")
+    links = materialize(exact_links(full, percent), "links")
     comp = components(links)
-    while not (more := further_meetings(members, comp, turn)).isEmpty():
-        found = near(more)
-        discard(more)
-        if found.isEmpty():
-            break
-        both = materialize(links.union(found), "links")
-        discard(links, found, comp)
-        links, turn = both, turn + 1
-        comp = components(links)
-    missed = materialize(rest_links(members, comp, texts, percent), "missed")
+    missed = rest_links(sets, texts, comp, percent)
     if not missed.isEmpty():
+        discard(comp)
         comp = components(links.union(missed))
-    known = classes.select("key", "head", "k").join(comp, classes["key"] == comp["node"], "left").select("key", "head", "k", F.coalesce("component", "key").alias("root"))
-    roots = known.groupBy("root").agg(F.min("head").alias("keep"), F.sum("k").alias("n")).where("n > 1").drop("n")
-    dup = materialize(known.join(roots, "root").select("key", "keep"), "dups")
-    gone = lines.select("doc_id", "line_no", "key").join(dup, "key").where(F.struct("doc_id", "line_no") != F.col("keep"))
-    out = materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("line_no").alias("n"), "key")).alias("gone")), "gone")
-    discard(pairs, members, texts, links, missed, classes, dup, lines)
+    near_keys = texts.join(comp, texts["id"] == comp["node"]).select("k1", "k2", "component")
+    known = classes.join(near_keys, ["k1", "k2"], "left").where("n > 1 or component is not null")
+    heads = known.where("component is not null").groupBy("component").agg(F.min("head").alias("keep"))
+    dup = materialize(known.join(heads, "component", "left").select("k1", "k2", F.coalesce("keep", "head").alias("keep")), "dups")
+    gone = places.join(dup, ["k1", "k2"]).where(F.struct("doc_id", "line_no") != F.col("keep"))
+    out = materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("line_no").alias("n"), "k1", "k2")).alias("gone")), "gone")
+    discard(sets, texts, links, missed, comp, classes, dup, lines)
     return out
 
 
@@ -257,10 +346,7 @@ def without(text: str | None, gone: list[dict] | None) -> tuple[str | None, int,
     lines = text.split("\n")
     if not gone:
         return text, len(lines), 0
-    out = set()
-    for g in gone:
-        if g["n"] < len(lines) and line_key(normal(lines[g["n"]])) == g["key"]:
-            out.add(g["n"])
+    out = {g["n"] for g in gone if g["n"] < len(lines) and key_pair(normal(lines[g["n"]])) == (g["k1"], g["k2"])}
     return "\n".join(x for i, x in enumerate(lines) if i not in out), len(lines), len(out)
 
 
@@ -269,10 +355,11 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Lines are split at ``\\n``.  Those with a word are compared, over all documents: of a component of near-equal lines
     (Jaccard similarity of 8-character shingles of at least 0.75 along the links) the first stays, by document id and
-    line number.  Blank lines stay.  A null text stays null and has no lines; rows without an id are left as they are;
-    repeated rows of one id count as one.  Other columns are not read; an empty table gives no rows."""
+    line number.  Blank lines stay.  A null text stays null and has no lines; an empty one has one blank line.  Rows
+    without an id are left as they are; rows that repeat an id and its text count as one and lose the same lines; texts
+    of any length are read whole.  Other columns are not read, whatever their names; an empty table gives no rows."""
     gone = removals(docs, percent)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(gone, "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(gone, "doc_id", "left")
 
     def fn(batch):
         got = [without(t, g) for t, g in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist())]
@@ -282,23 +369,24 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def clean_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` with the lines that stay; ``n_chars``, where there is such a column, follows the text."""
-    gone = removals(docs, percent).withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("gone", "_gone")
-    joined = docs.join(gone, F.col("doc_id") == F.col("_doc_id"), "left")
+    """The rows of ``docs``, all columns kept, with the lines that stay; ``n_chars``, where there is such a column, follows
+    the text.
+
+    Nulls, empty and repeated rows and empty tables are treated as in ``dedup_lines``; columns of any other name and type
+    pass through."""
+    gone = removals(docs, percent)
     names = docs.columns
+    whole = docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in names]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    joined = whole.join(gone, "doc_id", "left").select("row", "gone")
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                texts = [without(t, g)[0] for t, g in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist())]
-                columns = []
-                for name in names:
-                    if name == "text":
-                        columns.append(pa.array(texts, batch.column(name).type))
-                    elif name == "n_chars":
-                        columns.append(pa.array([None if t is None else len(t) for t in texts], batch.column(name).type))
-                    else:
-                        columns.append(batch.column(name))
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    return joined.select(*[F.col(c) for c in names], "_gone").mapInArrow(run, docs.schema)
+                columns = dict(zip(names, batch.column("row").flatten()))
+                texts = [without(t, g)[0] for t, g in zip(columns["text"].to_pylist(), batch.column("gone").to_pylist())]
+                columns["text"] = pa.array(texts, columns["text"].type)
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    return joined.mapInArrow(run, docs.schema)
