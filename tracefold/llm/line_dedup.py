@@ -1,10 +1,11 @@
 """Fuzzy line dedup by MinHash over character shingles.
 
 Equal lines (runs of white space count as one space) form one class.  MinHash signatures are cut into bands.  Band keys
-are dealt over the hash space, packed, and those that several classes hold are kept, once for each set of members.  The
-members of a band meet its smallest one first, and the exact Jaccard similarity of the lines decides.  Bands that then
-still hold several components are decided whole, in blocks of bounded size, so that no two near lines that share a band
-stay apart.  Union-find over the links gives components, and of all lines of a component the first stays.
+are dealt over the hash space, packed, and those that several classes hold are kept.  The bands with one smallest member,
+the head, form a group, in which each line comes once; all its pairs are decided by the exact Jaccard similarity.  A large
+group is dealt into parts, each with the head; where it holds several components after that, the lines outside its largest
+one meet all others in blocks of bounded size.  So no two near lines that share a band stay apart.  Union-find over the
+links gives components, and of all lines of a component the first stays.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import components, discard, freed, materialize
@@ -29,7 +30,7 @@ BANDS, ROWS = 14, 4
 PERCENT = 75
 #: Band keys of one part of the hash space, on average; a part of more than HEAVY is looked through for hot keys.
 PART_KEYS, HEAVY = 1 << 20, 1 << 22
-#: Lines of a block where all pairs of a band are compared, and columns of a step of its comparison.
+#: Lines of a block of which all pairs are compared, and columns of a step of the comparison.
 BLOCK, COLUMNS = 512, 8192
 #: Characters whose signatures are made at once.
 CHUNK = 1 << 16
@@ -144,10 +145,10 @@ def hot_bands(banded: DataFrame, bits: int) -> list[int]:
 
 
 def members_of(lines: DataFrame) -> DataFrame:
-    """``(band, k1)``: the lines of the bands that several lines share; lines whose first 64 bits agree count as one here.
+    """``(head, k1)``: each line of a shared band with the smallest line of that band, unless it is that line itself.
 
-    Packed band keys are dealt over parts of the hash space of about ``PART_KEYS``; the hot ones are known to be shared
-    and need not be dealt."""
+    Lines whose first 64 bits agree count as one here.  Packed band keys are dealt over parts of the hash space of about
+    ``PART_KEYS``; the hot ones are not dealt, but combined before the exchange and joined."""
     banded = lines.where("bands is not null").select("k1", "bands")
     total = banded.count() * BANDS
     bits = min(22, max(6, math.ceil(math.log2(max(1, total / PART_KEYS)))))
@@ -158,29 +159,25 @@ def members_of(lines: DataFrame) -> DataFrame:
         if len(hot):
             cold = ~np.isin(flat, hot)
             flat, nodes = flat[cold], nodes[cold]
+        if not len(flat):
+            return
         part = part_of(flat, bits)
         order = np.argsort(part, kind="stable")
         part, flat, nodes = part[order], flat[order], nodes[order]
-        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-        ends = np.r_[cuts[1:], len(part)] if len(part) else []
-        yield [part[cuts] if len(part) else [], [flat[a:b].tobytes() for a, b in zip(cuts, ends)], [nodes[a:b].tobytes() for a, b in zip(cuts, ends)]]
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        ends = np.r_[cuts[1:], len(part)]
+        yield [part[cuts], [flat[a:b].tobytes() for a, b in zip(cuts, ends)], [nodes[a:b].tobytes() for a, b in zip(cuts, ends)]]
 
     def shared(table):
         band, node = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("bands", "nodes"))
         order = np.argsort(band)
         band, node = band[order], node[order]
-        same = band[1:] == band[:-1]
-        keep = np.r_[same, False] | np.r_[False, same]
-        band, node = band[keep], node[keep]
-        order = np.lexsort((node, band))
-        band, node = band[order], node[order]
-        new = np.r_[True, (band[1:] != band[:-1]) | (node[1:] != node[:-1])] if len(band) else np.empty(0, bool)
-        band, node = band[new], node[new]
-        same = band[1:] == band[:-1]
-        keep = np.r_[same, False] | np.r_[False, same] if len(band) else np.empty(0, bool)
-        return band[keep], node[keep]
+        starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+        head = np.repeat(np.minimum.reduceat(node, starts), np.diff(np.r_[starts, len(band)]))
+        met = np.unique(np.stack([head, node], axis=1)[head != node], axis=0)
+        return met[:, 0], met[:, 1]
 
-    out = grouped(arrow(banded, split, "p int, bands binary, nodes binary"), ["p"], "band bigint, k1 bigint", shared, 1 << bits)
+    out = grouped(arrow(banded, split, "p int, bands binary, nodes binary"), ["p"], "head bigint, k1 bigint", shared, 1 << bits)
     if len(hot):
 
         def known(batch):
@@ -188,15 +185,9 @@ def members_of(lines: DataFrame) -> DataFrame:
             at = np.isin(flat, hot)
             yield [flat[at], nodes[at]]
 
-        out = out.union(arrow(banded, known, "band bigint, k1 bigint").distinct())
-    return materialize(out, "members")
-
-
-def one_of_each_set(members: DataFrame) -> DataFrame:
-    """``(band, m, head, k1)``: of the bands with equal sets of members one stays, told by count, ends and sums of hashes."""
-    mark = F.struct(F.count("*").alias("m"), F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.sum(F.shiftright(F.xxhash64("k1"), 20)).alias("s"), F.bit_xor(F.xxhash64("k1", F.lit(1))).alias("x"))
-    sets = members.groupBy("band").agg(mark.alias("of")).groupBy("of").agg(F.min("band").alias("band"))
-    return materialize(members.join(sets.select("band", "of.m", F.col("of.lo").alias("head")), "band"), "sets")
+        each = arrow(banded, known, "band bigint, k1 bigint")
+        out = out.union(each.join(each.groupBy("band").agg(F.min("k1").alias("head")), "band").where("k1 <> head").select("head", "k1"))
+    return materialize(out.distinct(), "members")
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -225,22 +216,6 @@ def near(x: set[str], y: set[str], percent: int) -> bool:
     return 100 * same >= percent * (len(x) + len(y) - same)
 
 
-def exact_links(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs ``(a, b, x, y)`` of lines ``x`` and ``y`` those that are near, as ``(a, b)``."""
-
-    def fn(batch):
-        a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
-        good, last, left = [], None, set()
-        for i in range(len(a)):
-            if y[i] != last:
-                last, left = y[i], shingles(y[i])
-            if near(shingles(x[i]), left, percent):
-                good.append(i)
-        yield [[a[i] for i in good], [b[i] for i in good]]
-
-    return arrow(pairs.select("a", "b", "x", "y"), fn, "a bigint, b bigint")
-
-
 def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     """Links of one block: rows ``(id, root, line)``; two components are linked once.
 
@@ -289,27 +264,44 @@ def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def rest_links(sets: DataFrame, texts: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` of all pairs that share a band of three or more and lie in different components."""
-    held = sets.where("m > 2").select("band", "k1").join(texts.select("k1", "id", "line"), "k1")
-    rooted = materialize(held.join(comp, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("root"), "line"), "rooted")
-    sizes = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts")).where("lo <> hi").select("band", "parts")
-    dealt = rooted.join(sizes, "band").withColumn("x", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0, parts - 1)"))).select("band", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "id", "root", "line")
+def links_in(dealt: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links ``(a, b)`` of rows ``(*keys, id, root, line)``, all pairs of those with equal keys."""
 
     def local(table):
         links = block_links(list(zip(*(table.column(c).to_pylist() for c in ("id", "root", "line")))), percent)
         return [a for a, _ in links], [b for _, b in links]
 
-    out = materialize(grouped(dealt, ["band", "p", "q"], "a bigint, b bigint", local).distinct(), "missed")
-    discard(rooted)
+    return grouped(dealt, keys, "a bigint, b bigint", local).distinct()
+
+
+def group_links(members: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links ``(a, b)`` inside the parts of each group, which are of bounded size and all hold the head; and ``(head, parts)``
+    of the groups of several parts."""
+    sizes = materialize(members.groupBy("head").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts")), "sizes")
+    rows = members.join(sizes, "head").select("head", F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int").alias("part"), "k1")
+    heads = sizes.select("head", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("head").alias("k1"))
+    dealt = rows.union(heads).join(texts.select("k1", "id", "line"), "k1").withColumn("root", F.col("id"))
+    return materialize(links_in(dealt, ["head", "part"], percent), "links"), sizes.where("parts > 1")
+
+
+def rest_links(large: DataFrame, members: DataFrame, texts: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` across the parts of the large groups: the lines outside a group's largest component meet all its
+    lines, in blocks.  Lines of the largest one need not meet each other."""
+    rows = members.join(large, "head").select("head", "parts", "k1").union(large.select("head", "parts", F.col("head").alias("k1")))
+    rows = rows.join(texts.select("k1", "id", "line"), "k1").join(comp, F.col("id") == F.col("node"), "left")
+    rows = materialize(rows.select("head", "parts", "id", F.coalesce("component", "id").alias("root"), "line"), "rooted")
+    roots = rows.groupBy("head", "root").agg(F.count("*").alias("n")).groupBy("head")
+    roots = roots.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.ceil((F.sum("n") - F.max("n")) / F.lit(BLOCK)).cast("int").alias("others")).where("others > 0")
+    rows = rows.join(roots, "head")
+    x = F.pmod(F.xxhash64("id"), F.col("others")).cast("int")
+    outer = rows.where("root <> main").withColumn("x", x).withColumn("y", F.explode(F.expr("sequence(0, parts - 1)")))
+    every = rows.withColumn("y", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("x", F.explode(F.expr("sequence(0, others - 1)")))
+    columns = ["head", "x", "y", "id", "root", "line"]
+    out = materialize(links_in(outer.select(columns).union(every.select(columns)), ["head", "x", "y"], percent), "missed")
+    discard(rows)
     return out
 
 
-def same_key(a: DataFrame, b: DataFrame) -> Column:
-    return (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
-
-
 def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, gone)``: numbers and keys of the lines that go, for documents that lose any."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
@@ -317,25 +309,21 @@ def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = members_of(lines)
     places = lines.select("doc_id", "line_no", "k1", "k2")
     classes = materialize(places.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("head"), F.count("*").alias("n")), "classes")
-    sets = one_of_each_set(members)
-    discard(members)
-    texts = texts_of(rows, classes, sets)
-    pairs = sets.where("k1 <> head").select("k1", "head").distinct()
-    full = pairs.join(texts.select("k1", F.col("id").alias("a"), F.col("line").alias("x")), "k1")
-    full = full.join(texts.select(F.col("k1").alias("head"), F.col("id").alias("b"), F.col("line").alias("y")), "head")
-    links = materialize(exact_links(full, percent), "links")
+    texts = texts_of(rows, classes, members.select("k1").union(members.select("head")))
+    links, large = group_links(members, texts, percent)
     comp = components(links)
-    missed = rest_links(sets, texts, comp, percent)
-    if not missed.isEmpty():
-        discard(comp)
-        comp = components(links.union(missed))
+    if not large.isEmpty():
+        missed = rest_links(large, members, texts, comp, percent)
+        if not missed.isEmpty():
+            discard(comp)
+            comp = components(links.union(missed))
     near_keys = texts.join(comp, texts["id"] == comp["node"]).select("k1", "k2", "component")
     known = classes.join(near_keys, ["k1", "k2"], "left").where("n > 1 or component is not null")
     heads = known.where("component is not null").groupBy("component").agg(F.min("head").alias("keep"))
     dup = materialize(known.join(heads, "component", "left").select("k1", "k2", F.coalesce("keep", "head").alias("keep")), "dups")
     gone = places.join(dup, ["k1", "k2"]).where(F.struct("doc_id", "line_no") != F.col("keep"))
     out = materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("line_no").alias("n"), "k1", "k2")).alias("gone")), "gone")
-    discard(sets, texts, links, missed, comp, classes, dup, lines)
+    discard(members, texts, links, comp, classes, dup, lines)
     return out
 
 
