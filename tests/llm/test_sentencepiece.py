@@ -32,3 +32,39 @@ def test_all_n_segmentations_come_out(spark):
                     best[b] = max(best[b], best[a] + score.get(tuple(ids[a:b]), -np.inf))
                 assert abs(best[-1] - total) < 1e-9
     assert len(coded[0].nbest_ids) == 4
+
+
+def test_ties_and_long_runs():
+    """Runs of one character have very many equal paths; memory stays linear, and the order of equals is fixed."""
+    model, back = sentencepiece_nbest.coder(sentencepiece_nbest.MODEL, 4)
+    for text in ("a" * 100_000, "ab" * 20_000, "é☃" * 5_000, "a b " * 20_000):
+        found, scores = model.encode_all(text)
+        whole = [b"".join(x) for x in found]
+        assert len(set(whole)) == len(whole) and scores == sorted(scores, reverse=True)
+        assert all(back.decode(x) == text for x in whole)
+        model.forget()
+        assert [b"".join(x) for x in model.encode_all(text)[0]] == whole
+
+
+def test_nbest_against_all_paths():
+    """All paths of short words: the N best scores, and exactly equal sums for paths of equal pieces."""
+    lattice = sentencepiece_nbest.lattice(sentencepiece_nbest.MODEL)
+    for word in (" aaaaaa", " theother", "☃a▁b", " a", "\n", "      x"):
+        paths = [[(0.0, ())]] + [[] for _ in word]
+        for a, b, s, ids in lattice.edges(word):
+            paths[b] += [(x + s, (*p, *ids)) for x, p in paths[a]]
+        want = sorted((x for x, _ in paths[-1]), reverse=True)
+        got = lattice.nbest(word, 6)
+        assert [x for x, _ in got] == want[:6] and len({p for _, p in got}) == len(got)
+        assert all(dict((p, x) for x, p in paths[-1])[p] == x for x, p in got)
+        first, gap, ids = lattice.best_and_gap(word)
+        assert first == want[0] and tuple(ids) == got[0][1] and gap == (want[0] - want[1] if len(want) > 1 else np.inf)
+
+
+def test_edge_rows(spark):
+    rows = [(1, "x y", 1), (1, "x y", 1), (None, "x y", 1), (2, None, 1), (3, "", 1), (4, "word " * 30_000, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids int").withColumn("scores", sentencepiece_nbest.F.lit(1))
+    got = sorted(sentencepiece_nbest.digests(df).collect(), key=str)
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "3", "4", "None"] and all(r.round_trip for r in got)
+    assert len({r.ids_sha256 for r in got}) == 3 and {r.n_pieces for r in got if r.doc_id in (2, 3)} == {0}
+    assert sentencepiece_nbest.digests(df.limit(0)).count() == 0 == sentencepiece_nbest.encode_docs(df.limit(0)).count()

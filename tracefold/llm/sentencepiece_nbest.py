@@ -16,7 +16,8 @@ import hashlib
 import heapq
 import math
 import re
-import struct
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,96 +29,136 @@ from tracefold.llm.ngram_join import arrow
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 N_BEST = 4
-#: Words kept with their segmentation; the store is emptied when full.
-KEPT_WORDS = 400_000
+#: Scores are multiples of this.
+GRAIN = 2.0**-20
+#: Words kept with their segmentation, and characters of them; the store is emptied when full.
+KEPT_WORDS, KEPT_CHARS = 400_000, 1 << 23
 #: Words with the spaces before them; line ends and tabs are no pieces, so each stands alone.
 CHUNKS = re.compile(r" +[^ \n\t]*|[^ \n\t]+|[\n\t]")
 
 
+def grained(score: float) -> float:
+    return round(score / GRAIN) * GRAIN
+
+
 class Lattice:
-    """Pieces of a vocabulary with their scores, and the searches over them."""
+    """Pieces of a vocabulary with their scores, and the searches over them.
+
+    Scores are multiples of ``GRAIN``, so that their sums are exact and equal sums are equal in any order."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], byte_score: float):
-        self.trie: dict = {}
-        for piece, value in pieces.items():
-            node = self.trie
+        self.root: dict = {}
+        for piece, (i, score) in pieces.items():
+            kids = self.root
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = value
+                node = kids.setdefault(c, [{}, -1, 0.0])
+                kids = node[0]
+            node[1:] = i, score
+        self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
         self.byte_ids, self.byte_score = byte_ids, byte_score
 
-    def edges(self, word: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
-        """The pieces of the lattice, ``(start, end, score, ids)`` by start; spaces of ``word`` are marks."""
-        out = []
-        trie = self.trie
-        lattice = word.replace(MARK, "\0").replace(" ", MARK)
-        n = len(lattice)
-        for a in range(n):
-            node, b, single = trie, a, False
-            while b < n:
-                node = node.get(lattice[b])
-                if node is None:
+    @staticmethod
+    def marked(word: str) -> str:
+        """The word with marks for its spaces; a literal mark is no piece."""
+        return (word.replace(MARK, "\0") if MARK in word else word).replace(" ", MARK)
+
+    def spelled(self, c: str) -> tuple[float, tuple[int, ...]]:
+        """Score and ids of a character in byte pieces."""
+        raw = c.encode("utf-8", "surrogatepass")
+        return self.byte_score * len(raw), tuple(self.byte_ids[x] for x in raw)
+
+    def edges(self, word: str) -> Iterator[tuple[int, int, float, tuple[int, ...]]]:
+        """The pieces of the lattice, ``(start, end, score, ids)``, by start."""
+        marked = self.marked(word)
+        for a in range(len(word)):
+            kids, single = self.root, False
+            for b in range(a, len(word)):
+                hit = kids.get(marked[b])
+                if hit is None:
                     break
-                b += 1
-                value = node.get("")
-                if value is not None:
-                    out.append((a, b, value[1], value[0]))
-                    single |= b == a + 1
+                kids = hit[0]
+                if hit[1] >= 0:
+                    yield a, b + 1, hit[2], (hit[1],)
+                    single |= b == a
             if not single:
-                raw = word[a].encode("utf-8", "surrogatepass")
-                out.append((a, a + 1, self.byte_score * len(raw), tuple(self.byte_ids[x] for x in raw)))
-        return out
-
-    def best_and_gap(self, word: str) -> tuple[float, float, tuple[int, ...]]:
-        """The best score, how far below it the next segmentation is, and the ids of one of the best.
-
-        Any other segmentation has a piece that the best lacks: the next one is the best of the paths through these."""
-        edges, n = self.edges(word), len(word)
-        best, via = [-math.inf] * (n + 1), [None] * (n + 1)
+                score, ids = self.spelled(word[a])
+                yield a, a + 1, score, ids
+
+    def edges_to(self, word: str, marked: str, b: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
+        """The pieces that end at ``b``, ``(start, score, ids)``, the longest first."""
+        for a in range(max(0, b - self.longest), b):
+            hit = self.pieces.get(marked[a:b])
+            if hit is not None:
+                yield a, hit[1], (hit[0],)
+            elif a == b - 1:
+                yield a, *self.spelled(word[a])
+
+    def best_and_gap(self, word: str) -> tuple[float, float, list[int]]:
+        """The best score, how far below it the next segmentation is, and the ids of the best.
+
+        The forward pass carries the two best scores of every position.  Of equal paths the one whose last piece is the
+        longest wins, then the last but one, and so on."""
+        marked, n, root = self.marked(word), len(word), self.root
+        best, second, via = [-math.inf] * (n + 1), [-math.inf] * (n + 1), [None] * (n + 1)
         best[0] = 0.0
-        for edge in edges:
-            score = best[edge[0]] + edge[2]
-            if score > best[edge[1]]:
-                best[edge[1]], via[edge[1]] = score, edge
-        chosen, at = [], n
+        for a in range(n):
+            first, next_, kids, single = best[a], second[a], root, False
+            for b in range(a + 1, n + 1):
+                hit = kids.get(marked[b - 1])
+                if hit is None:
+                    break
+                kids, i, score = hit
+                if i >= 0:
+                    if b == a + 1:
+                        single = True
+                    x, held = first + score, best[b]
+                    if x > held:
+                        y = next_ + score
+                        second[b] = held if held > y else y
+                        best[b], via[b] = x, (a, i)
+                    elif x > second[b]:
+                        second[b] = x
+            if not single:
+                score, ids = self.spelled(word[a])
+                x, held = first + score, best[a + 1]
+                if x > held:
+                    second[a + 1] = max(held, next_ + score)
+                    best[a + 1], via[a + 1] = x, (a, ids)
+                elif x > second[a + 1]:
+                    second[a + 1] = x
+        ids, at = [], n
         while at:
-            chosen.append(via[at])
-            at = via[at][0]
-        rest = [-math.inf] * n + [0.0]
-        second, i = -math.inf, 0
-        for edge in reversed(edges):
-            a, tail = edge[0], edge[2] + rest[edge[1]]
-            if tail > rest[a]:
-                rest[a] = tail
-            if i < len(chosen) and edge is chosen[i]:
-                i += 1
-            elif best[a] + tail > second:
-                second = best[a] + tail
-        ids: list[int] = []
-        for edge in reversed(chosen):
-            if type(edge[3]) is int:
-                ids.append(edge[3])
+            at, i = via[at]
+            if type(i) is int:
+                ids.append(i)
             else:
-                ids += edge[3]
-        return best[n], max(0.0, best[n] - second), tuple(ids)
+                ids += reversed(i)
+        ids.reverse()
+        return best[n], best[n] - second[n], ids
 
     def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best segmentations, best first; ties go by ids."""
-        into: list[list] = [[] for _ in range(len(word) + 1)]
+        """The ``n`` best segmentations, best first; of equals as in ``best_and_gap``.
+
+        Backward A-star: a state is a suffix, its bound the best prefix score plus the score of the suffix.  As that is
+        the score of a whole path, no state beyond the ``n`` best can lead to one of the ``n`` best paths, and no more
+        are kept; suffixes share their tails."""
+        marked = self.marked(word)
         best = [0.0] + [-math.inf] * len(word)
-        for a, b, score, own in self.edges(word):
-            into[b].append((a, score, (own,) if type(own) is int else own))
+        for a, b, score, _ in self.edges(word):
             best[b] = max(best[b], best[a] + score)
-        # Backward search: a state is a suffix; its bound is the best prefix score plus the score of the suffix.
-        heap = [(-best[-1], (), len(word), 0.0)]
+        open_ = [(best[-1], len(word), 0.0, None)]
         out: list[tuple[float, tuple[int, ...]]] = []
-        while heap and len(out) < n:
-            _, ids, at, done = heapq.heappop(heap)
+        while open_ and len(out) < n:
+            _, at, done, tail = open_.pop(0)
             if at == 0:
-                out.append((done, ids))
+                ids: list[int] = []
+                while tail is not None:
+                    ids += tail[0]
+                    tail = tail[1]
+                out.append((done, tuple(ids)))
                 continue
-            for a, score, own in into[at]:
-                heapq.heappush(heap, (-(best[a] + score + done), own + ids, a, score + done))
+            fresh = [(best[a] + score + done, a, score + done, (own, tail)) for a, score, own in self.edges_to(word, marked, at)]
+            open_ = sorted(fresh + open_, key=lambda x: -x[0])[: n - len(out)]
         return out
 
 
@@ -136,8 +177,8 @@ def lattice(model: str) -> Lattice:
         piece = sp.id_to_piece(i)
         # Runs of marks have no rank in the file: they come last.
         rank = n if sp.get_score(i) < -n else int(-sp.get_score(i))
-        pieces[piece] = (i, -math.log(rank + 2.0))
-    return Lattice(pieces, bytes_, -2 * math.log(n + 2.0))
+        pieces[piece] = (i, grained(-math.log(rank + 2.0)))
+    return Lattice(pieces, bytes_, grained(-2 * math.log(n + 2.0)))
 
 
 def sums(lists: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -162,24 +203,24 @@ class Coder:
         self.paths: list[str | tuple[list[float], list[bytes]]] = []
         self.first: list[float] = []
         self.gap: list[float] = []
+        self.chars = 0
 
     def place(self, word: str) -> int:
         """Keep a word: its best segmentation, and the gap to the next; the search for more waits until it is asked."""
         first, gap, ids = self.lattice.best_and_gap(word)
-        if gap == 0.0:  # of equals the search decides
-            ids = self.lattice.nbest(word, 1)[0][1]
         self.index[word] = at = len(self.ids)
-        self.ids.append(struct.pack(f"<{len(ids)}i", *ids))
+        self.ids.append(array("i", ids).tobytes())
         self.paths.append(word)
         self.first.append(first)
         self.gap.append(gap)
+        self.chars += len(word)
         return at
 
     def paths_of(self, at: int) -> tuple[list[float], list[bytes]]:
         """Scores and ids of the N best segmentations of a word; the one that was kept comes first, also where others equal it."""
         if isinstance(self.paths[at], str):
             found = self.lattice.nbest(self.paths[at], self.n)
-            ids = [struct.pack(f"<{len(i)}i", *i) for _, i in found]
+            ids = [array("i", i).tobytes() for _, i in found]
             self.paths[at] = [s for s, _ in found], [self.ids[at], *(i for i in ids if i != self.ids[at])][: len(ids)]
         return self.paths[at]
 
@@ -188,7 +229,7 @@ class Coder:
         others in common share."""
         if not text:
             return [[b""]], [0.0]
-        if len(self.index) > KEPT_WORDS:
+        if len(self.index) > KEPT_WORDS or self.chars > KEPT_CHARS:
             self.forget()
         get, place = self.index.get, self.place
         at = [i if (i := get(w)) is not None else place(w) for w in CHUNKS.findall(" " + text)]
