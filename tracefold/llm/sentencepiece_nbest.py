@@ -48,13 +48,12 @@ class Lattice:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], byte_score: float):
         self.root: dict = {}
-        for piece, (i, score) in pieces.items():
-            kids = self.root
-            for c in piece:
-                node = kids.setdefault(c, [{}, -1, 0.0])
-                kids = node[0]
-            node[1:] = i, score
+        ends = {"": self.root}  # nodes of all beginnings of pieces: (children, id or -1, score)
+        for piece in sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)}):
+            ends[piece] = {}
+            ends[piece[:-1]][piece[-1]] = (ends[piece], *pieces.get(piece, (-1, 0.0)))
         self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        self.singles = {p for p in pieces if len(p) == 1}
         self.byte_ids, self.byte_score = byte_ids, byte_score
 
     @staticmethod
@@ -98,19 +97,17 @@ class Lattice:
 
         The forward pass carries the two best scores of every position.  Of equal paths the one whose last piece is the
         longest wins, then the last but one, and so on."""
-        marked, n, root = self.marked(word), len(word), self.root
+        marked, n, root, singles = self.marked(word), len(word), self.root, self.singles
         best, second, via = [-math.inf] * (n + 1), [-math.inf] * (n + 1), [None] * (n + 1)
         best[0] = 0.0
         for a in range(n):
-            first, next_, kids, single = best[a], second[a], root, False
+            first, next_, kids = best[a], second[a], root
             for b in range(a + 1, n + 1):
                 hit = kids.get(marked[b - 1])
                 if hit is None:
                     break
                 kids, i, score = hit
                 if i >= 0:
-                    if b == a + 1:
-                        single = True
                     x, held = first + score, best[b]
                     if x > held:
                         y = next_ + score
@@ -118,7 +115,7 @@ class Lattice:
                         best[b], via[b] = x, (a, i)
                     elif x > second[b]:
                         second[b] = x
-            if not single:
+            if marked[a] not in singles:
                 score, ids = self.spelled(word[a])
                 x, held = first + score, best[a + 1]
                 if x > held:
