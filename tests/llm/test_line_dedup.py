@@ -1,6 +1,6 @@
 import random
 
-from tracefold.llm import line_dedup
+from tracefold.llm import groups, line_dedup
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,7 +39,7 @@ def test_pairs_of_a_band_that_no_centre_joins_go(spark, monkeypatch):
     head = "".join(rng.choices(LETTERS, k=160))
     rows = [(i, head + "".join(rng.choices(LETTERS, k=30))) for i in range(600)]
     rows += [(1000 + i, t[:180] + "".join(rng.choices(LETTERS, k=10))) for i, t in rows[:20]]
-    monkeypatch.setattr(line_dedup, "BLOCK", 100)
+    monkeypatch.setattr(groups, "BLOCK", 100)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     sets = {i: line_dedup.shingles(t) for i, t in rows}
     bands = dict(zip(sets, map(set, line_dedup.band_keys([t for _, t in rows]).tolist())))
@@ -78,7 +78,7 @@ def test_loose_groups_with_hot_bands_against_all_pairs(spark, monkeypatch):
             for _ in range(2):
                 line[rng.randrange(150)] = rng.choice(LETTERS)
             rows.append((len(rows), "".join(line)))
-    monkeypatch.setattr(line_dedup, "HEAVY", 60)
+    monkeypatch.setattr(groups, "HEAVY", 60)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     gone = {r.doc_id for r in line_dedup.dedup_lines(df).where("n_removed > 0").collect()}
     assert gone == all_pairs(rows) and len(gone) > 300

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from tracefold.llm import groups, ngram_join
 from tracefold.llm.ngram_join import keep_one_per_group, ngram_components, t_occurrences
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, a long, b long"
@@ -88,3 +91,65 @@ def test_divide_skip_counts():
         counts = {x: sum(x in y for y in lists) for x in range(30)}
         for mu in (0.0085, 1.0, 100.0):
             assert t_occurrences(lists, least, mu) == {x: c for x, c in counts.items() if c >= least}
+
+
+def loose(seed, n=90):
+    """Copies of one text with many changes each: near to some others only."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(900)}" for _ in range(160)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randint(2, 6)):
+            words[rng.randrange(160)] = f"w{rng.randrange(900)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_loose_groups_in_several_parts(spark, monkeypatch):
+    """Groups of many parts, hot keys among them, against all pairs."""
+    rows = loose(8) + [(1000 + i, t) for i, t in loose(9)] + [(2000 + i, t) for i, t in made(4) if i >= 0]
+    monkeypatch.setattr(groups, "BLOCK", 15)
+    monkeypatch.setattr(groups, "HEAVY", 40)
+    want = brute(rows)
+    assert run(spark, rows) == want and 5 < len({c for i, _, c in want if i < 90}) < 90
+
+
+def test_links_come_from_the_search(spark, monkeypatch):
+    """Without what the T-occurrence search returns, no two different sets link."""
+    rows = [(i, t) for i, t in made(1)]
+    assert any(i != c for i, _, c in run(spark, rows))
+    monkeypatch.setattr(ngram_join, "t_occurrences", lambda *_: {})
+    sets = {}
+    for i, n, c in run(spark, rows):
+        sets.setdefault(c, set()).add(n)
+    assert all(len(x) == 1 for x in sets.values())
+
+
+def test_blocks_link_what_all_pairs_link():
+    rng = random.Random(12)
+    for _ in range(30):
+        base = [rng.sample(range(60), 30) for _ in range(3)]
+        rows = []
+        for i in range(25):
+            own = set(rng.choice(base)) ^ set(rng.sample(range(60), rng.randint(0, 6)))
+            rows.append((i, i if rng.random() < 0.8 else 0, len(own), np.array(sorted(own), np.uint64).tobytes()))
+        root = {r[1]: r[1] for r in rows}
+
+        def find(held, x):
+            while held[x] != x:
+                x = held[x]
+            return x
+
+        def join(held, a, b):
+            x, y = find(held, a), find(held, b)
+            held[max(x, y)] = min(x, y)
+
+        got, sets = dict(root), [set(np.frombuffer(r[3], np.uint64).tolist()) for r in rows]
+        for i in range(25):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    join(root, rows[i][1], rows[j][1])
+        for a, b in ngram_join.search_block(rows, 75):
+            join(got, rows[a][1], rows[b][1])
+        assert {x: find(got, x) for x in got} == {x: find(root, x) for x in root}

@@ -12,18 +12,15 @@ link counts exact there and takes care of lists that are saturated still.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from tracefold.llm.common import components, discard, materialize
-from tracefold.llm.ngram_join import arrow
+from tracefold.llm.groups import arrow, grouped
 
 THRESHOLD = 0.98
 #: First length of a neighbour list, and rounds; a saturated list doubles in each.
@@ -40,35 +37,6 @@ BLOCK = 512
 WHOLE = 2048
 
 
-def grouped(df: DataFrame, keys: list[str], schema: str, fn: Callable, parts: int | None = None) -> DataFrame:
-    """``fn(table) -> columns or None`` for each group, streamed from sorted partitions (``parts`` of them, where given)."""
-    to = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches):
-        def send(parts):
-            got = fn(pa.Table.from_batches(parts))
-            if got is not None and len(got[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(got, to.types)], schema=to)
-
-        held, key = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = list(zip(*(batch.column(k).to_pylist() for k in keys)))
-            cuts = [i for i in range(len(own)) if i == 0 or own[i] != own[i - 1]]
-            for a, b in zip(cuts, [*cuts[1:], len(own)]):
-                if held and own[a] != key:
-                    yield from send(held)
-                    held = []
-                key = own[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from send(held)
-
-    dealt = df.repartition(parts, *keys) if parts else df.repartition(*keys)
-    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
-
-
 def matrix(col) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     n = len(col)

@@ -11,7 +11,6 @@ links gives components, and of all lines of a component the first stays.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 
 import numpy as np
@@ -19,19 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import components, discard, freed, materialize
-from tracefold.llm.embedding_dedup import grouped
-from tracefold.llm.ngram_join import MIX, arrow, scramble
+from tracefold.llm.common import components, discard, materialize
+from tracefold.llm.groups import arrow, group_links, rest_links, smallest_holders
+from tracefold.llm.ngram_join import MIX, scramble
 
 #: Characters of a shingle; a shorter line is one shingle.
 SHINGLE = 8
 #: At a similarity of 0.75 a pair shares a band with probability 0.995, at 0.1 with 0.0014.
 BANDS, ROWS = 14, 4
 PERCENT = 75
-#: Band keys of one part of the hash space, on average; a part of more than HEAVY is looked through for hot keys.
-PART_KEYS, HEAVY = 1 << 20, 1 << 22
-#: Lines of a block of which all pairs are compared, and columns of a step of the comparison.
-BLOCK, COLUMNS = 512, 8192
+#: Columns of a step of the comparison of a block.
+COLUMNS = 8192
 #: Characters whose signatures are made at once.
 CHUNK = 1 << 16
 GAP = re.compile(r"[\x20\x09-\x0D]+")
@@ -116,83 +113,16 @@ def banded_lines(batch) -> list:
     return [ids, numbers, keys[first, 0], keys[first, 1], bands]
 
 
-def part_of(bands: np.ndarray, bits: int) -> np.ndarray:
-    return (bands.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def hot_bands(banded: DataFrame, bits: int) -> list[int]:
-    """Band keys of more than half of ``HEAVY`` lines; only parts of more than ``HEAVY`` keys can hold them, and are counted.
-
-    There are at most ``2 / HEAVY`` of all band keys."""
-
-    def count(batch):
-        n = np.bincount(part_of(batch.column("bands").flatten().to_numpy(), bits))
-        some = np.flatnonzero(n)
-        yield [some, n[some]]
-
-    with freed(banded.sparkSession):
-        heavy = [r.p for r in arrow(banded.select("bands"), count, "p bigint, n bigint").groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY).collect()]
-    if not heavy:
-        return []
-
-    def inside(batch):
-        flat = batch.column("bands").flatten().to_numpy()
-        keys, n = np.unique(flat[np.isin(part_of(flat, bits), heavy)], return_counts=True)
-        yield [keys, n]
-
-    with freed(banded.sparkSession):
-        return [r.band for r in arrow(banded.select("bands"), inside, "band bigint, n bigint").groupBy("band").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY // 2).collect()]
-
-
 def members_of(lines: DataFrame) -> DataFrame:
-    """``(head, k1)``: each line of a shared band with the smallest line of that band, unless it is that line itself.
-
-    Lines whose first 64 bits agree count as one here.  Packed band keys are dealt over parts of the hash space of about
-    ``PART_KEYS``; the hot ones are not dealt, but combined before the exchange and joined."""
-    banded = lines.where("bands is not null").select("k1", "bands")
-    total = banded.count() * BANDS
-    bits = min(22, max(6, math.ceil(math.log2(max(1, total / PART_KEYS)))))
-    hot = np.array(sorted(hot_bands(banded, bits)), np.int64)
-
-    def split(batch):
-        flat, nodes = batch.column("bands").flatten().to_numpy(), np.repeat(batch.column("k1").to_numpy(), BANDS)
-        if len(hot):
-            cold = ~np.isin(flat, hot)
-            flat, nodes = flat[cold], nodes[cold]
-        if not len(flat):
-            return
-        part = part_of(flat, bits)
-        order = np.argsort(part, kind="stable")
-        part, flat, nodes = part[order], flat[order], nodes[order]
-        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        ends = np.r_[cuts[1:], len(part)]
-        yield [part[cuts], [flat[a:b].tobytes() for a, b in zip(cuts, ends)], [nodes[a:b].tobytes() for a, b in zip(cuts, ends)]]
-
-    def shared(table):
-        band, node = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("bands", "nodes"))
-        order = np.argsort(band)
-        band, node = band[order], node[order]
-        starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-        head = np.repeat(np.minimum.reduceat(node, starts), np.diff(np.r_[starts, len(band)]))
-        met = np.unique(np.stack([head, node], axis=1)[head != node], axis=0)
-        return met[:, 0], met[:, 1]
-
-    out = grouped(arrow(banded, split, "p int, bands binary, nodes binary"), ["p"], "head bigint, k1 bigint", shared, 1 << bits)
-    if len(hot):
-
-        def known(batch):
-            flat, nodes = batch.column("bands").flatten().to_numpy(), np.repeat(batch.column("k1").to_numpy(), BANDS)
-            at = np.isin(flat, hot)
-            yield [flat[at], nodes[at]]
-
-        each = arrow(banded, known, "band bigint, k1 bigint")
-        out = out.union(each.join(each.groupBy("band").agg(F.min("k1").alias("head")), "band").where("k1 <> head").select("head", "k1"))
-    return materialize(out.distinct(), "members")
+    """``(head, node)`` of lines that share a band; a node is the first half of a line's key here, and lines that agree in it
+    count as one."""
+    banded = lines.where("bands is not null").select(F.col("k1").alias("node"), F.col("bands").alias("keys"))
+    return smallest_holders(banded, banded.count() * BANDS)
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(id, k1, k2, line)`` of the lines that are to be compared; ``id`` is a number of its own for each."""
-    asked = classes.join(wanted.select("k1").distinct(), "k1").groupBy(F.col("head.doc_id").alias("doc_id"))
+    """``(node, k2, line, id)`` of the lines that are to be compared; ``id`` is a number of its own for each."""
+    asked = classes.join(wanted.distinct(), F.col("k1") == F.col("node")).groupBy(F.col("head.doc_id").alias("doc_id"))
     asked = asked.agg(F.collect_list(F.struct(F.col("head.line_no").alias("n"), "k1", "k2")).alias("wanted"))
 
     def fetch(batch):
@@ -205,8 +135,8 @@ def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
                         column.append(value)
         yield out
 
-    found = arrow(docs.join(asked, "doc_id").select("text", "wanted"), fetch, "k1 bigint, k2 bigint, line string")
-    return materialize(found.dropDuplicates(["k1", "k2"]).withColumn("id", F.monotonically_increasing_id()), "texts")
+    found = arrow(docs.join(asked, "doc_id").select("text", "wanted"), fetch, "node bigint, k2 bigint, line string")
+    return materialize(found.dropDuplicates(["node", "k2"]).withColumn("id", F.monotonically_increasing_id()), "texts")
 
 
 def near(x: set[str], y: set[str], percent: int) -> bool:
@@ -264,44 +194,6 @@ def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def links_in(dealt: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links ``(a, b)`` of rows ``(*keys, id, root, line)``, all pairs of those with equal keys."""
-
-    def local(table):
-        links = block_links(list(zip(*(table.column(c).to_pylist() for c in ("id", "root", "line")))), percent)
-        return [a for a, _ in links], [b for _, b in links]
-
-    return grouped(dealt, keys, "a bigint, b bigint", local).distinct()
-
-
-def group_links(members: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links ``(a, b)`` inside the parts of each group, which are of bounded size and all hold the head; and ``(head, parts)``
-    of the groups of several parts."""
-    sizes = materialize(members.groupBy("head").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts")), "sizes")
-    rows = members.join(sizes, "head").select("head", F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int").alias("part"), "k1")
-    heads = sizes.select("head", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("head").alias("k1"))
-    dealt = rows.union(heads).join(texts.select("k1", "id", "line"), "k1").withColumn("root", F.col("id"))
-    return materialize(links_in(dealt, ["head", "part"], percent), "links"), sizes.where("parts > 1")
-
-
-def rest_links(large: DataFrame, members: DataFrame, texts: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` across the parts of the large groups: the lines outside a group's largest component meet all its
-    lines, in blocks.  Lines of the largest one need not meet each other."""
-    rows = members.join(large, "head").select("head", "parts", "k1").union(large.select("head", "parts", F.col("head").alias("k1")))
-    rows = rows.join(texts.select("k1", "id", "line"), "k1").join(comp, F.col("id") == F.col("node"), "left")
-    rows = materialize(rows.select("head", "parts", "id", F.coalesce("component", "id").alias("root"), "line"), "rooted")
-    roots = rows.groupBy("head", "root").agg(F.count("*").alias("n")).groupBy("head")
-    roots = roots.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.ceil((F.sum("n") - F.max("n")) / F.lit(BLOCK)).cast("int").alias("others")).where("others > 0")
-    rows = rows.join(roots, "head")
-    x = F.pmod(F.xxhash64("id"), F.col("others")).cast("int")
-    outer = rows.where("root <> main").withColumn("x", x).withColumn("y", F.explode(F.expr("sequence(0, parts - 1)")))
-    every = rows.withColumn("y", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("x", F.explode(F.expr("sequence(0, others - 1)")))
-    columns = ["head", "x", "y", "id", "root", "line"]
-    out = materialize(links_in(outer.select(columns).union(every.select(columns)), ["head", "x", "y"], percent), "missed")
-    discard(rows)
-    return out
-
-
 def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, gone)``: numbers and keys of the lines that go, for documents that lose any."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
@@ -309,15 +201,21 @@ def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = members_of(lines)
     places = lines.select("doc_id", "line_no", "k1", "k2")
     classes = materialize(places.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("head"), F.count("*").alias("n")), "classes")
-    texts = texts_of(rows, classes, members.select("k1").union(members.select("head")))
-    links, large = group_links(members, texts, percent)
+    texts = texts_of(rows, classes, members.select("node").union(members.select("head")))
+
+    def search(table):
+        return block_links(list(zip(*(table.column(c).to_pylist() for c in ("id", "root", "line")))), percent)
+
+    held = texts.select("node", "id", "line")
+    links, large = group_links(members, held, search)
     comp = components(links)
     if not large.isEmpty():
-        missed = rest_links(large, members, texts, comp, percent)
+        missed = rest_links(large, members, held, comp, search)
         if not missed.isEmpty():
             discard(comp)
             comp = components(links.union(missed))
-    near_keys = texts.join(comp, texts["id"] == comp["node"]).select("k1", "k2", "component")
+    found = comp.select(F.col("node").alias("id"), "component")
+    near_keys = texts.join(found, "id").select(F.col("node").alias("k1"), "k2", "component")
     known = classes.join(near_keys, ["k1", "k2"], "left").where("n > 1 or component is not null")
     heads = known.where("component is not null").groupBy("component").agg(F.min("head").alias("keep"))
     dup = materialize(known.join(heads, "component", "left").select("k1", "k2", F.coalesce("keep", "head").alias("keep")), "dups")

@@ -1,13 +1,14 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
 Documents whose shingle sets are equal form one class.  A pair with Jaccard similarity t or more shares at least
-``ceil(t * n)`` shingles of each side, so a first pass over inverted lists counts for each class how many of its
-shingles any other class has, and drops those below that number; only shared shingles of the survivors go on.
-Large groups of near copies are then joined through stars (MinHash bands pick a centre, the exact overlap decides),
-which costs one comparison for each member.  What is left - classes that still share enough shingles with *other*
-components - goes through an exact DivideSkip search, grouped by their rarest shared shingles: short inverted lists
-are heap-merged, long ones are binary-probed, and candidates reaching the required overlap are linked.  Nothing is
-dropped: links inside a component that is already joined are the only ones not looked for.
+``ceil(t * n)`` shingles of each side, so a pass over inverted lists counts for each class how many of its shingles any
+other class has, and drops those below that number.  Of the shared shingles of a class that holds ``cnt`` and needs
+``need``, two linked classes have one of the ``cnt - need + 1`` rarest in common; all classes that hold such a shingle meet
+in the group of its smallest holder.  There a T-occurrence search links them: each class is a query against inverted lists
+of the shingles of one class for each component found so far, short lists are heap-merged, long ones are binary-probed,
+and candidates that reach the required overlap are decided exactly.  Classes that could still link with another component
+then search the lists of all such classes.  Nothing is dropped: links inside a component that is already joined are the
+only ones not looked for.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tracefold.llm.common import ascii_lower, components, discard, materialize, word_hashes
+from tracefold.llm.groups import arrow, group_links, rest_links, smallest_holders
 
 #: Odd multipliers of the shingle and band hashes.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
@@ -35,9 +37,6 @@ LIST_TOKENS = 1 << 22
 SPLIT_TOKENS = 1 << 20
 #: Bits of a shingle hash kept besides those that number its partition.
 TOKEN_BITS = 48
-#: Classes of one exact search block; larger neighbourhoods are split into pairs of blocks.
-BLOCK = 256
-BANDS, ROWS = 12, 3
 #: Weight of a binary probe against a merge step in the choice of long lists.
 MU = 0.0085
 
@@ -73,19 +72,6 @@ def digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with ``fn(batch) -> columns``; batches without rows give none."""
-    to = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                for columns in fn(batch):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, to.types)], schema=to)
-
-    return df.mapInArrow(run, schema)
-
-
 def classes_of(base: DataFrame, size: int) -> DataFrame:
     def fn(batch):
         sets = [np.unique(shingle_hashes(h, size)) for h in rows_of(batch, "h")]
@@ -195,45 +181,6 @@ def joined(col: pa.Array, field: str, kind) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(x[field] for x in row), kind) for row in col.to_pylist()]
 
 
-def bands_of(tokens: np.ndarray) -> list[int]:
-    """Band keys of a MinHash signature."""
-    seeds = np.array([MIX[i % 5] * (i + 1) & (2**64 - 1) for i in range(BANDS * ROWS)], np.uint64)
-    least = np.full(len(seeds), 2**64 - 1, np.uint64)
-    for a in range(0, len(tokens), 4096):
-        least = np.minimum(least, scramble(tokens[a : a + 4096] ^ seeds[:, None]).min(axis=1))
-    least = least.tolist()
-    return [int.from_bytes(hashlib.blake2b(repr((i, least[i * ROWS : i * ROWS + ROWS])).encode(), digest_size=8).digest(), "big", signed=True) for i in range(BANDS)]
-
-
-def stars(banded: DataFrame) -> DataFrame:
-    """``(node, centre)``: for each band of a node the smallest node in it.
-
-    A band is salted, so that a hot one has 32 centres of its own, which meet in a second, small window."""
-    from pyspark.sql import Window as W
-
-    each = banded.select("node", F.explode("bands").alias("band")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(32)))
-    near = each.withColumn("centre", F.min("node").over(W.partitionBy("band", "salt")))
-    top = near.select("band", F.col("centre").alias("node")).distinct().withColumn("centre", F.min("node").over(W.partitionBy("band")))
-    return near.select("node", "centre").union(top.select("node", "centre")).where("node <> centre").distinct()
-
-
-def overlap_links(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs with both shingle arrays, those whose exact similarity is high enough: ``(a, b)``."""
-
-    def fn(batch):
-        cols = [batch.column(i) for i in range(6)]
-        a, b, na, nb, ta, tb = (c.to_pylist() if i < 4 else c for i, c in enumerate(cols))
-        good = []
-        for i in range(len(a)):
-            x, y = np.frombuffer(ta[i].as_buffer(), np.uint64), np.frombuffer(tb[i].as_buffer(), np.uint64)
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * same >= percent * (na[i] + nb[i] - same):
-                good.append(i)
-        yield [[a[i] for i in good], [b[i] for i in good]]
-
-    return arrow(pairs, fn, "a bigint, b bigint")
-
-
 def t_occurrences(lists: list[list[int]], least: int, mu: float = MU) -> dict[int, int]:
     """DivideSkip: the records in at least ``least`` of the sorted lists, with their counts.
 
@@ -271,60 +218,66 @@ def t_occurrences(lists: list[list[int]], least: int, mu: float = MU) -> dict[in
 
 
 def search_block(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links of one block: rows ``(node, comp, n, toks)``; a pair of components is linked once.
+    """Links of one block: rows ``(id, root, n, toks)``; a pair of components is linked once.
 
-    A query meets only records before it; records of its own component are not needed."""
+    First each record searches the lists of one record for each component, which are few where many are near copies.
+    Records of which another component's hold enough shingles then search the lists of all such records before them."""
     rows = sorted({r[0]: r for r in rows}.values())
     sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-    root: dict[int, int] = {}
+    up: dict[int, int] = {}
 
     def find(x: int) -> int:
-        while root.get(x, x) != x:
-            x = root[x]
+        while x in up:
+            x = up[x]
         return x
 
-    links, index = [], {}
-    for i, (node, comp, n, _) in enumerate(rows):
-        own = sets[i].tolist()
-        for j in t_occurrences([index[t] for t in own if t in index], -(-n * percent // 100)):
-            x, y = find(comp), find(rows[j][1])
+    links: list[tuple[int, int]] = []
+    index: dict[int, list[int]] = {}
+
+    def query(i: int, own: list[int], need: int) -> bool:
+        met = False
+        for j in t_occurrences([index[t] for t in own if t in index], need):
+            x, y = find(rows[i][1]), find(rows[j][1])
             if x != y:
                 same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * same >= percent * (n + rows[j][2] - same):
-                    links.append((node, rows[j][0]))
-                    root[max(x, y)] = min(x, y)
+                if 100 * same >= percent * (rows[i][2] + rows[j][2] - same):
+                    links.append((rows[i][0], rows[j][0]))
+                    up[max(x, y)] = min(x, y)
+                    met = True
+            else:
+                met = True
+        return met
+
+    def hold(i: int, own: list[int]) -> None:
         for t in own:
             index.setdefault(t, []).append(i)
-    return links
-
-
-def exact_rest(rest: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` between components, of rows ``(node, comp, n, cnt, lists)``.
-
-    Two classes that link share one of the ``cnt - need + 1`` rarest of the shingles they share with others.  Classes
-    that meet in such a shingle, along any chain, form a neighbourhood; each is searched in blocks of bounded size."""
-    need = F.ceil(F.col("n") * percent / F.lit(100))
-    rest = rest.select("node", "comp", "n", (F.col("cnt") - need + 1).cast("int").alias("prefix"), "lists")
-
-    def fn(batch):
-        toks, dfs, prefix = joined(batch.column("lists"), "toks", np.uint64), joined(batch.column("lists"), "dfs", np.uint32), batch.column("prefix").to_pylist()
-        keys = [t[np.lexsort((t, d))[:k]].view(np.int64) for t, d, k in zip(toks, dfs, prefix)]
-        yield [batch.column("node"), batch.column("comp"), batch.column("n"), [np.sort(t).tobytes() for t in toks], keys]
-
-    made = materialize(arrow(rest, fn, "node bigint, comp bigint, n int, toks binary, keys array<bigint>"), "rest")
-    lists = made.select("node", F.explode("keys").alias("tok"))
-    heads = materialize(lists.groupBy("tok").agg(F.min("node").alias("head"), F.count("*").alias("k")).where("k > 1").drop("k"), "heads")
-    near = components(lists.join(heads, "tok").where("node <> head"), "node", "head")
-    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("m"))
-    dealt = near.join(materialize(sizes, "sizes"), "component").withColumn("x", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0, m - 1)"))).select("node", "component", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    full = dealt.join(made.drop("keys"), "node").select("component", "x", "y", "node", "comp", "n", "toks")
 
-    def block(_, group):
-        links = search_block(list(zip(*(group.column(c).to_pylist() for c in ("node", "comp", "n", "toks")))), percent)
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-
-    return full.groupBy("component", "x", "y").applyInArrow(block, "a bigint, b bigint").distinct()
+    needs, left_out = [-(-r[2] * percent // 100) for r in rows], False
+    for i in range(len(rows)):
+        own = sets[i].tolist()
+        if query(i, own, needs[i]):
+            left_out = True
+        else:
+            hold(i, own)
+    if not left_out:
+        return links
+    roots = np.unique([find(r[1]) for r in rows], return_inverse=True)[1]
+    if roots.max() == 0:
+        return links
+    # How many shingles of each record some record of another component has: a shingle of several components is such a one.
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(rows)), [len(x) for x in sets])
+    tokens = np.unique(tokens, return_inverse=True)[1]
+    low, high = np.full(tokens.max() + 1, len(rows)), np.full(tokens.max() + 1, -1)
+    np.minimum.at(low, tokens, roots[owner])
+    np.maximum.at(high, tokens, roots[owner])
+    use = (low < high)[tokens]
+    common = np.bincount(owner[use], minlength=len(rows))
+    index.clear()
+    for i in np.flatnonzero(common >= needs).tolist():
+        own = sets[i].tolist()
+        query(i, own, needs[i])
+        hold(i, own)
+    return links
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,36 +306,29 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col:
     near = shared_tokens(arrow(base, split, SPLIT), bits, 16, percent).withColumnRenamed("id", "key")
     near = near.join(reps.select("key", "node"), "key").where("node is not null").select("node", "n", "lists")
 
-    def banded(batch):
-        toks = [np.sort(t) for t in joined(batch.column("lists"), "toks", np.uint64)]
-        yield [batch.column("node"), batch.column("n"), [t.tobytes() for t in toks], [bands_of(t) for t in toks]]
+    def rarest(batch):
+        toks, dfs = (joined(batch.column("lists"), field, kind) for field, kind in (("toks", np.uint64), ("dfs", np.uint32)))
+        ns = batch.column("n").to_pylist()
+        prefixes = [len(t) - -(-n * percent // 100) + 1 for t, n in zip(toks, ns)]
+        keys = [scramble(t[np.lexsort((t, d))[:k]]).view(np.int64) for t, d, k in zip(toks, dfs, prefixes)]
+        yield [batch.column("node"), ns, [np.sort(t).tobytes() for t in toks], keys]
 
-    near = materialize(arrow(near, banded, "node bigint, n int, toks binary, bands array<bigint>"), "near")
-    edge = materialize(stars(near.select("node", "bands")), "star")
-    sets = near.select("node", "n", "toks")
-    pairs = edge.join(sets, "node").select(F.col("node").alias("a"), F.col("centre").alias("b"), F.col("n").alias("na"), F.col("toks").alias("ta"))
-    pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb")), "b")
-    links = materialize(overlap_links(pairs.select("a", "b", "na", "nb", "ta", "tb"), percent), "links")
-    comp = components(links)
-
-    grouped = sets.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "n", "toks")
+    near = materialize(arrow(near, rarest, "node bigint, n int, toks binary, keys array<bigint>"), "near")
+    members = smallest_holders(near.select("node", "keys"), near.agg(F.sum(F.size("keys"))).first()[0] or 0)
 
-    def again(batch):
-        node, group, n = (batch.column(c).to_numpy() for c in ("node", "comp", "n"))
-        toks = [np.frombuffer(t.as_buffer(), np.uint64) << np.uint64(64 - bits - TOKEN_BITS) for t in batch.column("toks")]
-        yield from split_tokens([x.tobytes() for x in node.astype(np.int64)], [x.tobytes() for x in group.astype(np.int64)], n.tolist(), toks, bits)
+    def search(table):
+        return search_block(list(zip(*(table.column(c).to_pylist() for c in ("id", "root", "n", "toks")))), percent)
 
-    def back(batch):
-        yield [[int.from_bytes(x, "little", signed=True) for x in batch.column("id").to_pylist()], batch.column("n"), batch.column("cnt"), batch.column("lists")]
-
-    rest = shared_tokens(arrow(grouped, again, SPLIT), bits, 8, percent)
-    rest = arrow(rest, back, "node bigint, n int, cnt bigint, lists array<struct<toks: binary, dfs: binary>>")
-    rest = rest.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "n", "cnt", "lists")
-    more = materialize(exact_rest(rest, percent), "more")
-    if not more.isEmpty():
-        comp = components(links.union(more))
+    records = near.select("node", F.col("node").alias("id"), "n", "toks")
+    links, large = group_links(members, records, search)
+    comp = components(links)
+    if not large.isEmpty():
+        more = rest_links(large, members, records, comp, search)
+        if not more.isEmpty():
+            discard(comp)
+            comp = components(links.union(more))
+    discard(near, members, links)
     ids = reps.select("key", "node").join(comp, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
-    discard(near, edge)
     return rows.join(ids, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.ngram_join import arrow
+from tracefold.llm.groups import arrow
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"

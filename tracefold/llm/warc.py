@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import materialize, shared_dir
-from tracefold.llm.ngram_join import arrow
+from tracefold.llm.groups import arrow
 
 MIN_REVISIT = 1000
 SLICES = 65_536
