@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
-The page is read into a tree once.  Elements that are never main text (menus, headers, footers, asides, forms, scripts,
-adverts, notices, comments) are left out; of the others each gets a density: characters for each tag, lowered where
+The page is read into a tree once.  Elements that are never main text (menus, page headers, footers, asides, forms, scripts)
+and those whose whole name says so (adverts, notices, comments) are left out; of the others each gets a density: characters for each tag, lowered where
 much of the text is in links.  The subtree whose children's densities sum highest is the core; the smallest density on
 the path from the core's parent up to the body is the threshold.  Of every element that reaches it the subtree of the
 highest sum is main text, the core first; an article or main element around the core is kept whole.
@@ -18,20 +18,28 @@ from pyspark.sql import functions as F
 
 from tracefold.llm.groups import arrow
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S)
+#: Comments, declarations, end tags and the names of start tags; markup without an end runs to the end of the page.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?+|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+#: Attributes as the HTML standard reads them: quotes open a value only after an equals sign.
+ATTRIBUTES = re.compile(r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|))?+)*+(?:>|\Z)")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 WORD = re.compile(r"[a-z0-9]+")
+CASES = re.compile(r"([a-z0-9])([A-Z])")
 # Element names of the HTML standard, by the part they play here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 DROPPED = frozenset("head script style noscript template title textarea iframe svg canvas object nav header footer aside form menu button select dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr nobr".split())
+MAIN = frozenset("article main".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table select div article section main body html aside nav td th".split())
-#: Words of class, id and role names that mark what is no main text.
+#: Words of class, id and role names that mark what is no main text, and those that say nothing beside them.
 JUNK = frozenset("ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies disqus respond discussion related recommended pagination pager toolbar search complementary contentinfo alert skip".split())
+NEUTRAL = frozenset("site page global top bottom left right main inner outer list section box area wrapper wrap container block item items form link links button buttons bar thread panel group reader user primary secondary bottom slot unit 1 2 3 4 5".split())
+#: Marks that an article's own parts carry too.
+OWN = frozenset("header masthead discussion search".split())
 
 
 class Node:
@@ -43,25 +51,67 @@ class Node:
         self.density = self.total = 0.0
 
 
-def junk_element(tag: str, attrs: str) -> bool:
+def junk_element(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether an element is no main text by its kind or name.  A name counts as a whole: all its words have to be marks or
+    to say nothing, so that ``comment-list`` goes and ``related-work`` stays.  Inside an article or main element its own
+    header and such stay."""
     if tag in DROPPED:
-        return True
+        return not (inside and tag == "header")
     if not attrs or tag in ("body", "html", "main", "article"):
         return False
     if HIDDEN.search(attrs):
         return True
-    return any(w in JUNK for m in NAMES.finditer(attrs) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+    for m in NAMES.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = set(WORD.findall(CASES.sub(r"\1 \2", name).lower()))
+            if words & JUNK and words <= JUNK | NEUTRAL and not (inside and words & JUNK <= OWN):
+                return True
+    return False
+
+
+class Open:
+    """The open elements, with the depths at which those of a kind stand, so that no search walks up the tree."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.at: dict[str, list[int]] = {}
+        self.solid, self.scopes, self.cells, self.main = [0], [0], [], 0
+
+    def push(self, node: Node) -> None:
+        depth, tag = len(self.nodes), node.tag
+        self.nodes.append(node)
+        self.at.setdefault(tag, []).append(depth)
+        if tag not in INLINE:
+            self.solid.append(depth)
+        if tag in SCOPES:
+            self.scopes.append(depth)
+        if tag in ("table", "td", "th"):
+            self.cells.append(depth)
+        self.main += tag in MAIN
+
+    def close(self, depth: int) -> None:
+        """Close the element at a depth and all in it."""
+        while len(self.nodes) > depth:
+            tag = self.nodes.pop().tag
+            self.at[tag].pop()
+            self.main -= tag in MAIN
+        for kept in (self.solid, self.scopes, self.cells):
+            while kept and kept[-1] >= depth:
+                kept.pop()
+
+    def last(self, tag: str) -> int:
+        """The depth of the innermost open element of a kind, or -1."""
+        return self.at[tag][-1] if self.at.get(tag) else -1
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; end tags that are missing, stray or crossed are made up for."""
-    root = body = Node("body", None)
-    at = 0
-    n = len(page)
-    now = root
-    find = TOKEN.search
+    """The tree of a page, in time linear in its length; end tags that are missing, stray or crossed are made up for."""
+    root = Node("body", None)
+    open_ = Open(root)
+    at, n = 0, len(page)
     while at < n:
-        m = find(page, at)
+        now = open_.nodes[-1]
+        m = TOKEN.search(page, at)
         if m is None:
             now.items.append(page[at:])
             break
@@ -70,34 +120,25 @@ def parse(page: str) -> Node:
         at = m.end()
         if m[2] is None:
             continue
-        tag = m[2].lower()
+        tag, start = m[2].lower(), at
+        at = ATTRIBUTES.match(page, at).end()
         if m[1]:
-            up = now
-            while up is not None and up.tag != tag:
-                if up.tag in ("table", "td", "th") and tag in INLINE:
-                    up = None
-                    break
-                up = up.parent
-            if up is not None and up is not body:
-                now = up.parent
+            depth = open_.last(tag)
+            if depth > 0 and not (tag in INLINE and open_.cells and open_.cells[-1] > depth):
+                open_.close(depth)
             elif tag == "p":
                 now.items.append("\n")
             continue
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P:
-            up = now
-            while up.parent is not None and up.tag in INLINE:
-                up = up.parent
-            if up.tag == "p":
-                now = up.parent
+        if tag in CLOSES_P and open_.nodes[open_.solid[-1]].tag == "p":
+            open_.close(open_.solid[-1])
         if tag in SIBLINGS:
-            up = now
-            while up.parent is not None and up.tag not in SIBLINGS[tag] and (up.tag not in SCOPES):
-                up = up.parent
-            if up.tag in SIBLINGS[tag]:
-                now = up.parent
-        node = Node(tag, now, junk_element(tag, m[3]))
+            depth = max(map(open_.last, SIBLINGS[tag]))
+            if depth > 0 and depth >= open_.scopes[-1]:
+                open_.close(depth)
+        now, attrs = open_.nodes[-1], page[start : at - 1]
+        node = Node(tag, now, junk_element(tag, attrs, open_.main > 0))
         now.items.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
@@ -107,8 +148,8 @@ def parse(page: str) -> Node:
                 end = page.find(">", close.start())
                 at = n if end < 0 else end + 1
             continue
-        if tag not in VOID and not m[3].endswith("/") or tag not in VOID and tag in CLOSES_P:
-            now = node
+        if tag not in VOID and not attrs.endswith("/") or tag not in VOID and tag in CLOSES_P:
+            open_.push(node)
     return root
 
 
@@ -158,7 +199,7 @@ def main_nodes(root: Node) -> list[Node]:
     if len(path) == 1:
         return [root]
     for node in reversed(path[:-1]):  # from below the body down to the core
-        if node.tag in ("article", "main"):
+        if node.tag in MAIN:
             return [node]
     least = min(x.density for x in path[1:])
     top = {x: x for x in nodes}
