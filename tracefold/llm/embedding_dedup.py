@@ -2,11 +2,13 @@
 
 Equal vectors of a label form one class.  Random hyperplanes deal the classes into buckets, which give the first
 neighbour lists; each round then joins the neighbours of every node's neighbours (forward and reverse) and keeps the
-nearest.  Lists of which every entry is a near duplicate are saturated and grow twofold in the next round.  An audit
-compares a sample of nodes with all rows and, while recall is short, starts again from new hyperplanes with longer lists,
-larger buckets and more rounds.  Where the last start is short too, or the audit meets too few nodes with links to tell,
-all rows of a label are compared in blocks.  The edges above the threshold span components; inside a component all members are compared in blocks, which makes the
-link counts exact there and takes care of lists that are saturated still.
+nearest.  Lists of which every entry is a near duplicate are saturated and grow twofold in the next round.
+
+Lists full of near copies can lack the one link between two dense groups.  So rows that share a bucket of any of many
+tables, as many as leave a pair at the threshold apart with a chance of at most ``MISS``, are compared exactly too, in
+groups of bounded size; a group's largest component need not meet itself.  An audit compares a sample of nodes with all
+rows; links it finds are added, and while its recall is short the search starts again from other planes.  The edges span
+components; inside a component all members are compared in blocks, which makes the link counts exact.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import components, discard, materialize
-from tracefold.llm.groups import arrow, grouped
+from tracefold.llm.groups import arrow, group_links, grouped, rest_links, smallest_holders
+from tracefold.llm.ngram_join import scramble
 
 THRESHOLD = 0.98
 #: First length of a neighbour list, and rounds; a saturated list doubles in each.
@@ -28,13 +31,11 @@ NEIGHBOURS, ROUNDS = 8, 3
 TABLES, BUCKET = 8, 256
 #: Members of a bucket of several parts that all of its parts meet.
 PIVOTS = 4
-#: Nodes in one audit, the recall it asks for, and how often the search starts before all rows are compared.
-AUDIT, RECALL, STARTS = 512, 0.98, 3
-#: Nodes with links that the audits of a start have to meet, and how many audits may look for them.
-LINKED, AUDITS = 64, 8
+#: Rows of a shared bucket, on average, and the chance that a pair at the threshold shares none.
+SHARED, MISS = 32, 1e-6
+#: Nodes in one audit, the recall it asks for, and how often the search starts before it fails.
+AUDIT, RECALL, STARTS = 512, 0.999, 3
 BLOCK = 512
-#: Rows of a block where all rows are compared.
-WHOLE = 2048
 
 
 def matrix(col) -> np.ndarray:
@@ -153,30 +154,73 @@ def search(reps: DataFrame, bits: int, seed: int, threshold: float, scale: int =
     return graph.where(F.col("sim") >= threshold).select("u", "v").union(near).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
 
 
-def whole(reps: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
-    """Links ``(a, b)`` between components, by comparison of all rows of a label in blocks; two components are linked once
-    a block."""
-    rows = reps.join(comp.withColumnRenamed("node", "id"), "id", "left").select("label", F.size("vec").alias("dim"), "id", F.coalesce("component", "id").alias("comp"), "vec")
-    sizes = rows.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(WHOLE)).cast("int").alias("blocks"))
-    dealt = rows.join(materialize(sizes, "sizes"), ["label", "dim"]).withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("y", F.explode(F.expr("sequence(0, blocks - 1)"))).select("label", "dim", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "x", "id", "comp", "vec")
+def tables_for(threshold: float, bits: int) -> int:
+    """How many tables of ``bits`` planes leave a pair at the threshold without a shared bucket with chance ``MISS``."""
+    same = (1 - math.acos(threshold) / math.pi) ** bits
+    return 1 if same >= 1 else math.ceil(math.log(MISS) / math.log1p(-same))
 
-    def local(table):
-        side, ids, comps = (table.column(c).to_numpy() for c in ("x", "id", "comp"))
-        v = matrix(table.column("vec"))
-        a, b = (np.flatnonzero(side == table.column(c)[0].as_py()) for c in ("p", "q"))
-        i, j = np.nonzero((cosines(v[a], v[b]) >= threshold) & (comps[a][:, None] != comps[b][None, :]))
-        x, y = comps[a][i], comps[b][j]
-        _, once = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1, return_index=True)
-        u, w = ids[a][i[once]], ids[b][j[once]]
-        return np.maximum(u, w), np.minimum(u, w)
 
-    return grouped(pairs, ["label", "dim", "p", "q"], "a bigint, b bigint", local).distinct()
+def spanning(ids: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span the components of a block."""
+    np.fill_diagonal(near, False)
+    links, free = [], near.any(axis=1)
+    for start in np.flatnonzero(free):
+        todo = [start] if free[start] else []
+        free[start] = False
+        while todo:
+            i = todo.pop()
+            fresh = np.flatnonzero(near[i] & free)
+            free[fresh] = False
+            links += [(int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))) for j in fresh]
+            todo += fresh.tolist()
+    return links
+
 
+def bucket_links(reps: DataFrame, largest: int, total: int, seed: int, threshold: float) -> DataFrame:
+    """Links ``(a, b)`` that span what the rows of shared buckets link, all pairs of a bucket decided."""
+    bits = max(0, math.ceil(math.log2(max(1, largest / SHARED))))
+    tables = tables_for(threshold, bits)
 
-def audit(reps: DataFrame, threshold: float, seed: int, turn: int = 0) -> DataFrame:
+    def keyed(batch):
+        vec, dims = batch.column("vec"), np.diff(batch.column("vec").offsets.to_numpy())
+        for dim in np.unique(dims):
+            at = pa.array(np.flatnonzero(dims == dim))
+            own = scramble(batch.column("label_hash").take(at).to_numpy().view(np.uint64) + np.uint64(dim))
+            signs = matrix(vec.take(at)) @ planes(int(dim), max(1, bits * tables), 1_000_003 + seed) > 0
+            if not bits:
+                signs[:] = False
+            codes = signs.reshape(len(own), tables, -1) @ (1 << np.arange(signs.shape[1] // tables, dtype=np.uint64))
+            keys = scramble(scramble(own[:, None] + np.arange(tables, dtype=np.uint64)) ^ codes.astype(np.uint64))
+            ends = np.arange(0, keys.size + 1, tables, dtype=np.int32)
+            yield [batch.column("node").take(at), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))]
+
+    rows = arrow(reps.select(F.col("id").alias("node"), F.xxhash64("label").alias("label_hash"), "vec"), keyed, "node bigint, keys array<bigint>")
+    members = smallest_holders(rows, total * tables)
+
+    def search(table):
+        table = table.combine_chunks()
+        labels, vec = np.array(table.column("label").to_pylist(), object), table.column("vec").chunk(0)
+        dims, ids = np.diff(vec.offsets.to_numpy()), table.column("id").to_numpy()
+        links = []
+        for label, dim in set(zip(labels.tolist(), dims.tolist())):
+            at = np.flatnonzero((labels == label) & (dims == dim))
+            at = at[np.unique(ids[at], return_index=True)[1]]
+            if len(at) > 1:
+                m = matrix(vec.take(pa.array(at)))
+                links += spanning(ids[at], cosines(m, m) >= threshold)
+        return links
+
+    records = reps.select(F.col("id").alias("node"), "id", "label", "vec")
+    links, large = group_links(members, records, search)
+    if not large.isEmpty():
+        comp = components(links)
+        links = links.union(rest_links(large, members, records, comp, search))
+    return links
+
+
+def audit(reps: DataFrame, threshold: float, seed: int) -> DataFrame:
     """All links ``(a, b)`` of a sample of fixed size, by comparison with every row; the sample is sent to all tasks."""
-    sample = reps.orderBy(F.xxhash64("id", F.lit(seed)), "id").offset(AUDIT * turn).limit(AUDIT).select("id", "label", "vec").toPandas()
+    sample = reps.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(AUDIT).select("id", "label", "vec").toPandas()
     by = {}
     for i, label, vec in sample.itertuples(index=False):
         by.setdefault((label, len(vec)), []).append((i, np.asarray(vec, np.float64)))
@@ -195,6 +239,12 @@ def audit(reps: DataFrame, threshold: float, seed: int, turn: int = 0) -> DataFr
     return arrow(reps.select("id", "label", "vec"), fn, "a bigint, b bigint").distinct()
 
 
+def audited(true: DataFrame, comp: DataFrame) -> tuple[int, int]:
+    """How many true links an audit has, and how many of them lie inside components, where all links are found."""
+    seen = true.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    return tuple(seen.agg(F.count("*"), F.count(F.when(F.col("ca") == F.col("cb"), 1))).first())
+
+
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row for each row of ``rows``.
 
@@ -207,28 +257,20 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
     reps = materialize(reps, "vectors")
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, largest / 64))))
-    total, links, known = reps.count(), None, False
+    total, links = reps.count(), None
     for start in range(STARTS):
-        found = search(reps, bits, start, threshold, 1 << start)
-        links = materialize(found if links is None else links.union(found).distinct(), "links")
+        found = search(reps, bits, start, threshold, 1 << start).unionByName(bucket_links(reps, largest, total, start, threshold))
+        links = materialize((found if links is None else links.union(found)).distinct(), "links")
         comp = components(links)
-        true, n, hit, linked, turn = None, 0, 0, 0, 0
-        while turn < AUDITS and turn * AUDIT < total and linked < LINKED:
-            more = materialize(audit(reps, threshold, start, turn), "audit")
-            seen = more.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            n, hit = (x + y for x, y in zip((n, hit), seen.agg(F.count("*"), F.count(F.when(F.col("ca") == F.col("cb"), 1))).first()))
-            linked += more.select(F.explode(F.array("a", "b")).alias("id")).distinct().count()
-            true, turn = more if true is None else true.union(more), turn + 1
-        if true is not None and hit < n:
+        true = materialize(audit(reps, threshold, start), "audit")
+        n, hit = audited(true, comp)
+        if hit < n:
             links = materialize(links.union(true).distinct(), "links")
             comp = components(links)
-        known = turn * AUDIT >= total or (linked >= LINKED and hit >= RECALL * n)
-        if known or linked < LINKED:
+        if hit >= RECALL * n:
             break
-    if not known:
-        missed = materialize(whole(reps, comp, threshold), "missed")
-        if not missed.isEmpty():
-            comp = components(links.union(missed))
+    else:
+        raise RuntimeError(f"recall stays at {hit} of {n} audited links after {STARTS} searches")
     inside = reps.join(comp, reps["id"] == comp["node"]).select("id", "m", "vec", "component")
     blocks = comp.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     inside = materialize(inside.join(blocks, "component").withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "inside")

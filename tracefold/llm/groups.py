@@ -153,7 +153,8 @@ def links_in(dealt: DataFrame, keys: list[str], search: Callable) -> DataFrame:
         links = search(table)
         return [a for a, _ in links], [b for _, b in links]
 
-    return grouped(dealt, keys, "a bigint, b bigint", local).distinct()
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: small rows can be long work
+    return grouped(dealt, keys, "a bigint, b bigint", local, parts).distinct()
 
 
 def group_links(members: DataFrame, records: DataFrame, search: Callable) -> tuple[DataFrame, DataFrame]:
