@@ -35,6 +35,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAPS), "")
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, out of the way of names that a join adds."""
+    return F.struct(*map(quoted, docs.columns)).alias("row")
+
+
+def unpacked(joined: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, from ``row``."""
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

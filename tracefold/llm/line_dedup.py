@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import components, discard, materialize
+from tracefold.llm.common import components, discard, materialize, whole_row
 from tracefold.llm.groups import arrow, group_links, rest_links, smallest_holders
 from tracefold.llm.ngram_join import MIX, scramble
 
@@ -135,7 +135,7 @@ def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
                         column.append(value)
         yield out
 
-    found = arrow(docs.join(asked, "doc_id").select("text", "wanted"), fetch, "node bigint, k2 bigint, line string")
+    found = arrow(docs.join(asked.hint("merge"), "doc_id").select("text", "wanted"), fetch, "node bigint, k2 bigint, line string")
     return materialize(found.dropDuplicates(["node", "k2"]).withColumn("id", F.monotonically_increasing_id()), "texts")
 
 
@@ -245,7 +245,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     without an id are left as they are; rows that repeat an id and its text count as one and lose the same lines; texts
     of any length are read whole.  Other columns are not read, whatever their names; an empty table gives no rows."""
     gone = removals(docs, percent)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(gone, "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(gone.hint("merge"), "doc_id", "left")
 
     def fn(batch):
         got = [without(t, g) for t, g in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist())]
@@ -262,8 +262,9 @@ def clean_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pass through."""
     gone = removals(docs, percent)
     names = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in names]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    joined = whole.join(gone, "doc_id", "left").select("row", "gone")
+    whole = docs.select(whole_row(docs), F.col("doc_id").cast("bigint").alias("doc_id"))
+    # Merged at any size: what goes is few enough to broadcast on a sample, but not of the corpus.
+    joined = whole.join(gone.hint("merge"), "doc_id", "left").select("row", "gone")
 
     def run(batches):
         for batch in batches:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import materialize, words
+from tracefold.llm.common import discard, materialize, unpacked, whole_row, words
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -88,7 +88,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     taken = mix_sequence(units, sources).select("doc_id", "source", "size", F.lit(1).alias("reads"))
     rows = units.select("doc_id", "source", "size", "m", F.lit(0).alias("reads")).unionByName(taken.withColumn("m", F.lit(0).cast("bigint")))
     rows = rows.groupBy("doc_id", "source", "size").agg(F.sum("reads").alias("reads"), F.max("m").alias("m"))
-    rows = rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
     out = rows.alias("r").join(sources.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
     return out.select("r.doc_id", "r.size", "r.source", "t.source_size", "t.target", (F.col("r.size") * F.col("r.reads")).alias("taken"))
 
@@ -96,12 +96,16 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix reads it, with the columns of ``docs``.
 
-    Words are counted again for the join, so that repeated ids with other texts are told apart."""
+    Nulls, ties and rows without words are treated as in ``mix_plan``: rows without words are in no mix, and where no row
+    has one the mix is empty.  Words are counted again for the join, so that repeated ids with other texts are told apart;
+    repeated rows stay together.  Columns of any other name and type pass through.  An empty table gives no rows."""
     units = materialize(units_of(docs, "doc_id", "source", "text"), "units")
     sources = materialize(source_targets(units), "sources")
-    plan = mix_sequence(units, sources).groupBy("doc_id", "source", "size").agg(F.count("*").alias("_reads"))
-    plan = materialize(plan.toDF("_doc_id", "_source", "_size", "_reads"), "plan")
-    rows = docs.withColumn("_words", F.size(words(F.col("text"))).cast("bigint"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    rows = rows.join(plan, same)
-    return rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_reads").cast("int")))).select(*docs.columns)
+    plan = mix_sequence(units, sources).groupBy("doc_id", "source", "size").agg(F.count("*").cast("int").alias("reads"))
+    plan = materialize(plan, "plan")
+    discard(units, sources)
+    rows = docs.select(whole_row(docs), "doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size")).alias("r")
+    same = F.col("r.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.size") == F.col("p.size"))
+    # Merged at any size: a plan that is small enough to broadcast on a sample is not so on the corpus.
+    rows = rows.join(plan.hint("merge").alias("p"), same).select("row", F.explode(F.sequence(F.lit(1), F.col("reads"))))
+    return unpacked(rows, docs)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tracefold.llm.common import ascii_lower, components, discard, materialize, word_hashes
+from tracefold.llm.common import ascii_lower, components, discard, materialize, unpacked, whole_row, word_hashes
 from tracefold.llm.groups import arrow, group_links, rest_links, smallest_holders
 
 #: Odd multipliers of the shingle and band hashes.
@@ -333,13 +333,17 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col:
 
 
 def keep_one_per_group(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """Rows of ``docs``, one for each component: that with the smallest id.
+    """Rows of ``docs``, all columns kept, one for each component: that with the smallest id.
 
-    Rows without an id stay; of rows with one id, linked or not, one stays."""
+    Rows without an id stay; of rows with one id, linked or not, one stays.  Documents without words link with nothing and
+    stay.  Columns of any other name and type pass through; an empty table gives no rows."""
     comp = materialize(ngram_components(docs, percent=percent), "groups")
-    heads = comp.where("doc_id = component_id or doc_id is null").groupBy(F.col("doc_id").alias("_head")).agg(F.count("*").alias("_k"))
+    heads = comp.where("doc_id = component_id or doc_id is null").groupBy("doc_id").agg(F.count("*").alias("k"))
     heads = materialize(heads, "heads")
-    kept = docs.join(heads.select("_head"), F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
-    if heads.where("_head is not null and _k > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    discard(comp)
+    rows = docs.select(whole_row(docs), F.col("doc_id").cast("bigint").alias("id"))
+    # Merged at any size: heads that are few enough to broadcast on a sample are not so on the corpus.
+    kept = rows.join(heads.select("doc_id").hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    if heads.where("doc_id is not null and k > 1").isEmpty():
+        return unpacked(kept, docs)
+    return unpacked(kept.where("id is not null").dropDuplicates(["id"]).unionByName(kept.where("id is null")), docs)
