@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tracefold.llm import groups, line_dedup
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -61,7 +63,7 @@ def all_pairs(rows):
     ids = sorted(sets)
     for k, i in enumerate(ids):
         for j in ids[:k]:
-            if line_dedup.near(sets[i], sets[j], 75):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return {i for i in ids if find(i) != i}
@@ -97,3 +99,13 @@ def test_edge_rows_and_clashing_names(spark):
     assert texts == sorted([("1", "one line that is here twice\r\n"), ("2", "None"), ("3", ""), ("None", "one line that is here twice"), ("4", "only here, once\nx"), ("4", "only here, once\nx"), ("5", long), ("6", ""), ("7", "\n \n")])
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
     assert line_dedup.clean_lines(df.limit(0)).count() == 0 == line_dedup.dedup_lines(df.limit(0)).count()
+
+
+def test_numbers_of_shingles():
+    """Equal numbers for equal shingles only: Latin text, other scripts, very many characters, and zero characters."""
+    wide = "".join(map(chr, range(0x4E00, 0x4F80)))
+    for lines in (["abcdefghij", "xbcdefghij", "abc", ""], ["Straße „eins“ und zwei", "Straße „eins“ und drei", "日本"], [wide, wide[3:], "x"], ["abc", "abc\0\0\0\0\0", "abc\0\0\0\0\0d"]):
+        got, want = line_dedup.numbered(lines), [line_dedup.shingles(x) for x in lines]
+        for x, p in zip(got, want):
+            for y, q in zip(got, want):
+                assert len(np.intersect1d(x, y)) == len(p & q) and len(x) == len(p)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tracefold.llm.common import components, discard, materialize, whole_row
 from tracefold.llm.groups import arrow, group_links, rest_links, smallest_holders
-from tracefold.llm.ngram_join import MIX, scramble
+from tracefold.llm.ngram_join import MIX, distinct, scramble
 
 #: Characters of a shingle; a shorter line is one shingle.
 SHINGLE = 8
@@ -139,11 +139,20 @@ def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
     return materialize(found.dropDuplicates(["node", "k2"]).withColumn("id", F.monotonically_increasing_id()), "texts")
 
 
-def near(x: set[str], y: set[str], percent: int) -> bool:
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    same = len(x & y)
-    return 100 * same >= percent * (len(x) + len(y) - same)
+def numbered(lines: list[str]) -> list[np.ndarray]:
+    """The distinct shingles of each line as numbers, sorted; equal shingles of these lines have equal numbers, others not.
+
+    Where the lines have fewer than 256 different characters, a shingle is the eight bytes of its characters."""
+    letters: set[str] = set().union(*lines)
+    if "\0" not in letters:
+        if max(letters, default="") > "\xff" and len(letters) < 256:
+            table = {ord(c): i for i, c in enumerate(sorted(letters), 1)}
+            lines = [x.translate(table) for x in lines]
+        if len(letters) < 256:
+            raw = [x.ljust(SHINGLE, "\0").encode("latin-1") for x in lines]
+            return [distinct(np.array(np.ndarray(len(x) - SHINGLE + 1, "<u8", x, strides=(1,)))) for x in raw]
+    place: dict[str, int] = {}
+    return [np.sort(np.fromiter((place.setdefault(s, len(place)) for s in shingles(x)), np.uint64)) for x in lines]
 
 
 def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
@@ -152,7 +161,8 @@ def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     Small blocks go pair by pair.  In others the shingles that several lines hold become columns of a 0/1 matrix, whose
     product with itself counts what each two lines share, exactly."""
     rows = sorted({r[0]: r for r in rows}.values())
-    sets = [shingles(r[2]) for r in rows]
+    sets = numbered([r[2] for r in rows])
+    sizes = np.array([len(x) for x in sets], np.int64)
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -162,20 +172,28 @@ def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
 
     links = []
 
-    def meet(i: int, j: int, sure: bool) -> None:
+    def meet(i: int, j: int, same: int | None) -> None:
         x, y = find(rows[i][1]), find(rows[j][1])
-        if x != y and (sure or near(sets[i], sets[j], percent)):
-            links.append((rows[i][0], rows[j][0]))
-            up[max(x, y)] = min(x, y)
+        if x == y:
+            return
+        if same is None:
+            n, m = len(sets[i]), len(sets[j])
+            if 100 * min(n, m) < percent * max(n, m):
+                return
+            both = np.concatenate((sets[i], sets[j]))
+            both.sort()
+            same = int(np.count_nonzero(both[1:] == both[:-1]))
+            if 100 * same < percent * (n + m - same):
+                return
+        links.append((rows[i][0], rows[j][0]))
+        up[max(x, y)] = min(x, y)
 
     if len(rows) <= 16:
         for i in range(len(rows)):
             for j in range(i):
-                meet(i, j, False)
+                meet(i, j, None)
         return links
-    place: dict[str, int] = {}
-    flat = np.fromiter((place.setdefault(s, len(place)) for own in sets for s in own), np.int64)
-    sizes = np.array([len(x) for x in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     owner = np.repeat(np.arange(len(rows)), sizes)
     common = np.bincount(flat) > 1
     owner, flat = owner[common[flat]], (np.cumsum(common) - 1)[flat[common[flat]]]
@@ -184,13 +202,13 @@ def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     same = np.zeros((len(rows), len(rows)), np.float32)
     for at in range(0, int(common.sum()), COLUMNS):
         a, b = np.searchsorted(flat, [at, at + COLUMNS])
-        held = np.zeros((len(rows), COLUMNS), np.float32)
+        held = np.zeros((len(rows), min(COLUMNS, int(common.sum()) - at)), np.float32)
         held[owner[a:b], flat[a:b] - at] = 1
         same += held @ held.T
     roots = np.unique([r[1] for r in rows], return_inverse=True)[1]
     good = (100 * same >= percent * (sizes[:, None] + sizes[None, :] - same)) & (roots[:, None] > roots[None, :])
     for i, j in zip(*np.nonzero(good)):
-        meet(int(i), int(j), True)
+        meet(int(i), int(j), int(same[i, j]))
     return links
 
 

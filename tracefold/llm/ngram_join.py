@@ -60,6 +60,13 @@ def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return scramble(acc)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values of an array, sorted; the array is sorted in place."""
+    x.sort()
+    new = x[1:] != x[:-1]
+    return x if new.all() else x[np.r_[True, new]]
+
+
 def rows_of(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
     """The lists of a batch as unsigned arrays, without copies."""
     col = batch.column(name)
@@ -74,7 +81,7 @@ def digest(tokens: np.ndarray) -> bytes:
 
 def classes_of(base: DataFrame, size: int) -> DataFrame:
     def fn(batch):
-        sets = [np.unique(shingle_hashes(h, size)) for h in rows_of(batch, "h")]
+        sets = [distinct(shingle_hashes(h, size)) for h in rows_of(batch, "h")]
         yield [batch.column("doc_id"), [len(s) for s in sets], [digest(s) if len(s) else None for s in sets]]
 
     return arrow(base, fn, "doc_id bigint, n_shingles bigint, key binary")
@@ -297,7 +304,7 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col:
     def split(batch):
         sets = {}
         for h in rows_of(batch, "h"):
-            s = np.unique(shingle_hashes(h, size))
+            s = distinct(shingle_hashes(h, size))
             if len(s):
                 sets.setdefault(digest(s), s)
         keys = list(sets)

@@ -22,7 +22,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tracefold.llm.common import discard, materialize, word_hashes
-from tracefold.llm.ngram_join import LIST_TOKENS, SPLIT, TOKEN_BITS, arrow, rows_of, shingle_hashes, split_tokens
+from tracefold.llm.groups import arrow
+from tracefold.llm.ngram_join import LIST_TOKENS, SPLIT, TOKEN_BITS, distinct, rows_of, shingle_hashes, split_tokens
 
 WINDOW = 13
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -233,7 +234,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 
     def split(batch):
         ids = batch.column("doc_id").to_numpy().astype(np.int64)
-        sets = [np.unique(shingle_hashes(h, window)) if len(h) >= window else np.empty(0, np.uint64) for h in rows_of(batch, "h")]
+        sets = [distinct(shingle_hashes(h, window)) if len(h) >= window else np.empty(0, np.uint64) for h in rows_of(batch, "h")]
         raw = [x.tobytes() for x in ids]
         yield from split_tokens(raw, [b""] * len(raw), [0] * len(raw), sets, bits)
 
