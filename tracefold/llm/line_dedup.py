@@ -32,7 +32,8 @@ COLUMNS = 8192
 #: Characters whose signatures are made at once.
 CHUNK = 1 << 16
 GAP = re.compile(r"[\x20\x09-\x0D]+")
-ODD = re.compile(r"  |[\t\x0B-\r]")
+#: White space that is more than single spaces.
+ODD = ("  ", "\t", "\v", "\f", "\r")
 
 
 def normal(line: str) -> str:
@@ -41,8 +42,9 @@ def normal(line: str) -> str:
 
 def normal_lines(text: str | None) -> list[str]:
     """The lines of a text, each with its runs of white space as one space and none at its ends."""
-    lines = (text or "").split("\n")
-    return [x.strip(" ") for x in lines] if not ODD.search(text or "") else [normal(x) for x in lines]
+    text = text or ""
+    lines = text.split("\n")
+    return [normal(x) for x in lines] if any(c in text for c in ODD) else [x.strip(" ") for x in lines]
 
 
 def line_key(line: str) -> bytes:
@@ -59,31 +61,33 @@ def shingles(line: str) -> set[str]:
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
-    """Band keys of the signatures of some lines, one row for each line; a short line is filled up to one shingle."""
+    """Band keys of the signatures of some lines, one row for each line; a short line is filled up to one shingle.
+
+    A shingle is hashed from eight bytes, one for each character: characters beyond the first 256 are folded into them, which
+    only lets more lines meet."""
     filled = [x.ljust(SHINGLE, "\0") for x in lines]
     lengths = np.fromiter(map(len, filled), np.int64, len(filled))
-    h = np.frombuffer("".join(filled).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    ends = np.cumsum(lengths)
-    whole = np.ones(len(h), bool)
-    for i in range(1, SHINGLE):
-        whole[ends - i] = False
-    with np.errstate(over="ignore"):
-        step = 1
-        while step < SHINGLE:  # hashes of 2, 4 and then 8 characters
-            h = h[:-step] * np.uint64(MIX[step % len(MIX)]) + h[step:]
-            step *= 2
-        h = (scramble(h[whole[: len(h)]]) >> np.uint64(32)).astype(np.uint32)
-        at = np.r_[0, np.cumsum(lengths - SHINGLE + 1)[:-1]]
-        seeds = ((np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(MIX[2])) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        out = np.empty((len(lines), BANDS), np.uint64)
-        mixed = np.empty_like(h)
-        for b in range(BANDS):
-            acc = np.full(len(lines), b + 1, np.uint64)
-            for r in range(ROWS):
-                np.multiply(h, seeds[b * ROWS + r], out=mixed)
-                acc = scramble(acc * np.uint64(MIX[1]) + np.minimum.reduceat(mixed, at))
-            out[:, b] = acc
-    return out.view(np.int64)
+    text = "".join(filled)
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        raw = (codes ^ (codes >> np.uint32(8)) ^ (codes >> np.uint32(16))).astype(np.uint8).tobytes()
+    h = np.empty(len(raw) - SHINGLE + 2, np.uint32)  # those across two lines are left out below; one more ends the last
+    h[:-1] = scramble(np.ndarray(len(raw) - SHINGLE + 1, "<u8", raw, strides=(1,))) >> np.uint64(32)
+    h[-1] = 0
+    starts = np.cumsum(lengths) - lengths
+    at = np.stack([starts, starts + lengths - SHINGLE + 1], axis=1).ravel()
+    seeds = ((np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(MIX[2])) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    least = np.empty((BANDS, ROWS, len(lines)), np.uint64)
+    mixed = np.empty_like(h)
+    for i, seed in enumerate(seeds):
+        np.multiply(h, seed, out=mixed)
+        least[i // ROWS, i % ROWS] = np.minimum.reduceat(mixed, at)[::2]
+    acc = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
+    for r in range(ROWS):
+        acc = scramble(acc * np.uint64(MIX[1]) + least[:, r])
+    return np.ascontiguousarray(acc.T).view(np.int64)
 
 
 def banded_lines(batch) -> list:
