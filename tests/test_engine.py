@@ -57,3 +57,83 @@ def test_entry_works_without_the_corpus_operators():
 
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_ip_addresses_as_the_standard_library_reads_them(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(4)
+    parts = ["", "0", "1", "ffff", "12345", "g", "1.2.3.4", "256.1.1.1", "01.2.3.4"]
+    tries = {":".join(rng.choices(parts, weights=[3, 3, 9, 3, 1, 1, 2, 1, 1], k=rng.randint(1, 9))) for _ in range(6000)} | {"fe80::1%eth0", "::1%", "1.2.3.4%x", "1.2.3.4 ", "::"}
+
+    def good(x):
+        try:
+            ipaddress.ip_address(x.strip())
+            return True
+        except ValueError:
+            return False
+
+    got = {r.v: r.ok for r in spark.createDataFrame([(x,) for x in tries], "v string").select("v", N.ip_valid(F.col("v")).alias("ok")).collect()}
+    want = {x: good(x) for x in tries}
+    assert got == want and sum(want.values()) > 100
+
+
+def test_summary_rows_and_narrations(spark):
+    says = {"TOTAL MOTORS PAYMENT": False, "BY OPENING BALANCE": True, "TRANSACTION TOTAL": True, " Sub Total ": True, "GRAND TOTAL 5": False, "x\nOPENING BALANCE": False, None: False}
+    df = spark.createDataFrame(list(says.items()), "v string, want boolean")
+    assert df.where(N.is_summary(F.col("v")) != F.col("want")).count() == 0
+    cases = {"IMPS/OUT/77/ A B /x/Axis Ltd": ("IMPS", "77", "A B", "Axis Ltd"), "IMPS/P2M/77/A": ("IMPS_P2M", None, None, None), "pos//x/12": ("POS", "12", None, None), "EDC/ab": ("EDC", None, None, None), "x/ATM": ("x/ATM", None, None, None), "": ("", None, None, None), "IMPS/a/7/First Bank": ("IMPS", "7", None, "First Bank"), "CASHBACK/1": ("CASH", None, None, None), None: None}
+    got = {r.v: r.n and tuple(r.n) for r in spark.createDataFrame([(k,) for k in cases], "v string").select("v", N.narration(F.col("v")).alias("n")).collect()}
+    assert got == cases
+
+
+def test_text_forms(spark):
+    df = spark.createDataFrame([("ﬁn  x\t① ",), (None,), ("",)], "v string")
+    assert [r[0] for r in df.select(N.text(F.col("v"))).collect()] == ["fin x 1", None, ""]
+
+
+def test_headers_of_real_statements_map():
+    bank = grid.column_map(["Tran Dt", "Chq/Ref.", "Amt(INR)", "Payee Name", "Beneficiary A/C No", "A/c No.", "Closing Balance", "Narration", "Debit"], "bank")
+    assert list(bank.values()) == ["Date", "Txn_Ref_Number", "Transaction_Amount", "Receiver_Customer_Name", "Receiver_Account_Number", "Sender_Account_Number", "Balance", "Transaction_Mode"]
+    assert set(grid.column_map(["Calling No.", "Dialed Number", "Dur (sec)", "CGI", "Call Dt"], "cdr").values()) == {"A_Party_Number", "B_Party_Number", "Call_Duration_Seconds", "First_Cell_Global_ID", "Call_Date"}
+    assert grid.detect_dataset(["Framed IP", "NAT IP", "x"]) == "ipdr" and grid.detect_dataset(["BTS", "Roaming"]) == "cdr"
+
+
+def test_signed_amounts(spark):
+    df = spark.createDataFrame([("-500", "D", "5000 DR", "-500"), ("500", "credit", None, "(7)"), ("-5", "x", None, None), (None, "DR", "5", "")], "a string, f string, d string, c string")
+    got = df.select(grid.merge_amount_flag(F.col("a"), F.col("f")), grid.merge_debit_credit(F.col("d"), F.col("c"))).collect()
+    assert [tuple(r) for r in got] == [(-500.0, -4500.0), (500.0, 7.0), (-5.0, None), (None, -5.0)]
+    assert grid.amount_columns(["Amt.", "DR/CR", "Balance"]) == {"amount": "Amt.", "flag": "DR/CR"} and grid.amount_columns(["Withdrawal Amt", "Deposit Amt"]) == {"debit": "Withdrawal Amt", "credit": "Deposit Amt"}
+
+
+def test_required_columns(spark):
+    import pytest
+
+    bank = spark.createDataFrame([("2024-01-01", None, "9")], "Date string, Transaction_Amount string, Balance string")
+    with pytest.raises(ValueError, match="Transaction_Amount"):
+        grid.require(bank, "bank")
+    grid.require(bank.withColumn("Transaction_Amount_Merged", F.lit("1")), "bank")
+    grid.require(spark.createDataFrame([("d", "1")], "Call_Date string, B_Party_Number string"), "cdr")
+    grid.require(spark.createDataFrame([("d", "1")], "Session_Date string, Device_IMEI string"), "ipdr")
+
+
+def test_providers_and_responses(spark):
+    import json
+
+    from tracefold.sources import tables
+
+    rows = [("d", i, ["upi to jio", "Kotak Mahindra"] if i == 3 else ["x", None]) for i in range(30)] + [("e", 25, ["jio", ""]), ("e", 1, ["a", "b"])]
+    df = spark.createDataFrame(rows, "doc string, row_idx int, cells array<string>")
+    got = {r.doc: r.provider for r in grid.provider_of(df, {"KOTAK": "Kotak Bank", "MAHINDRA": "Kotak Bank", "JIO": "Jio"}).collect()}
+    assert got == {"d": "Kotak Bank", "e": None}
+    out = json.loads(tables.response(spark.range(2500), "bank"))
+    assert out["rows"] == 2500 == len(out["data"]) and out["data"][0] == {"id": 0} and json.loads(tables.response(spark.range(0), "x"))["data"] == []
+
+
+def test_documents_of_unknown_kind_and_empty_grids(spark):
+    rows = [("u", i, ["hello", "world"]) for i in range(4)] + [("b", 0, ["Txn Date", "Narration", "Amount"]), ("b", 1, ["1/2/2024", "POS/7", "-5"]), ("b", 2, ["TXN DATE", "Narration", "Amount"]), ("b", 3, ["", "TOTAL", "9"])]
+    df = spark.createDataFrame(rows, "doc string, row_idx int, cells array<string>")
+    got = grid.extract(df, "bank").collect()
+    assert [(r.doc, r.row_idx, r.Transaction_Amount, r.Transaction_ID) for r in got] == [("b", 1, "-5.0", "7")]
+    assert grid.extract(df.limit(0), "bank").count() == 0 == grid.extract(df, "cdr").count()

@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IPV4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
-#: Eight groups, or fewer with one ``::``; the last two may be an IPv4 address.
+OCTETS = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}"
 HEX = "[0-9A-Fa-f]{1,4}"
-IPV6 = rf"^({HEX}:){{7}}{HEX}$|^(?=.*::)(?!.*::.*::)(?!.*:::)(({HEX}(:{HEX}){{0,6}})?::({HEX}(:{HEX}){{0,6}})?)$"
+
+
+def _ipv6() -> str:
+    """Eight groups, or seven at most around one ``::``; an IPv4 address may stand for the last two; a zone may follow."""
+
+    def up_to(n: int, tail: str) -> str:
+        return f"({HEX}:){{0,{n}}}{tail}"
+
+    forms = [f"({HEX}:){{7}}{HEX}", f"({HEX}:){{6}}{OCTETS}"]
+    for left in range(8):
+        begin = f"({HEX}:){{{left - 1}}}{HEX}::" if left else "::"
+        forms.append(begin + (f"({up_to(6 - left, HEX)})?" if left < 7 else ""))
+        if left < 6:
+            forms.append(begin + up_to(5 - left, OCTETS))
+    return f"^({'|'.join(forms)})(%[^%]+)?$"
+
+
+IPV4, IPV6 = f"^{OCTETS}$", _ipv6()
+#: What ``strip`` takes away.
+WHITE = " \t\n\v\f\r"
 
 
 def strip(c: Column) -> Column:
     """Without white space at either end (all white space, not only blanks)."""
-    return F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    return F.btrim(c.cast("string"), F.lit(WHITE))
 
 
 def missing(c: Column) -> Column:
@@ -100,24 +122,58 @@ def statement_date(c: Column) -> Column:
 MODES = [("IMPS", "IMPS"), ("NEFT", "NEFT"), ("RTGS", "RTGS"), ("UPI", "UPI"), ("POS", "POS"), ("EDC", "EDC"), ("ATM", "ATM"), ("CASH", "CASH"), ("CHQ", "CHEQUE"), ("CHEQUE", "CHEQUE"), ("DR", "DEBIT_CARD"), ("CASHBACK", "CASHBACK"), ("INITIAL", "INITIAL_FUNDING"), ("OPENING", "OPENING_BALANCE"), ("CLOSING", "CLOSING_BALANCE")]
 
 
+#: What follows the mode of an IMPS payment, and words that mark a bank or what is no payee.
+IMPS_KINDS = ["P2A", "P2P", "P2M"]
+BANK_WORDS = ["BANK", "IDFC", "HDFC", "SBI", "ICICI", "AXIS", "PNB"]
+NO_PAYEE = ["BANK", "X0"]
+
+
 def narration(c: Column) -> Column:
-    """``struct(mode, reference, beneficiary, bank)`` of a narration ``MODE/reference/beneficiary/bank``.
+    """``struct(mode, reference, beneficiary, bank)`` of a narration of parts between slashes; empty parts don't count.
 
-    Without a known mode the narration itself is the mode."""
-    parts = F.transform(F.split(strip(c), "/"), strip)
-    mode = strip(c)
-    for word, name in reversed(MODES):
-        mode = F.when(F.upper(c).contains(word), F.lit(name)).otherwise(mode)
-    part = lambda i: F.nullif(F.get(parts, i), F.lit(""))
-    return F.when(~missing(c), F.struct(mode.alias("mode"), part(1).alias("reference"), part(2).alias("beneficiary"), part(3).alias("bank")))
+    The mode is the first known word in the first part; without one the narration itself is the mode.  IMPS narrations give
+    their kind, reference, payee and bank by place; POS and EDC ones a reference in the last part.  NULL stays NULL."""
+    parts = F.filter(F.transform(F.split(strip(c), "/"), strip), lambda x: x != "")
 
+    def part(i: int) -> Column:
+        return F.get(parts, F.lit(i))
 
-#: What a summary row of a statement says instead of a narration.
-SUMMARY = r"^(OPENING BALANCE|CLOSING BALANCE|TOTAL|GRAND TOTAL|SUB ?TOTAL|BALANCE (B/F|C/F)|BROUGHT FORWARD|CARRIED FORWARD|PAGE TOTAL|STATEMENT SUMMARY)\b"
+    def holds(text: Column, words: list[str]) -> Column:
+        return text.rlike("(?i)" + "|".join(words))
+
+    def digits(text: Column) -> Column:
+        return F.when(text.rlike(r"^\d+$"), text)
+
+    word = F.lit(None).cast("string")
+    for key, name in reversed(MODES):
+        word = F.when(F.upper(part(0)).contains(key), F.lit(name)).otherwise(word)
+    imps, n = word == "IMPS", F.size(parts)
+    mode = F.when(imps & part(1).isin(IMPS_KINDS), F.concat(F.lit("IMPS_"), part(1))).otherwise(F.coalesce(word, strip(c)))
+    plain = imps & ~F.coalesce(part(1).isin(IMPS_KINDS), F.lit(False))  # a kind makes it another mode, without the rest
+    reference = F.when(plain & (n >= 3), digits(part(2))).when(word.isin("POS", "EDC") & (n >= 2), digits(F.element_at(parts, -1)))
+    bank = F.when(plain & (n >= 4), F.get(F.filter(F.slice(parts, 4, F.greatest(n, F.lit(4))), lambda x: holds(x, BANK_WORDS)), F.lit(0)))
+    beneficiary = F.when(plain & (n >= 4) & ~holds(part(3), NO_PAYEE), part(3))
+    return F.when(c.isNotNull(), F.struct(mode.alias("mode"), reference.alias("reference"), beneficiary.alias("beneficiary"), bank.alias("bank")))
+
+
+#: What a summary row of a statement says anywhere in its narration, and what it says as the whole of it.
+SUMMARY = [r"OPENING\s+BALANCE", r"CLOSING\s+BALANCE", r"TRANSACTION\s+TOTAL", r"BROUGHT\s+FORWARD", r"CARRIED\s+FORWARD"]
+SUMMARY_WHOLE = ["TOTAL", r"GRAND\s+TOTAL", r"SUB\s*TOTAL", r"STATEMENT\s+SUMMARY"]
 
 
 def is_summary(c: Column) -> Column:
-    return F.coalesce(F.upper(strip(c)).rlike(SUMMARY), F.lit(False))
+    """A marked text on one line counts anywhere; plain totals only as the whole text."""
+    says = strip(c).rlike(f"(?i)^.*({'|'.join(SUMMARY)})|^\\s*({'|'.join(SUMMARY_WHOLE)})\\s*$")
+    return F.coalesce(says, F.lit(False))
+
+
+def text(c: Column) -> Column:
+    """Compatibility forms taken apart (NFKD), runs of white space one blank, none at the ends; NULL stays NULL."""
+
+    def plain(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: re.sub(r"\s+", " ", unicodedata.normalize("NFKD", x)).strip(), na_action="ignore")
+
+    return F.pandas_udf(plain, "string")(c.cast("string"))
 
 
 def micros(c: Column) -> Column:

@@ -102,10 +102,10 @@ def parse_datetime(s, d):
     return e.select("event_id", N.micros(N.timestamp(F.date_format("ts", "yyyy-M-d"), F.date_format("ts", "H:m:s"))).alias("us"))
 
 
-IPS = ["10.0.0.1", "300.1.1.1", "::1", "fe80::1", "1.2.3", "01.2.3.4", "", "2001:db8:0:0:0:0:0:1", "12345::", "::ffff"]
+IPS = ["10.0.0.1", "300.1.1.1", "::1", "fe80::1", "1.2.3", "01.2.3.4", "", "2001:db8:0:0:0:0:0:1", "12345::", "::ffff", "::ffff:1.2.3.4", "1:2:3:4:5:6:7::1:2:3:4", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7::", "1::2:3:4:5:6:7:8", "1:::2", "::1.2.3.256"]
 
 
-@query("SELECT k, ok FROM (VALUES (0, true), (1, false), (2, true), (3, true), (4, false), (5, false), (6, false), (7, true), (8, false), (9, true)) AS t(k, ok)")
+@query("SELECT k, ok FROM (VALUES (0, true), (1, false), (2, true), (3, true), (4, false), (5, false), (6, false), (7, true), (8, false), (9, true), (10, true), (11, false), (12, true), (13, true), (14, false), (15, false), (16, false)) AS t(k, ok)")
 def validate_ip(s, d):
     return _values(s, IPS).select("k", N.ip_valid(F.col("v")).alias("ok"))
 
@@ -534,7 +534,7 @@ def reduce_closed_universe(s, d):
     return reduction.closed_universe(e, reduction.select_customers(e)).select("txn", "sender", "receiver")
 
 
-@query("SELECT count(*) AS n FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query("SELECT count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def reduce_orphans(s, d):
     return reduction.orphans(adapters.load(s, d, "orders").select(F.col("o_orderkey").alias("k")), adapters.load(s, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k").agg(F.count("*").alias("n"))
 
@@ -546,17 +546,19 @@ def activity_histogram(s, d):
 
 
 # --- extracted tables ----------------------------------------------------------------------------------------------
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN -round(value, 2) ELSE round(value, 2) END AS amount FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 < 3 THEN -abs(round(value, 2)) ELSE abs(round(value, 2)) END AS amount FROM events")
 def merge_debit_credit(s, d):
-    e = adapters.load(s, d, "events")
-    text = F.concat(F.lit("Rs. "), F.round("value", 2).cast("string"))
-    return e.select("event_id", F.round(grid.merge_debit_credit(F.when(F.col("event_id") % 3 == 1, text), F.when(F.col("event_id") % 3 == 2, text)), 2).alias("amount"))
+    e, k = adapters.load(s, d, "events"), F.col("event_id") % 5
+    shown = F.round("value", 2).cast("string")
+    debit = F.when(k == 1, F.concat(F.lit("Rs. "), shown, F.lit(" DR"))).when(k == 2, F.concat(F.lit("-"), shown))
+    credit = F.when(k == 3, F.concat(shown, F.lit(" CR"))).when(k == 4, F.concat(F.lit("("), shown, F.lit(")")))
+    return e.select("event_id", F.round(grid.merge_debit_credit(debit, credit), 2).alias("amount"))
 
 
-@query("SELECT event_id FROM events WHERE event_id % 4 <> 0")
+@query("SELECT event_id FROM events WHERE event_id % 9 NOT IN (0, 1, 2, 4, 6)")
 def summary_rows(s, d):
-    k = F.col("event_id") % 4
-    e = adapters.load(s, d, "events").withColumn("says", F.when(k == 0, F.when(F.col("event_id") % 8 == 0, "Opening Balance").otherwise("  GRAND TOTAL 5")).otherwise("UPI/1/total of x"))
+    says = ["Opening  Balance", "By opening balance of May", "TRANSACTION TOTAL", "TOTAL MOTORS PAYMENT", " sub total ", "GRAND TOTAL 5", "Total", "UPI/1/total of x", "balance b/f"]
+    e = adapters.load(s, d, "events").withColumn("says", F.get(F.array(*map(F.lit, says)), (F.col("event_id") % 9).cast("int")))
     return grid.drop_summary(e, "says").select("event_id")
 
 
@@ -567,10 +569,37 @@ def secondary_table_cut(s, d):
     return grid.cut_secondary(e.select(F.col("user_id").alias("doc"), F.col("event_id").alias("row_idx"), cells.alias("cells"))).select("doc", "row_idx")
 
 
-@query("SELECT event_id, 'IMPS' AS mode, event_id::VARCHAR AS reference, 'payee ' || user_id AS beneficiary, NULL::VARCHAR AS bank FROM events")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'IMPS' WHEN 1 THEN 'IMPS_P2A' WHEN 2 THEN 'POS' WHEN 3 THEN 'SHOP/UPI STREET/' || event_id ELSE 'NEFT' END AS mode,
+  CASE WHEN event_id % 5 IN (0, 2) THEN event_id::VARCHAR END AS reference, CASE WHEN event_id % 5 = 0 THEN 'payee ' || user_id END AS beneficiary, CASE WHEN event_id % 5 = 0 THEN 'Hdfc North' END AS bank FROM events""")
 def narration_parse(s, d):
-    e = adapters.load(s, d, "events").withColumn("says", F.concat(F.lit("imps / "), "event_id", F.lit("/payee "), "user_id"))
-    return e.select("event_id", N.narration(F.col("says")).alias("n")).select("event_id", "n.*")
+    e, k = adapters.load(s, d, "events"), F.col("event_id") % 5
+    number, payee = F.col("event_id").cast("string"), F.concat(F.lit("payee "), "user_id")
+    says = F.when(k == 0, F.concat(F.lit(" imps //OUT/ "), number, F.lit("/"), payee, F.lit("/ref/Hdfc North"))).when(k == 1, F.concat(F.lit("IMPS/P2A/"), number, F.lit("/x/SBI")))
+    says = says.when(k == 2, F.concat(F.lit("POS 12/SHOP/"), number)).when(k == 3, F.concat(F.lit("SHOP/UPI STREET/"), number)).otherwise(F.concat(F.lit("/NEFT CASH/"), number))
+    return e.select("event_id", N.narration(says).alias("n")).select("event_id", "n.*")
+
+
+@query("""SELECT user_id AS doc, event_id AS row_idx, strftime(ts, '%d/%m/%Y') AS "Date", CASE WHEN event_id % 3 = 0 THEN 'IMPS/OUT/' || event_id || '/payee x' WHEN event_id % 3 = 1 THEN 'By total of may' ELSE 'POS/a' END AS "Transaction_Mode", 'R' || event_id AS "Txn_Ref_Number",
+  CASE WHEN event_id % 2 = 0 THEN -abs(round(value, 2)) ELSE abs(round(value, 2)) END AS amount, CASE WHEN event_id % 3 = 0 THEN event_id::VARCHAR END AS "Transaction_ID", CASE WHEN event_id % 3 = 0 THEN 'payee x' END AS "Receiver_Customer_Name"
+  FROM events e WHERE event_id % 7 <> 3 AND event_id % 13 <> 5 AND event_id < coalesce((SELECT min(event_id) FROM events c WHERE c.user_id = e.user_id AND c.event_id % 17 = 11 AND c.event_id % 7 <> 3 AND c.event_id % 13 <> 5), 1e18)""")
+def extract_statements(s, d):
+    """Grids of one document a user, in two layouts: a title row, a header, rows of transactions, of summaries, of headers
+    that come again, and a second table."""
+    e = adapters.load(s, d, "events").withColumn("two", F.col("user_id") % 2 == 0)
+    shown, k = F.round("value", 2).cast("string"), F.col("event_id")
+    out = k % 2 == 0
+    says = F.when(k % 3 == 0, F.concat(F.lit("IMPS/OUT/"), k, F.lit("/payee x"))).when(k % 3 == 1, F.lit("By total of may")).otherwise(F.lit("POS/a"))
+    says = F.when(k % 7 == 3, F.lit("OPENING BALANCE")).otherwise(says)
+    day, ref, blank = F.date_format("ts", "dd/MM/yyyy"), F.concat(F.lit("R"), k), F.lit("")
+    one_layout = F.array(day, says, ref, F.when(out, F.concat(shown, F.lit(" DR"))).otherwise(blank), F.when(out, blank).otherwise(shown), F.lit("9.0"))
+    other = F.array(ref, day, F.lit(" "), F.concat(F.lit("Rs. "), shown), F.when(out, F.lit("dr.")).otherwise(F.lit("C")), says)
+    heads = [["Tran Dt", "Particulars", "Chq/Ref.", "Debit", "Credit", "Bal (INR)"], ["Chq.No", "Txn Date", "Branch", "Amt(INR)", "Dr/Cr", "Transaction Narration"]]
+    head = F.when(F.col("two"), F.array(*map(F.lit, heads[0]))).otherwise(F.array(*map(F.lit, heads[1])))
+    body = F.when(k % 13 == 5, head).when((k % 17 == 11) & (k % 7 != 3), F.array(F.lit("Charge Type"), F.lit("Tax Amount"), blank)).otherwise(F.when(F.col("two"), one_layout).otherwise(other))
+    rows = e.select(F.col("user_id").alias("doc"), k.alias("row_idx"), body.alias("cells"))
+    tops = e.groupBy("user_id", "two").agg(F.min("event_id").alias("k")).select("user_id", F.explode(F.array(F.struct((F.col("k") - 3).alias("i"), F.array(F.lit("Statement"), F.lit("")).alias("cells")), F.struct((F.col("k") - 2).alias("i"), F.array(F.lit("Name"), F.lit("A B")).alias("cells")), F.struct((F.col("k") - 1).alias("i"), head.alias("cells")))).alias("x"))
+    got = grid.extract(rows.unionByName(tops.select(F.col("user_id").alias("doc"), F.col("x.i").alias("row_idx"), F.col("x.cells").alias("cells"))), "bank")
+    return got.select("doc", "row_idx", "Date", "Transaction_Mode", "Txn_Ref_Number", F.round(F.col("Transaction_Amount").cast("double"), 2).alias("amount"), "Transaction_ID", "Receiver_Customer_Name")
 
 
 @query("SELECT event_id FROM events WHERE event_id % 3 <> 0")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,10 +52,18 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def response(df: DataFrame, dataset: str, limit: int = 1000) -> str:
-    """``{status, dataset_type, rows, columns, data}``; ``data`` holds a page of at most ``limit`` rows."""
-    page = [json.loads(x.j) for x in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).limit(limit).collect()]
-    return json.dumps({"status": "success", "dataset_type": dataset, "rows": df.count(), "columns": df.columns, "data": page})
+def response_parts(df: DataFrame, dataset: str) -> Iterator[str]:
+    """``{status, dataset_type, rows, columns, data}`` with all rows, in pieces: one partition at a time is on the driver."""
+    start = json.dumps({"status": "success", "dataset_type": dataset, "rows": df.count(), "columns": df.columns})
+    yield start[:-1] + ', "data": ['
+    for i, row in enumerate(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()):
+        yield (", " if i else "") + row.j
+    yield "]}"
+
+
+def response(df: DataFrame, dataset: str) -> str:
+    """The whole response as one text."""
+    return "".join(response_parts(df, dataset))
 
 
 def markdown_report(figures: dict[str, object], histogram: DataFrame) -> str:
