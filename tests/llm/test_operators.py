@@ -143,3 +143,36 @@ def test_warc_round_trip(spark):
     got = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i].record_type for i in (1, 2, 3, 4, 5, 9)] == ["revisit", "revisit", "response", "response", "response", "response"]
     assert got[1].refers_to == got[2].refers_to == 9 and got[1].payload_bytes == 1400 and got[5].payload_digest == hashlib.sha1(b"").hexdigest()
+
+
+def test_chat_ids_are_those_of_the_whole_text(spark):
+    enc = chat.encoder(chat.RANKS)
+    rng = random.Random(5)
+    for _ in range(500):
+        text = "".join(rng.choices([" ", "  ", "\n", "\t ", "a", "bc", "1", "'s", "!", "\xa0", "\u3000", "é"], k=rng.randint(0, 30)))
+        assert chat.encode(enc, text, 2) == enc.encode_ordinary(text)
+    for text in (" " * 300_000, "x" + "\n \t" * 100_000 + "y", "a" * 300_000, "a " * 100_000):
+        assert enc.decode(chat.encode(enc, text)) == text
+    rows = [(1, 0, "user", " " * 200_000), (1, 1, "assistant", "a" * 200_000), (None, 0, None, None), (2, None, "assistant", ""), (2, None, "assistant", "")]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, ids int")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.chat_digests(df).collect()}
+    assert got == {1: (2, 200_000), None: (1, 0), 2: (2, 0)} and chat.chat_digests(df.limit(0)).count() == 0
+
+
+def test_warc_rows_of_all_kinds(spark):
+    long = "<p>" + "x" * 40_000
+    rows = [(1, "u", long, 3), (2, "u", long, 3), (2, "u", long, 3), (5, None, None, 3), (6, "v", "", 3), (None, "w", long, 3), (1 << 60, "far", "é", 3), (7, "s", "same", 3), (8, "s", "same", 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, size int").withColumn("digest", html_text.F.lit("d")).withColumn("shard", html_text.F.lit(1))
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()), key=str)
+    n = len(long)
+    want = [(1, n, "revisit", 2), (2, n, "response", None), (2, n, "response", None), (5, 0, "response", None), (6, 0, "response", None), (None, n, "revisit", 2), (1 << 60, 2, "response", None), (7, 4, "response", None), (8, 4, "response", None)]
+    assert got == sorted(want, key=str)
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = random_texts(6, 30) + [(None, "one two"), (3, None), (4, "")]
+    df = spark.createDataFrame([(i, t, f"s{(i or 0) % 3}", 7, 7, 7, 7, 7) for i, t in rows], "doc_id long, text string, source string, _ int, row int, reads int, size int, `a.b` int")
+    got = mixing.mix(df).collect()
+    assert got and all(r["_"] == r["row"] == r["reads"] == r["size"] == r["a.b"] == 7 for r in got) and {(r.doc_id, r.text) for r in got} <= set(rows)
+    assert mixing.mix(df.limit(0)).count() == 0

@@ -26,8 +26,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 START, END = "<|im_start|>", "<|im_end|>"
 #: Control strings have the form <|...|>: any opening mark in a text gets a backslash more.
 OPEN, CLOSED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
-#: Segments longer than this are encoded in pieces cut before a word.
-PIECE = 1 << 16
+#: White space as the pattern knows it; the encoder's own search can't take runs of it that are very long.
+BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+RUN = 4096
 
 
 def escape(text: str) -> str:
@@ -48,17 +49,18 @@ def encoder(ranks: str):
     return tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=table, special_tokens={START: n, END: n + 1})
 
 
-def encode(enc, text: str) -> list[int]:
-    if len(text) <= PIECE:
-        return enc.encode_ordinary(text)
+def encode(enc, text: str, run: int = RUN) -> list[int]:
+    """Token ids of the whole text.
+
+    The pattern takes a run of white space but for its last character, or all of one at the end, as one piece; long ones are
+    cut out by that rule, so the ids are those of the whole text."""
     out, at = [], 0
-    while at < len(text):
-        to = at + PIECE
-        cut = text.rfind(" ", at + 1, to) if to < len(text) else len(text)
-        cut = cut if cut > at else to
-        out += enc.encode_ordinary(text[at:cut])
-        at = cut
-    return out
+    for m in re.finditer(f"{BLANK}{{{run},}}", text):
+        end = m.end() - (m.end() < len(text))
+        out += enc.encode_ordinary(text[at : m.start()])
+        out += enc._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + enc.encode_ordinary(text[at:])
 
 
 def format_turns(rows: DataFrame, ranks: str = RANKS) -> DataFrame:
