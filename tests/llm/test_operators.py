@@ -176,3 +176,18 @@ def test_mix_keeps_columns_of_any_name(spark):
     got = mixing.mix(df).collect()
     assert got and all(r["_"] == r["row"] == r["reads"] == r["size"] == r["a.b"] == 7 for r in got) and {(r.doc_id, r.text) for r in got} <= set(rows)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_substrings_with_clashing_hashes(spark):
+    """Hashes of eight bits: nearly all windows clash, and words decide."""
+    rows = random_texts(3, 25) + [(50, random_texts(3)[0][1])]
+    first, want = {}, {}
+    for i, t in sorted(rows):
+        w = WORD.findall(t)
+        want[i] = {k + j for k in range(len(w) - 12) if first.get(tuple(w[k : k + 13]), i) < i for j in range(13)}
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    got = {i: set() for i, _ in rows}
+    for r in substring_dedup.removed_spans(docs(spark, rows), hash_bits=8).collect():
+        got[r.doc_id].update(x for a, b in zip(r.spans[::2], r.spans[1::2]) for x in range(a, b))
+    assert got == want and any(want.values())

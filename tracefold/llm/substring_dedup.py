@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 
 from tracefold.llm.common import discard, materialize, word_hashes
 from tracefold.llm.groups import arrow
-from tracefold.llm.ngram_join import LIST_TOKENS, SPLIT, TOKEN_BITS, distinct, rows_of, shingle_hashes, split_tokens
+from tracefold.llm.ngram_join import LIST_TOKENS, SPLIT, TOKEN_BITS, distinct, rows_of, scramble, shingle_hashes, split_tokens
 
 WINDOW = 13
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -158,12 +158,18 @@ def repeated_windows(split: DataFrame, bits: int, shards: int) -> DataFrame:
     return lists.groupBy("doc_id").agg(F.collect_list(F.struct("toks", "shards")).alias("lists"))
 
 
-def runs(doc: int, text: str, h: np.ndarray, lists: list[dict], bits: int, window: int):
+def window_hashes(h: np.ndarray, window: int, hash_bits: int) -> np.ndarray:
+    """Hashes of all windows; fewer bits than 64 only make them clash."""
+    out = shingle_hashes(h, window)
+    return out if hash_bits >= 64 else scramble(out >> np.uint64(64 - hash_bits))
+
+
+def runs(doc: int, text: str, h: np.ndarray, lists: list[dict], bits: int, window: int, hash_bits: int):
     """Runs of one document: ``(shard, question, doc_id, start, text)``."""
     w = WORD.findall(text)
     if len(w) < window:
         return
-    hashes = shingle_hashes(h, window) >> np.uint64(64 - bits - TOKEN_BITS)
+    hashes = window_hashes(h, window, hash_bits) >> np.uint64(64 - bits - TOKEN_BITS)
     toks = np.concatenate([np.frombuffer(x["toks"], np.uint64) for x in lists])
     shard = np.concatenate([np.frombuffer(x["shards"], np.uint32) for x in lists])
     order = np.argsort(toks)
@@ -177,8 +183,9 @@ def runs(doc: int, text: str, h: np.ndarray, lists: list[dict], bits: int, windo
 
 
 def answers(dealt: DataFrame, window: int) -> DataFrame:
-    """Spans ``(doc_id, spans)`` of word positions that the automata of the shards confirm."""
-    schema = "doc_id bigint, spans array<int>"
+    """Spans ``(doc_id, spans, at, window)`` of word positions that the automata of the shards confirm; and of each window
+    that was asked for and is not there its place and words, without spans: its hash is that of other words."""
+    schema = "doc_id bigint, spans array<int>, at int, window string"
     to = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
@@ -196,14 +203,19 @@ def answers(dealt: DataFrame, window: int) -> DataFrame:
                     automaton.finish()
                     ready = True
                 spans: list[int] = []
-                for i in automaton.matches(doc, text.split(" "), window):
+                asked = text.split(" ")
+                held = automaton.matches(doc, asked, window)
+                if len(held) < len(asked) - window + 1:
+                    there = set(held)
+                    out += [(doc, None, start + i, " ".join(asked[i : i + window])) for i in range(len(asked) - window + 1) if i not in there]
+                for i in held:
                     a, b = start + i, start + i + window
                     if spans and a <= spans[-1]:
                         spans[-1] = b
                     else:
                         spans += [a, b]
                 if spans:
-                    out.append((doc, spans))
+                    out.append((doc, spans, None, None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), to.types)], schema=to)
 
@@ -221,9 +233,20 @@ def kept_words(text: str | None, spans: list[list[int]] | None) -> tuple[list[st
     return [x for x, g in zip(w, gone) if not g], len(w)
 
 
-def removed_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clashed(asked: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """Spans of windows whose hash clashed: by words, over the runs of all documents that hold a window of such a hash."""
+    w = F.split("text", " ")
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.array_join(F.slice(w, i + 1, window), " ")))
+    held = spans.select("doc_id", each.alias("window")).join(asked.select("window").distinct(), "window", "left_semi")
+    first = held.groupBy("window").agg(F.min("doc_id").alias("first"))
+    return asked.join(first, "window").where("first < doc_id").select("doc_id", F.array("at", F.col("at") + window).alias("spans"))
+
+
+def removed_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """``(doc_id, spans)``: positions of words covered by a window that a document with a smaller id holds.
 
+    Hashes only route; windows of clashing hashes, which the shard of the other words does not hold, are decided by words.
+
     Rows without an id, and texts of fewer words than a window, take no part.  Rows of one id are one document: their
     windows are not held against each other."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
@@ -234,7 +257,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 
     def split(batch):
         ids = batch.column("doc_id").to_numpy().astype(np.int64)
-        sets = [distinct(shingle_hashes(h, window)) if len(h) >= window else np.empty(0, np.uint64) for h in rows_of(batch, "h")]
+        sets = [distinct(window_hashes(h, window, hash_bits)) if len(h) >= window else np.empty(0, np.uint64) for h in rows_of(batch, "h")]
         raw = [x.tobytes() for x in ids]
         yield from split_tokens(raw, [b""] * len(raw), [0] * len(raw), sets, bits)
 
@@ -242,7 +265,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     full = rows.join(lists, "doc_id").select("doc_id", "text", word_hashes(F.col("text")).alias("h"), "lists")
 
     def send(batch):
-        out = [r for doc, text, h, x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), rows_of(batch, "h"), batch.column("lists").to_pylist()) for r in runs(doc, text or "", h, x, bits, window)]
+        out = [r for doc, text, h, x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), rows_of(batch, "h"), batch.column("lists").to_pylist()) for r in runs(doc, text or "", h, x, bits, window, hash_bits)]
         if out:
             yield list(zip(*out))
 
@@ -253,7 +276,12 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     asked = materialize(asked, "asked")
     refs = spans.where("not question").join(asked, "shard").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
     questions = spans.where("question").join(asked, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int"))
-    return answers(refs.drop("salts").unionByName(questions.drop("salts")), window)
+    found = materialize(answers(refs.drop("salts").unionByName(questions.drop("salts")), window), "answers")
+    sure, open_ = found.where("spans is not null").select("doc_id", "spans"), found.where("spans is null").select("doc_id", "at", "window")
+    if open_.isEmpty():
+        discard(spans, asked)
+        return sure
+    return sure.unionByName(clashed(open_, spans, window))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,7 +290,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     One row for each row of ``docs``.  Null and empty texts have no words.  Of equal texts the one with the smallest id
     keeps its words; repeated rows of one id lose nothing to each other; rows without an id lose nothing.  Other columns
     are not read; an empty table gives no rows."""
-    spans = materialize(removed_spans(docs, window, id_col, text_col), "spans")
+    spans = removed_spans(docs, window, id_col, text_col)
     found = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(found, "doc_id", "left")
 
