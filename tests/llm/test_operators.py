@@ -191,3 +191,18 @@ def test_substrings_with_clashing_hashes(spark):
     for r in substring_dedup.removed_spans(docs(spark, rows), hash_bits=8).collect():
         got[r.doc_id].update(x for a, b in zip(r.spans[::2], r.spans[1::2]) for x in range(a, b))
     assert got == want and any(want.values())
+
+
+def test_shards_follow_the_bytes_whatever_the_ids(spark):
+    """A far id, negative ones and rows without an id: shards stay near their size, and a far id is in no way of others."""
+    rows = [(i, 1000) for i in range(3000)] + [(1 << 62, 10), (-(1 << 62), 10)]
+    slim = spark.createDataFrame(rows, "place long, size long").repartition(5)
+    kept = warc.SHARD_BYTES, warc.SLICES
+    try:
+        warc.SHARD_BYTES, warc.SLICES = 100_000, 64
+        starts = warc.shard_starts(slim, -(1 << 62), 1 << 62, sum(s + 400 for _, s in rows))
+    finally:
+        warc.SHARD_BYTES, warc.SLICES = kept
+    at = np.searchsorted(starts, np.array([i for i, _ in rows]), side="right") - 1
+    sizes = np.bincount(at, [s + 400 for _, s in rows])
+    assert sizes.max() < 2.1 * 100_000 and len(sizes) >= 40 and list(starts) == sorted(set(starts))

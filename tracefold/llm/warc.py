@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and its reader.
 
-Pages are dealt to shards by ranges of ``page_id``: the bytes of equally wide slices of the id range are summed, and a
-shard is a run of slices of about ``SHARD_BYTES``.  The limits follow from the table alone, so a rerun writes the same
+Pages are dealt to shards by ranges of ``page_id``: the bytes of slices of the id range are summed, slices with too many
+are cut finer, and a shard is a run of slices of about ``SHARD_BYTES``.  The limits follow from the table alone, so a rerun writes the same
 files.  In each shard records are sorted and written to a file under a temporary name, rolled when its compressed size
 passes ``ROLL_BYTES``; a manifest - the list of the files with their sizes and digests - is written last, and only files
 that a manifest of the committed attempt names are moved to their final names.  A lost executor leaves a temporary file
@@ -17,12 +17,13 @@ import json
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import materialize, shared_dir
+from tracefold.llm.common import discard, freed, materialize, shared_dir
 from tracefold.llm.groups import arrow
 
 MIN_REVISIT = 1000
@@ -63,26 +64,63 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
     return pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
+def shard_starts(slim: DataFrame, lo: int, hi: int, total: int) -> np.ndarray:
+    """The first place of each shard, shards of about ``SHARD_BYTES`` (more only where one place has more).
+
+    Bytes are summed over slices of the range; slices with too many are cut finer, in proportion, until none is left, so one
+    far id costs no resolution elsewhere.  The driver holds some multiples of ``SLICES`` sums, whatever the input."""
+    width = (hi - lo) // SLICES + 1
+    starts = [lo + i * width for i in range((hi - lo) // width + 1)]
+    while True:
+        begins, n = np.array(starts, np.int64), len(starts)
+
+        def fn(batch):
+            at = np.searchsorted(begins, batch.column("place").to_numpy(), side="right") - 1
+            sums = np.bincount(at, batch.column("size").to_numpy() + 400.0, n)
+            some = np.flatnonzero(sums)
+            yield [some, sums[some].astype(np.int64)]
+
+        with freed(slim.sparkSession):
+            sums = dict(map(tuple, arrow(slim.select("place", "size"), fn, "slice bigint, s bigint").groupBy("slice").agg(F.sum("s")).collect()))
+        fine, ends = [], [*starts[1:], hi + 1]
+        for i, (a, b) in enumerate(zip(starts, ends)):
+            parts = min(b - a, -(-sums.get(i, 0) * SLICES // total)) if sums.get(i, 0) > max(SHARD_BYTES, 4 * total // SLICES) else 1
+            fine += [a + (b - a) * k // parts for k in range(parts)]
+        if len(fine) == n:
+            break
+        starts = fine
+    out, filled = [lo], 0
+    for i, a in enumerate(starts):
+        if filled and filled + sums.get(i, 0) > SHARD_BYTES:
+            out.append(a)
+            filled = 0
+        filled += sums.get(i, 0)
+    return np.array(out, np.int64)
+
+
 def planned(pages: DataFrame) -> DataFrame:
     """Pages with size, digest and the record they revisit, and the shard they go to; partition ``i`` of the result has
-    the shards that are ``i`` modulo the number of partitions."""
+    the shards that are ``i`` modulo the number of partitions.  A row without an id takes a place by its digest."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("bigint")).withColumn("digest", F.sha1("payload"))
     slim = materialize(rows.select("page_id", "size", "digest"), "pages")
     heads = slim.where(F.col("size") >= MIN_REVISIT).groupBy("digest", "size").agg(F.max("page_id").alias("head"), F.count("*").alias("k")).where("k > 1 and head is not null")
     heads = materialize(heads.drop("k"), "heads")
-    lo, hi, total = slim.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("size") + 400)).first()
-    width = ((hi or 0) - (lo or 0)) // SLICES + 1
-    place = F.floor((F.coalesce("page_id", F.lit(lo or 0)) - F.lit(lo or 0)) / F.lit(width))
-    # At most SLICES + 1 rows, whatever the input.
-    sums = slim.withColumn("slice", place).groupBy("slice").agg(F.sum(F.col("size") + 400).alias("s"))
-    shard = F.floor(F.coalesce(F.sum("s").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) / F.lit(SHARD_BYTES))
-    sums = sums.withColumn("shard", shard.cast("int")).drop("s")
-    rows = rows.withColumn("slice", place).join(F.broadcast(sums), "slice").drop("slice")
+    with freed(slim.sparkSession):
+        lo, hi, total = (x or 0 for x in slim.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("size") + 400)).first())
+    spread = F.pmod(F.xxhash64("digest"), F.lit(min(hi - lo, (1 << 62)) + 1)) + F.lit(lo)
+    place = F.coalesce("page_id", spread)
+    starts = shard_starts(slim.withColumn("place", place), lo, hi, max(total, 1))
+    discard(slim)
+
+    def shard(places: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, places.to_numpy(np.int64), side="right").astype(np.int32) - 1)
+
+    rows = rows.withColumn("shard", F.pandas_udf(shard, "int")(place))
     rows = rows.join(heads, ["digest", "size"], "left")
     rows = rows.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("head")), F.col("head"))).drop("head")
     # A shard for each task, not hashed: two shards never meet in a task while another has none.
-    parts = min((total or 0) // SHARD_BYTES + 1, MOST_TASKS)
+    parts = min(len(starts), MOST_TASKS)
     return rows.repartitionById(parts, F.pmod("shard", F.lit(parts)))
 
 
