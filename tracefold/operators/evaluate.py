@@ -42,6 +42,28 @@ def threshold(rows: DataFrame) -> DataFrame:
     return c.select("threshold", "tp", "fp", "fn", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / (F.col("tp") + F.col("fn"))).alias("recall"), (2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"))
 
 
+def with_labels(rows: DataFrame, truth: DataFrame) -> DataFrame:
+    """Rows with the label that the truth ``(id, label)`` has for their id; 0 without one."""
+    return rows.join(truth.select("id", "label"), "id", "left").withColumn("label", F.coalesce(F.col("label").cast("int"), F.lit(0)))
+
+
+def f1_threshold(rows: DataFrame) -> DataFrame:
+    """``(threshold, f1)``: the score that gives the best F1 when it and all above count as hits, the smallest of equals."""
+    total = rows.agg(F.sum("label").alias("positives"))
+    precision, recall = F.col("tp") / F.col("seen"), F.col("tp") / F.col("positives")
+    f1 = 2 * precision * recall / (precision + recall + 1e-10)
+    best = by_score(rows).join(F.broadcast(total)).where("positives > 0").withColumn("f1", f1)
+    return best.agg(F.max_by("score", F.struct("f1", -F.col("score"))).alias("threshold"), F.max("f1").alias("f1"))
+
+
+def scenario_rollup(rows: DataFrame, ks: tuple[int, ...] = (50, 100, 250)) -> DataFrame:
+    """One row for each scenario but NORMAL: its rows, how many of them are among the ``k`` best of all, and their share."""
+    best = rows.orderBy(F.desc("score"), "id").limit(max(ks)).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id"))).select("id", "rank")
+    j = rows.where("scenario <> 'NORMAL'").join(best, "id", "left").groupBy("scenario")
+    out = j.agg(F.count("*").alias("total_in_test"), *(F.count(F.when(F.col("rank") <= k, 1)).alias(f"detected_k{k}") for k in ks))
+    return out.select("*", *(F.concat(F.format_number(100 * F.col(f"detected_k{k}") / F.col("total_in_test"), 2), F.lit("%")).alias(f"recall_k{k}") for k in ks))
+
+
 def scenario_recall(rows: DataFrame, k: int) -> DataFrame:
     """Recall among the ``k`` best by scenario: ``rows (id, score, label, scenario)``."""
     best = rows.orderBy(F.desc("score"), "id").limit(k).select("id", F.lit(1).alias("in_top"))

@@ -39,29 +39,54 @@ def calendar(rows: DataFrame) -> DataFrame:
     return rows.select("id", odd_hour(ts).alias("b_odd_hour"), weekend(ts).alias("b_is_weekend"), F.hour(ts).alias("hour"))
 
 
+def _met(txn: DataFrame, key: str, events: DataFrame, width: int, reach: tuple[int, ...]) -> DataFrame:
+    """Transactions (``t``) beside the events of their key in the slices of time that ``reach`` names; a transaction without
+    any stays, more than once.  The slice is part of the key, so that a busy key is many groups."""
+    t = txn.select("id", key, F.col("us").alias("t"), F.explode(F.array(*(F.floor(F.col("us") / width) + i for i in reach))).alias("slice"))
+    return t.join(events.withColumn("slice", F.floor(F.col("us") / width)), [key, "slice"], "left")
+
+
 def call_windows(txn: DataFrame, calls: DataFrame) -> DataFrame:
     """Aggregates of the calls of an account in the hour and day before, one pass: ``txn (id, account, us)``,
-    ``calls (account, us, duration, cell, roaming)``."""
-    t, c = txn.select("id", "account", F.col("us").alias("t")), calls
-    j = t.join(c, (t["account"] == c["account"]) & (c["us"] < t["t"]) & (c["us"] >= t["t"] - 24 * HOUR), "left")
+    ``calls (account, us, duration, cell, roaming, location)``."""
+    j = _met(txn, "account", calls, 24 * HOUR, (-1, 0))
+    day = (F.col("us") < F.col("t")) & (F.col("us") >= F.col("t") - 24 * HOUR)
+    j = j.select("id", "t", *(F.when(day, F.col(c)).alias(c) for c in ("us", "duration", "cell", "roaming", "location")))
     hour = F.col("us") >= F.col("t") - HOUR
     h = lambda x: F.when(hour, x)
     z = lambda x: F.coalesce(x, F.lit(0.0))
     near = lambda m: F.count(F.when(F.col("us") >= F.col("t") - m * 60_000_000, 1))
     return j.groupBy("id").agg(
         F.count(h(F.col("us"))).alias("c_call_count_1h"), z(F.sum(h(F.col("duration")))).alias("c_total_duration_1h"), z(F.max(h(F.col("duration")))).alias("c_max_duration_1h"), z(F.avg(h(F.col("duration")))).alias("c_avg_duration_1h"),
-        F.countDistinct(h(F.col("cell"))).alias("c_unique_cell_ids_1h"), F.count("us").alias("c_call_count_24h"), z(F.sum("duration")).alias("c_total_duration_24h"), F.count(F.when(F.col("roaming") == 1, 1)).alias("c_roaming_count_24h"),
+        F.countDistinct(h(F.col("cell"))).alias("c_unique_cell_ids_1h"), F.count("us").alias("c_call_count_24h"), z(F.sum("duration")).alias("c_total_duration_24h"), F.count(F.when(F.col("roaming") == 1, 1)).alias("c_roaming_count_24h"), F.countDistinct("location").alias("c_unique_locations_24h"),
         F.when(near(30) > 0, 1).otherwise(0).alias("c_has_call_30min_before"), F.when(near(15) >= 3, 1).otherwise(0).alias("c_repeated_calls_15min"),
     )
 
 
+def pair_novelty(txn: DataFrame, calls: DataFrame) -> DataFrame:
+    """1 where the subscriber and device of the last call before a transaction were first seen (by anyone, at any time) less
+    than seven days before it; NULL without a call.  ``calls (account, us, event_id, imsi, imei)``; of equal times the
+    smallest id is the last call."""
+    pair = F.concat_ws("_", F.coalesce(F.col("imsi").cast("string"), F.lit("nan")), F.coalesce(F.col("imei").cast("string"), F.lit("nan")))
+    seen = calls.select("account", "us", "event_id", pair.alias("pair"))
+    none = F.lit(None)
+    rows = txn.select("id", "account", "us", none.cast("bigint").alias("event_id"), none.cast("string").alias("pair")).unionByName(seen.select(none.cast("bigint").alias("id"), "account", "us", "event_id", "pair"))
+    last = F.max(F.when(F.col("event_id").isNotNull(), F.struct("us", -F.col("event_id"), "pair"))).over(W.partitionBy("account").orderBy("us").rangeBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("last", last).where("id is not null").select("id", "us", F.col("last.pair").alias("pair"))
+    first = seen.groupBy("pair").agg(F.min("us").alias("first"))
+    return rows.join(first, "pair", "left").select("id", F.when(F.col("pair").isNotNull(), (F.col("us") - F.col("first") < 168 * HOUR).cast("int")).alias("c_imsi_imei_novelty"))
+
+
 def session_windows(txn: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Sessions of a device within 30 minutes on either side: ``sessions (device, us, sent, domain, port, vpn)``."""
-    t, s = txn.select("id", "device", F.col("us").alias("t")), sessions
-    j = t.join(s, (t["device"] == s["device"]) & (F.abs(s["us"] - t["t"]) <= HOUR // 2), "left")
+    """Sessions of a device within 30 minutes on either side: ``sessions (device, us, sent, received, domain, port, vpn, tor,
+    location)``."""
+    j = _met(txn, "device", sessions, HOUR // 2, (-1, 0, 1))
+    near = F.abs(F.col("us") - F.col("t")) <= HOUR // 2
+    j = j.select("id", *(F.when(near, F.col(c)).alias(c) for c in ("us", "sent", "received", "domain", "port", "vpn", "tor", "location")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return j.groupBy("id").agg(
-        F.count("us").alias("i_session_count_30min"), F.coalesce(F.sum("sent"), F.lit(0)).alias("i_total_bytes_sent_30min"), F.countDistinct("domain").alias("i_unique_domains_30min"),
-        F.countDistinct("port").alias("i_unique_ports_30min"), F.count(F.when(F.col("vpn") == 1, 1)).alias("i_vpn_count"),
+        F.count("us").alias("i_session_count_30min"), total("sent").alias("i_total_bytes_sent_30min"), total("received").alias("i_total_bytes_received_30min"), F.countDistinct("domain").alias("i_unique_domains_30min"), F.countDistinct("port").alias("i_unique_ports_30min"),
+        F.count(F.when(F.col("vpn") == 1, 1)).alias("i_vpn_count"), F.count(F.when(F.col("tor") == 1, 1)).alias("i_tor_count"), F.countDistinct("location").alias("i_unique_locations"),
     )
 
 

@@ -436,20 +436,29 @@ def _ev(s, d, kinds):
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("account"), N.micros(F.col("ts")).alias("us"), "value")
 
 
-@query(EVT + """ , j AS (SELECT t.id, t.us AS t, c.us, c.value AS dur, c.id % 20 AS cell, c.id % 2 AS roam FROM e t LEFT JOIN e c ON c.account = t.account AND c.k IN ('click', 'view') AND c.us < t.us AND c.us >= t.us - 86400000000 WHERE t.k = 'purchase')
+@query(EVT + """ , j AS (SELECT t.id, t.us AS t, c.us, c.value AS dur, c.id % 20 AS cell, c.id % 2 AS roam, c.id % 6 AS place FROM e t LEFT JOIN e c ON c.account = t.account AND c.k IN ('click', 'view') AND c.us < t.us AND c.us >= t.us - 86400000000 WHERE t.k = 'purchase')
   SELECT id, count(us) FILTER (us >= t - 3600000000) AS c_call_count_1h, round(coalesce(sum(dur) FILTER (us >= t - 3600000000), 0), 4) AS c_total_duration_1h, count(DISTINCT cell) FILTER (us >= t - 3600000000) AS c_unique_cell_ids_1h, count(us) AS c_call_count_24h,
-  count(*) FILTER (roam = 1) AS c_roaming_count_24h, (count(us) FILTER (us >= t - 1800000000) > 0)::INT AS c_has_call_30min_before, (count(us) FILTER (us >= t - 900000000) >= 3)::INT AS c_repeated_calls_15min FROM j GROUP BY id""")
+  count(*) FILTER (roam = 1) AS c_roaming_count_24h, count(DISTINCT place) AS c_unique_locations_24h, (count(us) FILTER (us >= t - 1800000000) > 0)::INT AS c_has_call_30min_before, (count(us) FILTER (us >= t - 900000000) >= 3)::INT AS c_repeated_calls_15min FROM j GROUP BY id""")
 def flat_call_windows(s, d):
-    calls = _ev(s, d, ["click", "view"]).select("account", "us", F.col("value").alias("duration"), (F.col("id") % 20).alias("cell"), (F.col("id") % 2).alias("roaming"))
+    calls = _ev(s, d, ["click", "view"]).select("account", "us", F.col("value").alias("duration"), (F.col("id") % 20).alias("cell"), (F.col("id") % 2).alias("roaming"), (F.col("id") % 6).alias("location"))
     r = flat.call_windows(_ev(s, d, ["purchase"]), calls)
-    return r.select("id", "c_call_count_1h", F.round("c_total_duration_1h", 4).alias("c_total_duration_1h"), "c_unique_cell_ids_1h", "c_call_count_24h", "c_roaming_count_24h", "c_has_call_30min_before", "c_repeated_calls_15min")
+    return r.select("id", "c_call_count_1h", F.round("c_total_duration_1h", 4).alias("c_total_duration_1h"), "c_unique_cell_ids_1h", "c_call_count_24h", "c_roaming_count_24h", "c_unique_locations_24h", "c_has_call_30min_before", "c_repeated_calls_15min")
+
+
+@query(EVT + """ , c AS (SELECT account, us, id, (id % 11) || '_' || (id % 13) AS pair FROM e WHERE k IN ('click', 'view')), f AS (SELECT pair, min(us) AS first FROM c GROUP BY pair),
+  l AS (SELECT t.id, t.us, c.pair, row_number() OVER (PARTITION BY t.id ORDER BY c.us DESC, c.id) AS n FROM e t LEFT JOIN c ON c.account = t.account AND c.us < t.us WHERE t.k = 'purchase')
+  SELECT l.id, CASE WHEN l.pair IS NOT NULL THEN (l.us - f.first < 604800000000)::INT END AS c_imsi_imei_novelty FROM l LEFT JOIN f USING (pair) WHERE n = 1""")
+def flat_pair_novelty(s, d):
+    calls = _ev(s, d, ["click", "view"]).select("account", "us", F.col("id").alias("event_id"), (F.col("id") % 11).alias("imsi"), (F.col("id") % 13).alias("imei"))
+    return flat.pair_novelty(_ev(s, d, ["purchase"]), calls)
 
 
 @query(EVT + """ , j AS (SELECT t.id, c.us, c.id AS s FROM e t LEFT JOIN e c ON c.account = t.account AND c.k IN ('error', 'signup') AND abs(c.us - t.us) <= 1800000000 WHERE t.k = 'purchase')
-  SELECT id, count(us) AS i_session_count_30min, coalesce(sum(s * 10), 0)::BIGINT AS i_total_bytes_sent_30min, count(DISTINCT s % 7) AS i_unique_domains_30min, count(DISTINCT s % 5) AS i_unique_ports_30min, count(*) FILTER (s % 3 = 1) AS i_vpn_count FROM j GROUP BY id""")
+  SELECT id, count(us) AS i_session_count_30min, coalesce(sum(s * 10), 0)::BIGINT AS i_total_bytes_sent_30min, coalesce(sum(s * 3), 0)::BIGINT AS i_total_bytes_received_30min, count(DISTINCT s % 7) AS i_unique_domains_30min, count(DISTINCT s % 5) AS i_unique_ports_30min, count(*) FILTER (s % 3 = 1) AS i_vpn_count,
+  count(*) FILTER (s % 4 = 1) AS i_tor_count, count(DISTINCT s % 6) AS i_unique_locations FROM j GROUP BY id""")
 def flat_ipdr_windows(s, d):
     x = F.col("id")
-    sessions = _ev(s, d, ["error", "signup"]).select(F.col("account").alias("device"), "us", (x * 10).alias("sent"), (x % 7).alias("domain"), (x % 5).alias("port"), F.when(x % 3 == 1, 1).otherwise(0).alias("vpn"))
+    sessions = _ev(s, d, ["error", "signup"]).select(F.col("account").alias("device"), "us", (x * 10).alias("sent"), (x * 3).alias("received"), (x % 7).alias("domain"), (x % 5).alias("port"), F.when(x % 3 == 1, 1).otherwise(0).alias("vpn"), F.when(x % 4 == 1, 1).otherwise(0).alias("tor"), (x % 6).alias("location"))
     return flat.session_windows(_ev(s, d, ["purchase"]).withColumnRenamed("account", "device"), sessions)
 
 
@@ -517,6 +526,23 @@ def scenario_recall(s, d):
     return evaluate.scenario_recall(ranked(s, d), 500)
 
 
+@query(R + " SELECT r.id, CASE WHEN r.id % 3 = 0 THEN label ELSE 0 END AS label FROM r")
+def label_join(s, d):
+    rows = ranked(s, d)
+    return evaluate.with_labels(rows.select("id"), rows.where("id % 3 = 0")).select("id", "label")
+
+
+@query(R + """ , g AS (SELECT score, sum(label) AS p, count(*) AS n FROM r GROUP BY score), c AS (SELECT score, sum(p) OVER w AS tp, sum(n) OVER w AS seen, (SELECT sum(label) FROM r) AS total FROM g WINDOW w AS (ORDER BY score DESC)),
+  f AS (SELECT score, 2 * (tp / seen) * (tp / total) / (tp / seen + tp / total + 1e-10) AS f1 FROM c) SELECT score AS threshold, round(f1, 9) AS f1 FROM f ORDER BY f.f1 DESC, score LIMIT 1""")
+def validation_threshold(s, d):
+    return evaluate.f1_threshold(ranked(s, d)).select("threshold", F.round("f1", 9).alias("f1"))
+
+
+@query(R + """ , q AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM r) SELECT scenario, count(*) AS total_in_test, count(*) FILTER (rank <= 50) AS detected_k50, count(*) FILTER (rank <= 100) AS detected_k100, count(*) FILTER (rank <= 250) AS detected_k250 FROM q WHERE scenario <> 'NORMAL' GROUP BY scenario""")
+def scenario_rollup(s, d):
+    return evaluate.scenario_rollup(ranked(s, d)).drop("recall_k50", "recall_k100", "recall_k250")
+
+
 # --- reduction -----------------------------------------------------------------------------------------------------
 EDGES = "e AS (SELECT l_orderkey || '-' || l_linenumber AS txn, 'C' || (o_custkey % 500) AS sender, 'C' || (l_suppkey % 500) AS receiver FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 LEVELS = f"WITH {EDGES}, p AS (SELECT sender AS customer FROM e UNION SELECT receiver FROM e), l AS (SELECT customer, ((row_number() OVER (ORDER BY md5(customer), customer) - 1) // 100 + 1)::BIGINT AS level FROM p)"
