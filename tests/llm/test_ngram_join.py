@@ -153,3 +153,35 @@ def test_blocks_link_what_all_pairs_link():
         for a, b in ngram_join.search_block(rows, 75):
             join(got, rows[a][1], rows[b][1])
         assert {x: find(got, x) for x in got} == {x: find(root, x) for x in root}
+
+
+def test_large_blocks_of_near_copies_are_searched_fast():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(500):
+        words = np.arange(1, 401)
+        for at in rng.choice(360, 25, replace=False):  # 25 changed words in 400, each in one place of its own
+            words[at] = rng.integers(1000, 1 << 40)
+        own = np.unique(words).astype(np.uint64)
+        rows.append((i, i, len(own), own.tobytes()))
+    sets = [frozenset(np.frombuffer(r[3], np.uint64).tolist()) for r in rows]
+    began = time.process_time()
+    links = ngram_join.search_block(rows, 90)
+    took = time.process_time() - began
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if find(i) != find(j) and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                up[find(i)] = find(j)
+    assert len(links) == len(rows) - len({find(i) for i in range(len(rows))})
+    assert took < 2.5

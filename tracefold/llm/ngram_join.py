@@ -5,7 +5,7 @@ Documents whose shingle sets are equal form one class.  A pair with Jaccard simi
 other class has, and drops those below that number.  Of the shared shingles of a class that holds ``cnt`` and needs
 ``need``, two linked classes have one of the ``cnt - need + 1`` rarest in common; all classes that hold such a shingle meet
 in the group of its smallest holder.  There a T-occurrence search links them: each class is a query against inverted lists
-of the shingles of one class for each component found so far, short lists are heap-merged, long ones are binary-probed,
+of the shingles of one class for each component found so far, short lists are merged by counting, long ones are binary-probed,
 and candidates that reach the required overlap are decided exactly.  Classes that could still link with another component
 then search the lists of all such classes.  Nothing is dropped: links inside a component that is already joined are the
 only ones not looked for.
@@ -14,9 +14,7 @@ only ones not looked for.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +36,7 @@ SPLIT_TOKENS = 1 << 20
 #: Bits of a shingle hash kept besides those that number its partition.
 TOKEN_BITS = 48
 #: Weight of a binary probe against a merge step in the choice of long lists.
-MU = 0.0085
+MU = 4.0
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -188,102 +186,66 @@ def joined(col: pa.Array, field: str, kind) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(x[field] for x in row), kind) for row in col.to_pylist()]
 
 
-def t_occurrences(lists: list[list[int]], least: int, mu: float = MU) -> dict[int, int]:
+def t_occurrences(lists: list, least: int, mu: float = MU) -> dict[int, int]:
     """DivideSkip: the records in at least ``least`` of the sorted lists, with their counts.
 
-    The L longest lists are set aside; the others are merged with a heap and must hold a record ``least - L`` times;
+    The L longest lists are set aside; the others are merged by counting and must hold a record ``least - L`` times;
     the long ones are then probed by binary search, until too few are left to reach ``least``."""
-    lists = sorted((x for x in lists if x), key=len)
+    lists = sorted((x for x in lists if len(x)), key=len)
     if least < 1 or len(lists) < least:
         return {}
     n_long = min(least - 1, int(least / (mu * math.log2(max(2, len(lists[-1]))) + 1)))
     cut = len(lists) - n_long
-    short, long_lists = lists[:cut], lists[cut:]
-    found, last, seen = {}, None, 0
-
-    def settle(record: int, count: int) -> None:
-        if count < least - n_long:
-            return
-        for i, x in enumerate(long_lists):
-            if count + len(long_lists) - i < least:
-                return
-            at = bisect_left(x, record)
-            count += at < len(x) and x[at] == record
-        if count >= least:
-            found[record] = count
-
-    for record in heapq.merge(*short):
-        if record == last:
-            seen += 1
-        else:
-            if last is not None:
-                settle(last, seen)
-            last, seen = record, 1
-    if last is not None:
-        settle(last, seen)
-    return found
+    counts = np.bincount(np.concatenate(lists[:cut]))
+    records = np.flatnonzero(counts >= least - n_long)
+    counts = counts[records]
+    for left, x in zip(range(n_long, 0, -1), lists[cut:]):
+        can = counts + left >= least
+        if not can.all():
+            records, counts = records[can], counts[can]
+        if not len(records):
+            return {}
+        x = np.asarray(x)
+        counts += x[np.minimum(np.searchsorted(x, records), len(x) - 1)] == records
+    reach = counts >= least
+    return dict(zip(records[reach].tolist(), counts[reach].tolist()))
 
 
 def search_block(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     """Links of one block: rows ``(id, root, n, toks)``; a pair of components is linked once.
 
-    First each record searches the lists of one record for each component, which are few where many are near copies.
-    Records of which another component's hold enough shingles then search the lists of all such records before them."""
+    Each record searches the inverted lists of the block.  How often a record occurs in them is the overlap itself."""
     rows = sorted({r[0]: r for r in rows}.values())
     sets = [np.frombuffer(r[3], np.uint64) for r in rows]
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
         while x in up:
+            if up[x] in up:
+                up[x] = up[up[x]]
             x = up[x]
         return x
 
     links: list[tuple[int, int]] = []
-    index: dict[int, list[int]] = {}
-
-    def query(i: int, own: list[int], need: int) -> bool:
-        met = False
-        for j in t_occurrences([index[t] for t in own if t in index], need):
-            x, y = find(rows[i][1]), find(rows[j][1])
-            if x != y:
-                same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * same >= percent * (rows[i][2] + rows[j][2] - same):
-                    links.append((rows[i][0], rows[j][0]))
-                    up[max(x, y)] = min(x, y)
-                    met = True
-            else:
-                met = True
-        return met
-
-    def hold(i: int, own: list[int]) -> None:
-        for t in own:
-            index.setdefault(t, []).append(i)
-
-    needs, left_out = [-(-r[2] * percent // 100) for r in rows], False
-    for i in range(len(rows)):
-        own = sets[i].tolist()
-        if query(i, own, needs[i]):
-            left_out = True
-        else:
-            hold(i, own)
-    if not left_out:
-        return links
-    roots = np.unique([find(r[1]) for r in rows], return_inverse=True)[1]
-    if roots.max() == 0:
+    if len({r[1] for r in rows}) < 2:
         return links
-    # How many shingles of each record some record of another component has: a shingle of several components is such a one.
+    ends = np.cumsum([len(x) for x in sets])
     tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(rows)), [len(x) for x in sets])
-    tokens = np.unique(tokens, return_inverse=True)[1]
-    low, high = np.full(tokens.max() + 1, len(rows)), np.full(tokens.max() + 1, -1)
-    np.minimum.at(low, tokens, roots[owner])
-    np.maximum.at(high, tokens, roots[owner])
-    use = (low < high)[tokens]
-    common = np.bincount(owner[use], minlength=len(rows))
-    index.clear()
-    for i in np.flatnonzero(common >= needs).tolist():
-        own = sets[i].tolist()
-        query(i, own, needs[i])
-        hold(i, own)
+    order = np.argsort(tokens, kind="stable")
+    owner, new = owner[order], np.r_[True, np.diff(tokens[order]) > 0][: len(order)]
+    of = np.empty(len(tokens), np.int64)
+    of[order] = np.cumsum(new) - 1
+    cuts = np.r_[np.flatnonzero(new), len(order)]
+    shared = np.diff(cuts) > 1
+    for i, r in enumerate(rows):
+        own = of[ends[i] - len(sets[i]) : ends[i]]
+        own = own[shared[own]]
+        for j, same in t_occurrences([owner[a:b] for a, b in zip(cuts[own].tolist(), cuts[own + 1].tolist())], -(-r[2] * percent // 100)).items():
+            if j < i and 100 * same >= percent * (r[2] + rows[j][2] - same):
+                x, y = find(r[1]), find(rows[j][1])
+                if x != y:
+                    links.append((r[0], rows[j][0]))
+                    up[max(x, y)] = min(x, y)
     return links
 
 
