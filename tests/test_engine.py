@@ -137,3 +137,22 @@ def test_documents_of_unknown_kind_and_empty_grids(spark):
     got = grid.extract(df, "bank").collect()
     assert [(r.doc, r.row_idx, r.Transaction_Amount, r.Transaction_ID) for r in got] == [("b", 1, "-5.0", "7")]
     assert grid.extract(df.limit(0), "bank").count() == 0 == grid.extract(df, "cdr").count()
+
+
+def pairs_rows(spark):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1, 12)
+    bank = spark.createDataFrame([("T", t, ("1",), ("2",)), ("T", t, ("1",), ("2",)), ("U", t, ("3",), ("3",)), ("V", t, None, ("2",)), ("W", t, (None,), None)], SCHEMA_B)
+    calls = [("D1", t - dt.timedelta(seconds=60), "1", "2"), ("D1", t - dt.timedelta(seconds=60), "1", "2"), ("D2", t, "3", "3"), ("D3", t + dt.timedelta(seconds=9), "2", None), ("D4", t - dt.timedelta(seconds=1800), "9", "1")]
+    cdr = spark.createDataFrame([(*c, 5, "m", "K", "R") for c in calls], "cdr_id string, event_timestamp timestamp_ntz, a_party_phone string, b_party_phone string, duration_seconds bigint, imei string, cell_id string, roaming_circle string")
+    return bank, cdr
+
+
+def test_pairs_are_not_exchanged_and_repeated_rows_meet(spark):
+    bank, cdr = pairs_rows(spark)
+    found = correlate.bank_cdr(bank, cdr)
+    want = correlate.bank_cdr_evidence(bank, cdr).groupBy("left_id", "right_id").count().collect()
+    assert {(r.source_id, r.target_id): len(r.evidence) for r in found.collect()} == {(r.left_id, r.right_id): r["count"] for r in want} and found.count() == len(want) == 6
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Join")]
