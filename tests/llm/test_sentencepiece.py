@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import random
 
 import numpy as np
 
@@ -68,3 +69,27 @@ def test_edge_rows(spark):
     assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "3", "4", "None"] and all(r.round_trip for r in got)
     assert len({r.ids_sha256 for r in got}) == 3 and {r.n_pieces for r in got if r.doc_id in (2, 3)} == {0}
     assert sentencepiece_nbest.digests(df.limit(0)).count() == 0 == sentencepiece_nbest.encode_docs(df.limit(0)).count()
+
+
+def test_new_words_are_solved_together(monkeypatch):
+    """Common words go through the passes together, a few rests and long words alone; the results are those of one at a time."""
+    lattice = sentencepiece_nbest.lattice(sentencepiece_nbest.MODEL)
+    rng = random.Random(7)
+    signs = ["a", "b", "th", "ing", "e", "S", "▁", "é", "☃", "日", "𝔘", "\ud800", "\0"]
+    words = sorted({" " * rng.randrange(3) + "".join(rng.choices(signs, k=rng.randrange(1, 20))) for _ in range(3_000)}, key=len, reverse=True)
+    alone, calls = lattice.best_and_gap, []
+    first, gap, ends, ids = lattice.best_and_gap_all(words)
+    for k, (a, b) in enumerate(zip([0, *ends], ends)):
+        assert (first[k], gap[k], ids[a:b].tolist()) == alone(words[k])
+
+    monkeypatch.setattr(lattice, "best_and_gap", lambda w: calls.append(w) or alone(w))
+    code = sentencepiece_nbest.Coder(lattice, 4)
+    text = " ".join(f"w{i}x" for i in range(5_000)) + " " + "ab" * 200
+    got = b"".join(code.encode_all(text)[0][0])
+    assert len(calls) < 100 and " " + "ab" * 200 in calls
+    split = [x for w in sentencepiece_nbest.CHUNKS.findall(" " + text) for x in alone(w)[2]]
+    assert np.frombuffer(got, "<i4").tolist() == split
+    calls.clear()
+    texts = ["", "z y x", *(f"q{i} q{i}" for i in range(500)), ""]
+    many = list(code.encode_texts(texts))
+    assert len(calls) < 100 and many == [sentencepiece_nbest.Coder(lattice, 4).encode_all(t) for t in texts]

@@ -17,8 +17,11 @@ import heapq
 import math
 import re
 from array import array
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,14 +36,67 @@ N_BEST = 4
 GRAIN = 2.0**-20
 #: Words kept with their segmentation, and characters of them; the store is emptied when full.
 KEPT_WORDS, KEPT_CHARS = 400_000, 1 << 23
+#: Characters of the texts that are split at once; words that are solved together, at least and at most, and their length.
+SLICE_CHARS, FEWEST, MOST, LONGEST = 1 << 20, 64, 8192, 64
+#: Words whose ids are gathered in one step.
+GATHERED = 1 << 18
 #: Words with the spaces before them; line ends and tabs are no pieces, so each stands alone.
 CHUNKS = re.compile(r" +[^ \n\t]*|[^ \n\t]+|[\n\t]")
 
 
+def bytes_of(c: np.ndarray) -> np.ndarray:
+    """Bytes of each code point in UTF-8."""
+    return 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+
+
 def grained(score: float) -> float:
     return round(score / GRAIN) * GRAIN
 
 
+class Steps:
+    """A trie in arrays (a double array): the child of ``node`` by a character is ``base[node] + code``, if ``parent`` of
+    that is ``node``; node 0 is the root.  A node has the id of its piece, or -1, and the score."""
+
+    def __init__(self, root: dict):
+        nodes = [(root, 0, "", -1, 0.0)]
+        for at, (kids, *_) in enumerate(nodes):
+            nodes += [(hit[0], at, c, *hit[1:]) for c, hit in kids.items()]
+        codes = {c: k for k, (c, _) in enumerate(Counter(x[2] for x in nodes[1:]).most_common(), 1)}
+        room = len(codes) + 1
+        used, high = bytearray(2 * room), 0
+        used[0], base, low = 1, [0] * len(nodes), 0
+        for at in sorted(range(len(nodes)), key=lambda at: -len(nodes[at][0])):
+            kids = sorted(codes[c] for c in nodes[at][0])
+            if not kids:
+                break
+            # Nodes of one child, the last ones, fill the gaps that the others leave.
+            free, tries = used.find(0, kids[0] if len(kids) == 1 else max(low, kids[0])), 0
+            while any(used[free - kids[0] + k] for k in kids):
+                free, tries = used.find(0, free + 1), tries + 1
+            if tries > 20:
+                low = free
+            base[at] = free - kids[0]
+            for k in kids:
+                used[base[at] + k] = 1
+            high = max(high, base[at] + kids[-1])
+            if high + 2 * room > len(used):
+                used += bytes(len(used))
+        slots = [0] * len(nodes)
+        self.base, self.parent, self.ids = (np.full(high + room, x, np.int32) for x in (0, -1, -1))
+        self.scores = np.zeros(high + room)
+        for at, (_, above, c, i, score) in enumerate(nodes):
+            if at:
+                slots[at] = slot = base[above] + codes[c]
+                self.parent[slot], self.ids[slot], self.scores[slot] = slots[above], i, score
+            self.base[slots[at]] = base[at]
+        self.codes = np.zeros(0x110000, np.int32)  # 0: in no piece
+        self.codes[[ord(c) for c in codes]] = list(codes.values())
+        self.single = np.zeros(room, bool)  # codes of characters that are pieces
+        self.single[[codes[c] for c, hit in root.items() if hit[1] >= 0]] = True
+        # As in ``Lattice.marked``.
+        self.codes[[ord(" "), ord(MARK)]] = self.codes[[ord(MARK), 0]]
+
+
 class Lattice:
     """Pieces of a vocabulary with their scores, and the searches over them.
 
@@ -55,6 +111,7 @@ class Lattice:
         self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
         self.singles = {p for p in pieces if len(p) == 1}
         self.byte_ids, self.byte_score = byte_ids, byte_score
+        self.steps = Steps(self.root)
 
     @staticmethod
     def marked(word: str) -> str:
@@ -133,6 +190,69 @@ class Lattice:
         ids.reverse()
         return best[n], best[n] - second[n], ids
 
+    def best_and_gap_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What ``best_and_gap`` gives for each of the words, which come longest first, the ids in one array and where those
+        of each word end: the same passes, but each step is made for all words together.  Memory is that of all at the
+        length of the longest."""
+        trie, n = self.steps, len(words)
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
+        begin, longest = np.cumsum(sizes) - sizes, int(sizes[0])
+        alive = np.searchsorted(-sizes, -np.arange(longest + 1)).tolist()  # words longer than each place
+        best, second = np.full((longest + 1, n), -np.inf), np.full((longest + 1, n), -np.inf)
+        start, via = np.zeros((longest + 1, n), np.int32), np.zeros((longest + 1, n), np.int32)
+        best[0] = 0.0
+        codes = [trie.codes[text[begin[:k] + a]] for a, k in enumerate(alive[:-1])]
+
+        def reach(a, b, at, score, i):
+            x, y, held = best[a, at] + score, second[a, at] + score, best[b, at]
+            second[b, at] = np.maximum(np.maximum(second[b, at], y), np.minimum(x, held))
+            up = x > held
+            at = at[up]
+            best[b, at], start[b, at], via[b, at] = x[up], a, i[up]
+
+        for a in range(longest):
+            at, node = np.arange(alive[a]), np.zeros(alive[a], np.int32)
+            for b in range(a + 1, min(longest, a + self.longest) + 1):
+                k = np.searchsorted(at, alive[b - 1])
+                at, node = at[:k], node[:k]
+                to = trie.base[node] + codes[b - 1][at]
+                found = np.flatnonzero(trie.parent[to] == node)
+                if not len(found):
+                    break
+                at, node = at[found], to[found]
+                i = trie.ids[node]
+                hit = np.flatnonzero(i >= 0)
+                reach(a, b, at[hit], trie.scores[node[hit]], i[hit])
+            odd = np.flatnonzero(~trie.single[codes[a]])
+            if len(odd):
+                c = text[begin[odd] + a]
+                reach(a, a + 1, odd, self.byte_score * bytes_of(c), -1 - c)
+        every = np.arange(n)
+        first, gap = best[sizes, every], best[sizes, every] - second[sizes, every]
+        # Back along the best paths: ids, or characters in bytes as numbers below 0.
+        steps, at, word, counts = [], sizes.copy(), every, np.zeros(n, np.int64)
+        while len(word):
+            i = via[at[word], word]
+            size = np.where(i < 0, bytes_of(-1 - i), 1)
+            steps.append((word, i, size))
+            counts[word] += size
+            at[word] = start[at[word], word]
+            word = word[at[word] > 0]
+        ends = np.cumsum(counts)
+        out, place = np.empty(ends[-1], np.int32), ends.copy()
+        for word, i, size in steps:
+            place[word] -= size
+            out[place[word]] = i
+            odd = np.flatnonzero(i < 0)
+            if len(odd):
+                c, kind = np.unique(-1 - i[odd], return_inverse=True)
+                table = np.array([(self.spelled(chr(x))[1] + (0, 0, 0))[:4] for x in c.tolist()])
+                for k in range(4):
+                    more = size[odd] > k
+                    out[place[word[odd[more]]] + k] = table[kind[more], k]
+        return first, gap, ends, out
+
     def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations, best first; of equals as in ``best_and_gap``.
 
@@ -196,46 +316,90 @@ class Coder:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids: list[bytes] = []
         self.paths: list[str | tuple[list[float], list[bytes]]] = []
-        self.first: list[float] = []
-        self.gap: list[float] = []
+        # Of each word: score, gap, and where its ids end.
+        self.first, self.gap, self.ends, self.ids = array("d"), array("d"), array("q", [0]), array("i")
         self.chars = 0
 
-    def place(self, word: str) -> int:
-        """Keep a word: its best segmentation, and the gap to the next; the search for more waits until it is asked."""
-        first, gap, ids = self.lattice.best_and_gap(word)
-        self.index[word] = at = len(self.ids)
-        self.ids.append(array("i", ids).tobytes())
-        self.paths.append(word)
-        self.first.append(first)
-        self.gap.append(gap)
-        self.chars += len(word)
-        return at
+    def keep(self, words: list[str], first: np.ndarray, gap: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> None:
+        """Keep words: their best segmentation, and the gap to the next; the search for more waits until it is asked."""
+        self.index.update(zip(words, range(len(self.paths), len(self.paths) + len(words))))
+        self.paths += words
+        self.ends.frombytes((ends + len(self.ids)).tobytes())
+        self.first.frombytes(first.tobytes())
+        self.gap.frombytes(gap.tobytes())
+        self.ids.frombytes(ids.tobytes())
+        self.chars += sum(map(len, words))
+
+    def learn(self, words: set[str]) -> None:
+        """Keep new words; those of common lengths are solved together."""
+        new = sorted(words, key=len, reverse=True)
+        long = bisect_left(new, -LONGEST, key=lambda w: -len(w))
+        together = range(long, len(new) - FEWEST, MOST)
+        for a in together:
+            self.keep(new[a : a + MOST], *self.lattice.best_and_gap_all(new[a : a + MOST]))
+        for word in new[:long] + new[together[-1] + MOST if together else long :]:
+            first, gap, ids = self.lattice.best_and_gap(word)
+            self.keep([word], np.array([first]), np.array([gap]), np.array([len(ids)]), np.array(ids, np.int32))
 
     def paths_of(self, at: int) -> tuple[list[float], list[bytes]]:
         """Scores and ids of the N best segmentations of a word; the one that was kept comes first, also where others equal it."""
         if isinstance(self.paths[at], str):
             found = self.lattice.nbest(self.paths[at], self.n)
+            own = self.ids[self.ends[at] : self.ends[at + 1]].tobytes()
             ids = [array("i", i).tobytes() for _, i in found]
-            self.paths[at] = [s for s, _ in found], [self.ids[at], *(i for i in ids if i != self.ids[at])][: len(ids)]
+            self.paths[at] = [s for s, _ in found], [own, *(i for i in ids if i != own)][: len(ids)]
         return self.paths[at]
 
-    def encode_all(self, text: str) -> tuple[list[list[bytes]], list[float]]:
-        """The N best segmentations, best first, and their scores.  The ids of each come in runs, which its parts with the
-        others in common share."""
-        if not text:
-            return [[b""]], [0.0]
+    def encode_texts(self, texts: list[str]) -> Iterator[tuple[list[list[bytes]], list[float]]]:
+        """``encode_all`` of each text; many short ones are looked up together, and their new words solved together."""
+        a = 0
+        while a < len(texts):
+            split, chars = [], 0
+            while a < len(texts) and chars < SLICE_CHARS:
+                split.append(CHUNKS.findall(" " + texts[a]) if texts[a] else [])
+                chars += len(texts[a])
+                a += 1
+            yield from self.encode_split(split)
+
+    def encode_split(self, split: list[list[str]]) -> list[tuple[list[list[bytes]], list[float]]]:
+        """``encode_all`` of texts in words."""
         if len(self.index) > KEPT_WORDS or self.chars > KEPT_CHARS:
             self.forget()
-        get, place = self.index.get, self.place
-        at = [i if (i := get(w)) is not None else place(w) for w in CHUNKS.findall(" " + text)]
-        total = math.fsum(map(self.first.__getitem__, at))
-        # Only the n - 1 words with the smallest gaps can differ in one of the n best.
-        gaps = list(map(self.gap.__getitem__, at))
-        near = sorted(heapq.nsmallest(self.n - 1, range(len(at)), key=gaps.__getitem__))
-        paths = [self.paths_of(at[i]) for i in near]
-        runs = [b"".join(map(self.ids.__getitem__, at[a:b])) for a, b in zip([0, *(i + 1 for i in near)], [*near, len(at)])]
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        unmet = list(map(words.__getitem__, missing.tolist()))
+        self.learn(set(unmet))
+        at[missing] = np.fromiter(map(self.index.__getitem__, unmet), np.int64, len(unmet))
+        first, gap, ends = np.frombuffer(self.first)[at], np.frombuffer(self.gap)[at], np.frombuffer(self.ends, np.int64)
+        to = np.concatenate([[0], np.cumsum(ends[at + 1] - ends[at])])
+        blocks = []
+        for a in range(0, len(at), GATHERED):
+            start, end = to[a : a + GATHERED], to[a + 1 : a + GATHERED + 1]
+            start = start[: len(end)]
+            source = np.repeat(ends[at[a : a + GATHERED]] - start, end - start) + np.arange(start[0], end[-1])
+            blocks.append(np.frombuffer(self.ids, np.int32)[source].astype("<i4", copy=False).tobytes())
+        raw = b"".join(blocks)
+        to, out, b = 4 * to, [], 0
+        for each in split:
+            a, b = b, b + len(each)
+            if not each:
+                out.append(([[b""]], [0.0]))
+                continue
+            # Only the n - 1 words with the smallest gaps, the first ones of equals, can differ in one of the n best.
+            near = np.arange(a, b)
+            if len(each) >= self.n:
+                near = a + np.flatnonzero(gap[a:b] <= np.partition(gap[a:b], self.n - 2)[self.n - 2]) if self.n > 1 else near[:0]
+                near = np.sort(near[np.argsort(gap[near], kind="stable")[: self.n - 1]])
+            paths = [self.paths_of(i) for i in at[near].tolist()]
+            runs = [raw[x:y] for x, y in zip(to[[a, *(near + 1)]].tolist(), to[[*near, b]].tolist())]
+            # Scores are exact, and so is their sum.
+            out.append(self.combined(runs, paths, float(first[a:b].sum())))
+        return out
+
+    def combined(self, runs: list[bytes], paths: list[tuple[list[float], list[bytes]]], total: float) -> tuple[list[list[bytes]], list[float]]:
+        """The N best of all choices of one path between each two runs; the first ones sum to ``total``."""
         out, scores = [], []
         for more, places in sums([x for x, _ in paths], self.n):
             whole = [runs[0]]
@@ -245,6 +409,11 @@ class Coder:
             scores.append(total + more)
         return out, scores
 
+    def encode_all(self, text: str) -> tuple[list[list[bytes]], list[float]]:
+        """The N best segmentations, best first, and their scores.  The ids of each come in runs, which its parts with the
+        others in common share."""
+        return next(self.encode_texts([text]))
+
     def encode(self, text: str) -> tuple[bytes, list[float]]:
         """Ids of the best segmentation, and the scores of the N best, best first."""
         found, scores = self.encode_all(text)
@@ -293,7 +462,7 @@ def encode_docs(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) -> Da
 
     def fn(batch):
         code, back = coder(model, n_best)
-        got = [code.encode_all(t or "") for t in batch.column("text").to_pylist()]
+        got = list(code.encode_texts([t or "" for t in batch.column("text").to_pylist()]))
         every = [[b"".join(runs) for runs in found] for found, _ in got]
         yield [batch.column("doc_id"), [np.frombuffer(x[0], "<i4") for x in every], [s for _, s in got], [back.decode(x[0]) for x in every], [[np.frombuffer(i, "<i4") for i in x] for x in every]]
 
@@ -308,8 +477,7 @@ def digests(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) -> DataFr
         code, back = coder(model, n_best)
         texts = [t or "" for t in batch.column("text").to_pylist()]
         columns: list[list] = [[] for _ in range(6)]
-        for text in texts:
-            found, scores = code.encode_all(text)
+        for text, (found, scores) in zip(texts, code.encode_texts(texts)):
             sizes, shas = [sum(map(len, runs)) // 4 for runs in found], run_digests(found)
             for column, value in zip(columns, (sizes[0], scores, shas[0], back.decode(b"".join(found[0])) == text, sizes, shas)):
                 column.append(value)
