@@ -324,3 +324,18 @@ def test_pair_novelty_without_links(spark):
 
 def test_context_counts_without_timelines(spark):
     unlinked(spark, "fusion_counts")
+
+
+def test_pairs_are_counted_in_compiled_code(spark):
+    for bank, cdr in (far_rows(spark), pairs_rows(spark)):
+        want = correlate.bank_cdr(bank, cdr).select("correlation_id", "source_id", "target_id", "time_difference_seconds", F.size("evidence").cast("bigint").alias("n_evidence"))
+        got = correlate.bank_cdr_counts(bank, cdr)
+        assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 4
+    plan = catalogue.QUERIES["corr_bank_cdr_wide"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Exchange")]
+    assert "Join" in above and "lambda" not in above
+
+
+def test_valid_rows_are_filtered_above_their_columns(spark):
+    plan = catalogue.bank(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert all(x.count("gettimestamp") <= 1 for x in plan.splitlines() if "Filter" in x)
