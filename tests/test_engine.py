@@ -339,3 +339,20 @@ def test_pairs_are_counted_in_compiled_code(spark):
 def test_valid_rows_are_filtered_above_their_columns(spark):
     plan = catalogue.bank(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert all(x.count("gettimestamp") <= 1 for x in plan.splitlines() if "Filter" in x)
+
+
+def test_timelines_without_links(spark):
+    from tracefold.operators import fusion, near
+
+    bank, cdr, ipdr, *_ = linked_sessions(spark)
+    rows = fusion.timeline(bank, cdr, ipdr, correlate.bank_cdr(bank, cdr), correlate.cdr_ipdr(cdr, ipdr)).distinct().collect()
+    want = {}
+    for r in sorted(rows, key=lambda r: (r.us, r.event_type, r.event_id)):
+        want.setdefault(r.transaction_id, []).append((len(want.get(r.transaction_id, [])), r.us, r.event_type, r.event_id))
+    want = sorted((t, *x) for t, xs in want.items() for x in xs)
+    assert sorted(map(tuple, near.timelines(bank, cdr, ipdr, 1800).collect())) == want == sorted(map(tuple, fusion.ordered_timelines(bank, cdr, ipdr).collect()))
+    assert len({r[3] for r in want}) == 3 and len(want) > 200
+    twice = fusion.ordered_timelines(bank.union(bank), cdr, ipdr)
+    assert sorted(map(tuple, twice.collect())) == want
+    assert near.timelines(bank, cdr.limit(0), ipdr.limit(0), 1800).count() == 60
+    unlinked(spark, "fusion_timeline")
